@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .simhash import op1_simhash_near_dedup
 from .substring_dedup import op8_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op8_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op8_substring_dedup)}
 ORACLES: dict[str, str] = {}
