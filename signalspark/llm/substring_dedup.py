@@ -4,11 +4,11 @@ A window is ``WINDOW`` consecutive words. The residues ``COVER`` modulo ``PERIOD
 difference cover: for any two positions i and j some shift below the period puts both on a
 cover position. So two equal windows hold, at the same place inside both, an anchor of
 ``WINDOW - PERIOD + 1`` words that starts on a cover position of either document. Only anchors
-are hashed and exchanged for all text (3 positions in 7); windows are hashed in full, with 128
+are hashed and exchanged for all text (3 positions in 7); windows are hashed in full, with 96
 bits, only around anchors that more than one document has.
 
-Texts are dealt to parts by a hash of doc_id. A part sends each distinct hash once, with the
-smallest doc_id that has it, so a passage that a third of all documents share costs one entry
+Texts are dealt to parts by a hash of doc_id. A part sends each distinct hash once, a
+window's with the smallest doc_id that has it, so a passage that a third of all documents share costs one entry
 a part, not one a document or a pair.
 """
 
@@ -29,97 +29,130 @@ from .wordarrays import Words, slices
 PERIOD = 7
 COVER = (1, 2, 4)  # fixed value: every residue modulo 7 is a difference of two of these
 
-_SENT = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("several", pa.binary())])
-_SENT_SQL = "bucket int, part int, keys binary, docs binary, several binary"
-_REPLY = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())])
-_REPLY_SQL = "part int, keys binary, docs binary"
-_KEY = np.dtype([("a", "<u8"), ("b", "<u8")])
+#: An anchor's hash only has to find candidates; 48 bits of it do.
+_ANCHOR, _ANCHOR_BYTES = np.dtype("<u8"), 6
+_WINDOW, _WINDOW_BYTES = np.dtype([("a", "<u8"), ("b", "<u8")]), 12
+_DOC = np.dtype("<i8")
+
+_SENT = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("several", pa.binary())])
+_SENT_SQL = "bucket int, part int, n int, keys binary, docs binary, several binary"
+_REPLY = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())])
+_REPLY_SQL = "part int, n int, keys binary, docs binary"
+
+
+def _packed(values: np.ndarray, width: int) -> bytes:
+    """The first ``width`` bytes of each value, all first bytes first: that compresses well."""
+    return values.view(np.uint8).reshape(-1, values.dtype.itemsize)[:, :width].T.tobytes()
+
+
+def _unpacked(blobs: list[bytes], sizes: list[int], dtype: np.dtype, width: int) -> np.ndarray:
+    out = np.zeros((sum(sizes), dtype.itemsize), np.uint8)
+    at = 0
+    for blob, n in zip(blobs, sizes, strict=True):
+        out[at : at + n, :width] = np.frombuffer(blob, np.uint8).reshape(width, n).T
+        at += n
+    return out.view(dtype).reshape(-1)
 
 
 def _anchored(words: Words, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first word of each anchor of the slice."""
     keys, whole = words.windows(hashes, width - PERIOD + 1)
     at = np.flatnonzero(whole & np.isin(words.at[: len(keys)] % PERIOD, COVER))
-    return keys[at], at
+    return keys[at] & np.uint64((1 << 8 * _ANCHOR_BYTES) - 1), at
 
 
-def _least(keys: np.ndarray, docs: np.ndarray, several: np.ndarray | None = None):
-    """Distinct keys, the smallest document of each, and whether it has more than one."""
-    order = np.lexsort((docs, *([keys["b"], keys["a"]] if keys.dtype == _KEY else [keys])))
-    keys, docs = keys[order], docs[order]
+def _window_keys(words: Words, hashes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    keys = np.zeros(len(at), _WINDOW)
+    keys["a"] = words.windows(hashes, width)[0][at]
+    keys["b"] = words.windows(words.hashes(1), width, 1)[0][at] & np.uint64(0xFFFFFFFF)
+    return keys
+
+
+def _order(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    return np.lexsort((docs, keys["b"], keys["a"]) if keys.dtype == _WINDOW else (docs, keys))
+
+
+def _heads(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
     first = np.ones(len(keys), bool)
     first[1:] = keys[1:] != keys[:-1]
-    heads = np.flatnonzero(first)
-    if not len(heads):
-        return keys, docs, np.zeros(0, bool)
-    more = np.maximum.reduceat(docs, heads) > docs[heads]
-    if several is not None:
-        more |= np.logical_or.reduceat(several[order], heads)
-    return keys[heads], docs[heads], more
-
-
-def _sent(part: int, buckets: int, found: list[tuple[np.ndarray, np.ndarray]], dtype) -> pa.Table:
-    """One row a bucket of hashes, with their smallest documents of this part."""
-    keys = np.concatenate([k for k, _ in found]) if found else np.zeros(0, dtype)
-    docs = np.concatenate([d for _, d in found]) if found else np.zeros(0, np.int64)
-    keys, docs, several = _least(keys, docs)
-    bucket = ((keys["a"] if dtype == _KEY else keys) % np.uint64(buckets)).astype(np.int64)
+    return np.flatnonzero(first)
+
+
+def _sent(part: int, buckets: int, found: list[tuple[np.ndarray, np.ndarray]], dtype: np.dtype) -> pa.Table:
+    """One row a bucket: distinct hashes, the smallest document of this part that has each, and
+    whether several have it. Anchors do without the documents."""
+    keys = np.concatenate([np.zeros(0, dtype), *(k for k, _ in found)])
+    docs = np.concatenate([np.zeros(0, _DOC), *(d for _, d in found)])
+    order = _order(keys, docs)
+    keys, docs = keys[order], docs[order]
+    heads = _heads(keys)
+    several = np.maximum.reduceat(docs, heads) > docs[heads] if len(heads) else np.zeros(0, bool)
+    keys, docs = keys[heads], docs[heads]
+    bucket = ((keys["a"] if dtype == _WINDOW else keys) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
     rows = [(b, order[ends[b] : ends[b + 1]]) for b in range(buckets) if ends[b] < ends[b + 1]]
+    is_window = dtype == _WINDOW
     return pa.table(
         {
             "bucket": pa.array([b for b, _ in rows], pa.int32()),
             "part": pa.array([part] * len(rows), pa.int32()),
-            "keys": pa.array([keys[i].tobytes() for _, i in rows], pa.binary()),
-            "docs": pa.array([docs[i].tobytes() for _, i in rows], pa.binary()),
-            "several": pa.array([several[i].tobytes() for _, i in rows], pa.binary()),
+            "n": pa.array([len(i) for _, i in rows], pa.int32()),
+            "keys": pa.array([_packed(keys[i], _WINDOW_BYTES if is_window else _ANCHOR_BYTES) for _, i in rows], pa.binary()),
+            "docs": pa.array([_packed(docs[i], 8) if is_window else b"" for _, i in rows], pa.binary()),
+            "several": pa.array([np.packbits(several[i]).tobytes() for _, i in rows], pa.binary()),
         },
         schema=_SENT,
     )
 
 
-def _replies(dtype):
-    """For a bucket: to each part, those of its hashes that several documents have, with the smallest."""
-
-    def reply(table: pa.Table) -> pa.Table:
-        parts, blobs = table["part"].to_pylist(), table["keys"].to_pylist()
-        sizes = [len(b) // np.dtype(dtype).itemsize for b in blobs]
-        keys = np.frombuffer(b"".join(blobs), dtype)
-        docs = np.frombuffer(b"".join(table["docs"].to_pylist()), np.int64)
-        several = np.frombuffer(b"".join(table["several"].to_pylist()), bool)
-        order = np.lexsort((docs, *([keys["b"], keys["a"]] if dtype == _KEY else [keys])))
-        sorted_keys = keys[order]
-        first = np.ones(len(keys), bool)
-        first[1:] = sorted_keys[1:] != sorted_keys[:-1]
-        heads = np.flatnonzero(first)
-        group = np.cumsum(first) - 1
-        sorted_docs = docs[order]
-        more = (np.maximum.reduceat(sorted_docs, heads) > sorted_docs[heads]) | np.logical_or.reduceat(several[order], heads)
-        least, shared = np.empty(len(keys), np.int64), np.empty(len(keys), bool)
-        least[order], shared[order] = sorted_docs[heads][group], more[group]
-        out, at = {"part": [], "keys": [], "docs": []}, 0
-        for part, n in zip(parts, sizes, strict=True):
-            mine = np.flatnonzero(shared[at : at + n]) + at
-            at += n
-            if len(mine):
-                out["part"].append(part)
-                out["keys"].append(keys[mine].tobytes())
-                out["docs"].append(least[mine].tobytes())
-        return pa.table(out, schema=_REPLY)
-
-    return reply
-
-
-def _known(replies: pa.Table, dtype) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.frombuffer(b"".join(replies["keys"].to_pylist()), dtype)
-    docs = np.frombuffer(b"".join(replies["docs"].to_pylist()), np.int64)
-    order = np.argsort(keys, order=("a", "b")) if dtype == _KEY else np.argsort(keys)
-    return keys[order], docs[order]
+def _several(table: pa.Table) -> np.ndarray:
+    bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(table["several"].to_pylist(), table["n"].to_pylist(), strict=True)]
+    return np.concatenate(bits).astype(bool)
+
+
+def _shared_anchors(table: pa.Table) -> pa.Table:
+    """For a bucket: to each part, those of its anchors that several documents have."""
+    parts, sizes = table["part"].to_pylist(), table["n"].to_pylist()
+    keys = _unpacked(table["keys"].to_pylist(), sizes, _ANCHOR, _ANCHOR_BYTES)
+    order = np.argsort(keys, kind="stable")
+    heads = _heads(keys[order])
+    counts = np.diff(np.append(heads, len(keys)))
+    shared = np.empty(len(keys), bool)
+    shared[order] = np.repeat((counts > 1) | np.logical_or.reduceat(_several(table)[order], heads), counts)
+    return _replied(parts, sizes, keys, None, shared)
+
+
+def _earlier_windows(table: pa.Table) -> pa.Table:
+    """For a bucket: to each part, those of its windows that some document of it has after the
+    smallest document of all, with that document."""
+    parts, sizes = table["part"].to_pylist(), table["n"].to_pylist()
+    keys = _unpacked(table["keys"].to_pylist(), sizes, _WINDOW, _WINDOW_BYTES)
+    docs = _unpacked(table["docs"].to_pylist(), sizes, _DOC, 8)
+    order = _order(keys, docs)
+    heads = _heads(keys[order])
+    least = np.empty(len(keys), _DOC)
+    least[order] = np.repeat(docs[order][heads], np.diff(np.append(heads, len(keys))))
+    return _replied(parts, sizes, keys, least, (docs > least) | _several(table))
+
+
+def _replied(parts: list[int], sizes: list[int], keys: np.ndarray, docs: np.ndarray | None, wanted: np.ndarray) -> pa.Table:
+    out: dict[str, list] = {"part": [], "n": [], "keys": [], "docs": []}
+    at = 0
+    for part, n in zip(parts, sizes, strict=True):
+        mine = np.flatnonzero(wanted[at : at + n]) + at
+        at += n
+        if len(mine):
+            out["part"].append(part)
+            out["n"].append(len(mine))
+            out["keys"].append(_packed(keys[mine], _ANCHOR_BYTES if docs is None else _WINDOW_BYTES))
+            out["docs"].append(b"" if docs is None else _packed(docs[mine], 8))
+    return pa.table(out, schema=_REPLY)
 
 
 def _lookup(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each key is known, and where."""
+    """Whether each key is one of the sorted ``known``, and where."""
     if not len(known):
         return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
@@ -159,12 +192,12 @@ def remove_repeated_passages(docs: DataFrame, window: int = 13) -> DataFrame:
             words = Words(texts)
             keys, at = _anchored(words, words.hashes(), window)
             found.append((keys, ids[words.doc[at]]))
-        return _sent(_part(table), n, found, np.uint64)
+        return _sent(_part(table), n, found, _ANCHOR)
 
     def candidates(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not (table.num_rows and replies.num_rows):
             return pa.table({f.name: [] for f in _SENT}, schema=_SENT)
-        known, _ = _known(replies, np.uint64)
+        known = np.sort(_unpacked(replies["keys"].to_pylist(), replies["n"].to_pylist(), _ANCHOR, _ANCHOR_BYTES))
         found = []
         for ids, texts in _slices_of(table):
             words = Words(texts)
@@ -174,29 +207,27 @@ def remove_repeated_passages(docs: DataFrame, window: int = 13) -> DataFrame:
             near = np.zeros(len(words) + 1, np.int64)  # +1 where windows around an anchor begin, -1 where they end
             np.add.at(near, np.maximum(at - PERIOD + 1, words.first[words.doc[at]]), 1)
             np.add.at(near, at + 1, -1)
-            full, whole = words.windows(hashes, window)
-            start = np.flatnonzero((np.cumsum(near)[: len(full)] > 0) & whole)
-            keys = np.empty(len(start), _KEY)
-            keys["a"] = full[start]
-            keys["b"] = words.windows(words.hashes(1), window, 1)[0][start]
-            found.append((keys, ids[words.doc[start]]))
-        return _sent(_part(table), n, found, _KEY)
+            whole = words.windows(hashes, window)[1]
+            start = np.flatnonzero((np.cumsum(near)[: len(whole)] > 0) & whole)
+            found.append((_window_keys(words, hashes, start, window), ids[words.doc[start]]))
+        return _sent(_part(table), n, found, _WINDOW)
 
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("removed_spans", pa.list_(pa.list_(pa.int64()))), ("kept_text", pa.string())])
 
     def cleaned(table: pa.Table, replies: pa.Table) -> pa.Table:
-        known, least = _known(replies, _KEY)
+        sizes = replies["n"].to_pylist()
+        known, least = _unpacked(replies["keys"].to_pylist(), sizes, _WINDOW, _WINDOW_BYTES), _unpacked(replies["docs"].to_pylist(), sizes, _DOC, 8)
+        order = _order(known, least)
+        known, least = known[order], least[order]
         rows: dict[str, list] = {f.name: [] for f in out}
         for ids, texts in _slices_of(table):
             gone = None
             if len(known):
                 words = Words(texts)
-                full, whole = words.windows(words.hashes(), window)
-                keys = np.empty(len(full), _KEY)
-                keys["a"] = full
-                maybe = np.flatnonzero(whole & _lookup(full, np.unique(known["a"]))[0])
-                keys["b"][maybe] = words.windows(words.hashes(1), window, 1)[0][maybe]
-                is_known, at = _lookup(keys[maybe], known)
+                hashes = words.hashes()
+                full, whole = words.windows(hashes, window)
+                maybe = np.flatnonzero(whole & _lookup(full, known["a"])[0])
+                is_known, at = _lookup(_window_keys(words, hashes, maybe, window), known)
                 start = maybe[is_known]
                 start = start[least[at[is_known]] < ids[words.doc[start]]]
                 edge = np.zeros(len(words) + 1, np.int64)
@@ -216,8 +247,8 @@ def remove_repeated_passages(docs: DataFrame, window: int = 13) -> DataFrame:
                 rows["removed_spans"].append(spans)
         return pa.table(rows, schema=out)
 
-    first = dealt.groupBy("part").applyInArrow(anchors, _SENT_SQL).groupBy("bucket").applyInArrow(_replies(np.uint64), _REPLY_SQL)
-    second = dealt.groupBy("part").cogroup(first.groupBy("part")).applyInArrow(candidates, _SENT_SQL).groupBy("bucket").applyInArrow(_replies(_KEY), _REPLY_SQL)
+    first = dealt.groupBy("part").applyInArrow(anchors, _SENT_SQL).groupBy("bucket").applyInArrow(_shared_anchors, _REPLY_SQL)
+    second = dealt.groupBy("part").cogroup(first.groupBy("part")).applyInArrow(candidates, _SENT_SQL).groupBy("bucket").applyInArrow(_earlier_windows, _REPLY_SQL)
     return dealt.groupBy("part").cogroup(second.groupBy("part")).applyInArrow(cleaned, "doc_id long, n_words long, removed_spans array<array<long>>, kept_text string")
 
 
