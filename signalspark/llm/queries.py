@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .line_dedup import OP7_SQL, op7_line_dedup
+from .packing import op3_packing
 from .simhash import op1_simhash_near_dedup
 from .substring_dedup import op8_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op8_substring_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_packing, op7_line_dedup, op8_substring_dedup)}
+ORACLES = {"op7_line_dedup": OP7_SQL}
