@@ -25,6 +25,8 @@ from .components import connected_components
 
 BITS = 64
 SEED = 42
+#: A key that more fingerprints share than this, and many times the expected number, is crowded.
+CROWDED = 64
 
 
 def fingerprint(text: str | None, words: int = 4, distinct: bool = False) -> int:
@@ -99,12 +101,12 @@ def _within(x: Column, start: Column, most: int) -> Column:
 
 def candidate_pairs(points: DataFrame, most: int) -> DataFrame:
     """Distinct ``(a, b)`` of ``points(id, fp, near)`` whose fingerprints differ in ``most`` bits
-    at most, a < b, but for pairs that have the same ``near``. Keys that only one value of
-    ``near`` has are left out before the join."""
+    at most, a < b, but for pairs that have the same ``near``. A crowded key that only one value
+    of ``near`` has is left out before the join."""
     keyed = points.select("id", "fp", "near", F.explode(_keys(F.col("fp"), most)).alias("k")).select("id", "fp", "near", "k.*")
     key = ["start", "half", "key"]
-    mixed = keyed.groupBy(key).agg(F.min("near").alias("x"), F.max("near").alias("y")).where("x < y").select(key)
-    keyed = keyed.join(mixed, key, "left_semi")
+    settled = keyed.groupBy(key).agg(F.min("near").alias("x"), F.max("near").alias("y"), F.count("*").alias("n")).where((F.col("x") == F.col("y")) & (F.col("n") > CROWDED)).select(key)
+    keyed = keyed.join(settled, key, "left_anti")
     a, b = keyed.alias("a"), keyed.alias("b")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in key]
     near = (F.col("a.id") < F.col("b.id")) & (F.col("a.near") != F.col("b.near"))
@@ -112,10 +114,6 @@ def candidate_pairs(points: DataFrame, most: int) -> DataFrame:
     return a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
-#: A key that more fingerprints share than this, and many times the expected number, is crowded.
-CROWDED = 64
-
-
 def _crowded_links(prints: DataFrame, most: int) -> DataFrame:
     """Links between fingerprints that differ in two bits at most, among those with a crowded key.
 
