@@ -11,6 +11,7 @@ two, down to ``shortest``; only a rest below that is padded.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -27,16 +28,28 @@ TIERS = (256, 512, 1024, 2048, 4096)
 _ID = np.dtype("<u4")
 
 
+def _kinds() -> bytes:
+    """For each character of Latin-1: p for a comma or full stop, o for other marks, else a."""
+    plain = lambda c: unicodedata.category(c)[0] in "LN" or c in "\t\n\x0b\x0c\r \x85\xa0"
+    return bytes(ord("p" if c in ",." else "a" if plain(c) else "o") for c in map(chr, range(256)))
+
+
+_KINDS = _kinds()
+#: Marks that the tokenizer always parts from the letters before them; an apostrophe may join.
+_MARKS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+
+
 class WordTokenizer:
     """Ids of a tokenizer whose words never reach over white space, with the ids of words kept.
 
     Words up to white space are encoded once and kept, ``most`` at a time. A text of Latin-1 is
     lower-cased first, as the tokenizer does itself, so that more words are alike. New words of
     letters only are encoded in one call, as one text: the tokenizer makes one word of each, and
-    ends it with a token that only ends words.
+    ends it with a token that only ends words. Commas and full stops are words to the tokenizer
+    when no other mark is next to them; then they are set apart before.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -51,32 +64,43 @@ class WordTokenizer:
             self._kept[w] = np.array(e.ids, _ID).tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
-        kept, letters, others, parts = self._kept, set(), set(), []
-        for w in words:
-            stem = w.rstrip(b".,;:!?")
-            if not (stem.isalpha() or stem.decode().isalpha()):
-                others.add(w)
-            elif len(stem) == len(w):
-                letters.add(w)
-            else:
-                tail = w[len(stem) :]
-                parts.append((w, stem, tail))
-                letters.add(stem)
-                others.add(tail)
-        letters = list(letters.difference(kept))
+        letters = {w for w in words if w.isalpha() or w.decode().isalpha()}
+        rest, parts = words - letters, []
+        for w in rest:
+            stem = w.rstrip(_MARKS)
+            if stem and stem != w and stem.decode().isalpha():
+                parts.append((w, stem, w[len(stem) :]))
+        if parts:
+            rest.difference_update(w for w, _, _ in parts)
+            letters.update(stem for _, stem, _ in parts)
+            rest.update(tail for _, _, tail in parts)
+            letters, rest = letters.difference(self._kept), rest.difference(self._kept)
+        self._letters(list(letters))
+        self._each(list(rest))
+        for w, stem, tail in parts:
+            self._kept[w] = self._kept[stem] + self._kept[tail]
+
+    def _letters(self, letters: list[bytes]) -> None:
         if letters:
             ids = np.array(self._tokenizer.encode(b" ".join(letters).decode(), add_special_tokens=False).ids, _ID)
             ends = (np.flatnonzero(self._ends_word[ids]) + 1) * _ID.itemsize
             if len(ends) == len(letters):
-                raw, at = ids.tobytes(), 0
-                for w, to in zip(letters, ends.tolist(), strict=True):
-                    kept[w] = raw[at:to]
-                    at = to
+                raw, ends = ids.tobytes(), ends.tolist()
+                self._kept.update(zip(letters, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
             else:
                 self._each(letters)
-        self._each(list(others.difference(kept)))
-        for w, stem, tail in parts:
-            kept[w] = kept[stem] + kept[tail]
+
+    def _words(self, text: str | None) -> list[bytes]:
+        if not text:
+            return []
+        try:
+            kinds = text.encode("latin-1").translate(_KINDS)
+        except UnicodeEncodeError:
+            return text.encode().split()
+        raw = text.lower().encode()
+        if not (b"pp" in kinds or b"op" in kinds or b"po" in kinds):
+            raw = raw.replace(b",", b" , ").replace(b".", b" . ")
+        return raw.split()
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, the end token last."""
@@ -84,16 +108,7 @@ class WordTokenizer:
         for at in range(0, len(texts), 256):
             if len(self._kept) > self._most:
                 self._kept.clear()
-            docs = []
-            for text in texts[at : at + 256]:
-                raw = (text or "").encode()
-                if raw:
-                    try:
-                        (text or "").encode("latin-1")
-                        raw = text.lower().encode()
-                    except UnicodeEncodeError:
-                        pass
-                docs.append(raw.split())
+            docs = [self._words(text) for text in texts[at : at + 256]]
             missing = set().union(*docs).difference(self._kept)
             if missing:
                 self._learn(missing)
@@ -102,6 +117,16 @@ class WordTokenizer:
                 yield b"".join(map(get, words)) + end
 
 
+_encoders: dict[str, WordTokenizer] = {}
+
+
+def encoder_of(path: str) -> WordTokenizer:
+    """This worker's tokenizer; the words that one task has learnt serve the next."""
+    if path not in _encoders:
+        _encoders[path] = WordTokenizer(path)
+    return _encoders[path]
+
+
 class _Packer:
     """The open sequences and waiting pieces of one partition.
 
@@ -216,7 +241,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, waitin
     sql = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)) + ", " + own
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordTokenizer(tokenizer)
+        encoder = encoder_of(tokenizer)
         base = TaskContext.get().partitionId() << 33
         ready: list[list] = []
         count = 0
