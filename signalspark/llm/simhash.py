@@ -99,11 +99,12 @@ def _within(x: Column, start: Column, most: int) -> Column:
     return test & (F.bit_count(x) <= most)
 
 
-def candidate_pairs(points: DataFrame, most: int) -> DataFrame:
+def candidate_pairs(points: DataFrame, most: int, test: Column | None = None) -> DataFrame:
     """Distinct ``(a, b)`` of ``points(id, fp, near)`` whose fingerprints differ in ``most`` bits
     at most, a < b, but for pairs that have the same ``near``. A crowded key that only one value
-    of ``near`` has is left out before the join."""
-    keyed = points.select("id", "fp", "near", F.explode(_keys(F.col("fp"), most)).alias("k")).select("id", "fp", "near", "k.*")
+    of ``near`` has is left out before the join. ``test`` is a further condition on the pair's
+    other columns, as of a and b."""
+    keyed = points.select("*", F.explode(_keys(F.col("fp"), most)).alias("k")).select(*points.columns, "k.*")
     key = ["start", "half", "key"]
     settled = keyed.groupBy(key).agg(F.min("near").alias("x"), F.max("near").alias("y"), F.count("*").alias("n")).where((F.col("x") == F.col("y")) & (F.col("n") > CROWDED)).select(key)
     keyed = keyed.join(settled, key, "left_anti")
@@ -111,6 +112,8 @@ def candidate_pairs(points: DataFrame, most: int) -> DataFrame:
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in key]
     near = (F.col("a.id") < F.col("b.id")) & (F.col("a.near") != F.col("b.near"))
     on.append(near & _within(F.col("a.fp").bitwiseXOR(F.col("b.fp")), F.col("a.start"), most))
+    if test is not None:
+        on.append(test)
     return a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
@@ -166,6 +169,101 @@ def simhash_groups(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
     return marked.join(answer, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Documents of one sequence of words have one key; the shingles of a text, hashed and distinct.
+_PROFILE = "key_a long, key_b long, fp long, fine long, size int"
+
+
+def _profile(text: Column, words: int) -> Column:
+    """Struct of a text's sequence of words as a 128-bit key, the fingerprint of its distinct
+    words, the fingerprint of its shingles, and the number of its distinct shingles."""
+
+    @F.pandas_udf(_PROFILE)
+    def profiles(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            out = []
+            for t in texts:
+                w = (t or "").encode().lower().split()
+                key = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(w)), ">i8")
+                out.append((int(key[0]), int(key[1]), fingerprint(t, 1, True), fingerprint(t, words), len(_shingles(t, words))))
+            yield pd.DataFrame(out, columns=["key_a", "key_b", "fp", "fine", "size"])
+
+    return profiles(text)
+
+
+def _shingles(text: str | None, words: int) -> set[tuple[bytes, ...]]:
+    w = (text or "").encode().lower().split()
+    return set(zip(*(w[k:] for k in range(min(words, len(w)))), strict=False))
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` whose distinct shingles have a Jaccard similarity of at least that."""
+
+    @F.pandas_udf("array<long>")
+    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([[xxhash.xxh64_intdigest(b" ".join(s), SEED) - (1 << 63) for s in _shingles(t, words)] for t in texts])
+
+    ids = pairs.select("a").union(pairs.select("b")).distinct().toDF("id")
+    sets = checkpointed(docs.join(ids, "id", "left_semi").select("id", hashed("text").alias("set")))
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def _middle_pairs(points: DataFrame, most: int, test: Column) -> DataFrame:
+    """Pairs of the points of a crowded key with the one in their middle: the nearest to the
+    majority of each bit. A group of copies that differ from one text but less from it than
+    from each other is then linked through that text, without a pair of copies."""
+    keyed = points.select("*", F.explode(_keys(F.col("fp"), most)).alias("k")).select(*points.columns, "k.*")
+    key = ["start", "half", "key"]
+    keyed = keyed.join(keyed.groupBy(key).count().where(F.col("count") > CROWDED).select(key), key, "left_semi")
+    bits = [F.sum(F.getbit("fp", F.lit(i)).cast("long")).alias(f"b{i}") for i in range(BITS)]
+    ones = keyed.groupBy(key).agg(F.count("*").alias("n"), *bits)
+    middle = F.lit(0).cast("long")
+    for i in range(BITS):
+        middle = middle.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(_signed(1 << i))).otherwise(F.lit(0).cast("long")))
+    ones = ones.select(*key, middle.alias("middle"))
+    chosen = keyed.join(ones, key).groupBy(key).agg(F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("middle"))).alias("far"), *points.columns)).alias("b"))
+    pairs = keyed.alias("a").join(chosen, key).where((F.col("a.id") != F.col("b.id")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= most) & test)
+    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
+def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 6, fine: int = 20) -> DataFrame:
+    """``(doc_id, group_id)`` of ``docs(doc_id, text)``: groups of documents linked by a Jaccard
+    similarity of at least ``similarity`` of their distinct shingles of ``words`` words.
+
+    Candidates are pairs whose fingerprints of distinct single words differ in ``most`` bits at
+    most, by pigeonring filtering, and whose fingerprints of shingles differ in ``fine`` at most;
+    single words change less between near copies than shingles do, so few bits find them. Then
+    the similarity is computed exactly. Texts of the same words in A-Z lower case are one text
+    and never make pairs; texts without a word are one group, as null is. group_id is the
+    group's smallest doc_id. Rows with a null doc_id are left out; rows that repeat stay.
+    """
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    marked = checkpointed(docs.select("doc_id", _profile(F.col("text"), words).alias("p")).select("doc_id", "p.*"))
+    key = ["key_a", "key_b"]
+    texts = marked.groupBy(key).agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("fine").alias("fine"), F.first("size").alias("size"))
+    texts = checkpointed(texts)
+    points = texts.select("id", "fp", "fine", "size")
+    sized = (F.col("a.size") >= similarity * F.col("b.size")) & (F.col("b.size") >= similarity * F.col("a.size"))
+    test = sized & (F.bit_count(F.col("a.fine").bitwiseXOR(F.col("b.fine"))) <= fine)
+    named = docs.withColumnRenamed("doc_id", "id")
+    first = checkpointed(_similar(checkpointed(_middle_pairs(points, most, test)), named, words, similarity))
+    near = connected_components(first)
+    points = checkpointed(points.join(near, F.col("id") == F.col("node"), "left").select("id", "fp", "fine", "size", F.coalesce("component", "id").alias("near")))
+    second = _similar(checkpointed(candidate_pairs(points, most, test)), named, words, similarity)
+    groups = connected_components(first.union(second))
+    answer = texts.join(groups, F.col("id") == F.col("node"), "left").select(*key, F.coalesce("component", "id").alias("group_id"))
+    return marked.join(answer, key).select("doc_id", "group_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Rows of ``docs`` but those whose group, as of ``near_duplicate_groups``, has a smaller
+    doc_id; rows of a null doc_id, and rows that repeat the smallest one, stay."""
+    gone = near_duplicate_groups(docs, words, similarity).where("group_id < doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(read_table(spark, sf_dir, "documents"), words=4, most=4)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
