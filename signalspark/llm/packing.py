@@ -64,11 +64,12 @@ class WordTokenizer:
             self._kept[w] = np.array(e.ids, _ID).tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
-        letters = {w for w in words if w.isalpha() or w.decode().isalpha()}
+        # a letter that lower-cases to a letter and a mark would join the marks after it
+        letters = {w for w in words if w.isalpha() or w.decode().isalpha() and w.decode().lower().isalpha()}
         rest, parts = words - letters, []
         for w in rest:
             stem = w.rstrip(_MARKS)
-            if stem and stem != w and stem.decode().isalpha():
+            if stem and stem != w and stem.decode().isalpha() and stem.decode().lower().isalpha():
                 parts.append((w, stem, w[len(stem) :]))
         if parts:
             rest.difference_update(w for w, _, _ in parts)
