@@ -1,0 +1,3 @@
+"""Queries over the driver's tables, by subject."""
+
+from . import models, pages, sequences, series  # noqa: F401
