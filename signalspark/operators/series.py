@@ -63,7 +63,7 @@ def value_changes(rows: DataFrame, keys: list[str], order: str, value: str) -> D
 
 
 def published(events: DataFrame, retractions: DataFrame, keys: list[str]) -> DataFrame:
-    return events.join(retractions.select(*keys).distinct(), keys, "left_anti")
+    return events.join(retractions.select(*keys).distinct(), keys, "left_anti").select(events.columns)
 
 
 def retracted(events: DataFrame, retractions: DataFrame, keys: list[str], order: str, extra: list[str]) -> DataFrame:
@@ -74,7 +74,7 @@ def retracted(events: DataFrame, retractions: DataFrame, keys: list[str], order:
 
 def append_new(log: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``incoming`` whose key the log doesn't have, one a key: what an append adds."""
-    return incoming.dropDuplicates(keys).join(log.select(*keys).distinct(), keys, "left_anti")
+    return incoming.dropDuplicates(keys).join(log.select(*keys).distinct(), keys, "left_anti").select(incoming.columns)
 
 
 def confirmed(last_ok_at: Column, detected_at: Column) -> Column:
