@@ -47,7 +47,7 @@ def share(yes: Column, readable: Column) -> Column:
 
 
 def flips_to_tie(yes_a: Column, n_a: Column, yes_b: Column, n_b: Column) -> Column:
-    """Answers of the higher group that would have to flip for its share to be no higher than the
-    other's, in whole numbers; null without a denominator."""
+    """Answers of the lower group b that would have to turn to yes for its share to reach that of
+    a, in whole numbers; null without a denominator."""
     over = yes_a * n_b - yes_b * n_a
-    return F.when((n_a > 0) & (n_b > 0), F.when(over <= 0, F.lit(0)).otherwise(F.ceil(over / n_b)).cast("long"))
+    return F.when((n_a > 0) & (n_b > 0), F.when(over <= 0, F.lit(0)).otherwise(F.ceil(over / n_a)).cast("long"))

@@ -122,7 +122,7 @@ def segment_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT a.cut, a.grp AS top, b.grp AS bottom, a.yes AS ya, a.readable AS na, b.yes AS yb, b.readable AS nb,
     row_number() OVER (PARTITION BY a.cut ORDER BY a.yes::DECIMAL(18,9) / a.readable DESC, a.grp, b.yes::DECIMAL(18,9) / b.readable, b.grp DESC) AS k, (SELECT count(*) FROM drawn d WHERE d.cut = a.cut) AS drawable
   FROM drawn a JOIN drawn b ON a.cut = b.cut
-), flips AS (SELECT *, CASE WHEN ya * nb <= yb * na THEN 0 ELSE (ya * nb - yb * na + nb - 1) // nb END AS flips FROM ends WHERE k = 1)
+), flips AS (SELECT *, CASE WHEN ya * nb <= yb * na THEN 0 ELSE (ya * nb - yb * na + na - 1) // na END AS flips FROM ends WHERE k = 1)
 SELECT cut, drawable, top, bottom, CAST(flips AS BIGINT) AS flips, CASE WHEN drawable < 8 THEN 'coverage' WHEN flips <= 2 THEN 'flat' END AS withheld FROM flips"""
 )
 def segment_fragility(spark: SparkSession, sf_dir: str) -> DataFrame:
