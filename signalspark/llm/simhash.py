@@ -88,6 +88,22 @@ def _keys(fp: Column, most: int) -> Column:
     return F.array(*out)
 
 
+def _first_key(x: Column, start: Column, half: Column, most: int) -> Column:
+    """Whether no key before this one finds the pair too, so that it is met at one key only."""
+    ring = _segments(most)
+    n, out = len(ring), F.lit(True)
+    for i in range(n):
+        chains = [(_signed(sum(_bits(*ring[(i + k) % n]) for k in range(length))), length * most // n) for length in range(2, n)]
+        found = F.lit(True)
+        for mask, budget in chains:
+            found = found & (F.bit_count(x.bitwiseAND(F.lit(mask))) <= budget)
+        at, width = ring[(i + 1) % n]
+        for h, (a, w) in enumerate(((at, width // 2), (at + width // 2, width - width // 2))):
+            equal = x.bitwiseAND(F.lit(_signed(_bits(*ring[i]) | _bits(a, w)))) == 0
+            out = out & ((start * 2 + half <= 2 * i + h) | ~(equal & found))
+    return out
+
+
 def _within(x: Column, start: Column, most: int) -> Column:
     """Whether the differing bits ``x`` keep to the budget of every chain from ``start``, and in all."""
     ring = _segments(most)
@@ -99,11 +115,10 @@ def _within(x: Column, start: Column, most: int) -> Column:
     return test & (F.bit_count(x) <= most)
 
 
-def candidate_pairs(points: DataFrame, most: int, test: Column | None = None) -> DataFrame:
+def candidate_pairs(points: DataFrame, most: int) -> DataFrame:
     """Distinct ``(a, b)`` of ``points(id, fp, near)`` whose fingerprints differ in ``most`` bits
     at most, a < b, but for pairs that have the same ``near``. A crowded key that only one value
-    of ``near`` has is left out before the join. ``test`` is a further condition on the pair's
-    other columns, as of a and b."""
+    of ``near`` has is left out before the join."""
     keyed = points.select("*", F.explode(_keys(F.col("fp"), most)).alias("k")).select(*points.columns, "k.*")
     key = ["start", "half", "key"]
     settled = keyed.groupBy(key).agg(F.min("near").alias("x"), F.max("near").alias("y"), F.count("*").alias("n")).where((F.col("x") == F.col("y")) & (F.col("n") > CROWDED)).select(key)
@@ -112,22 +127,23 @@ def candidate_pairs(points: DataFrame, most: int, test: Column | None = None) ->
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in key]
     near = (F.col("a.id") < F.col("b.id")) & (F.col("a.near") != F.col("b.near"))
     on.append(near & _within(F.col("a.fp").bitwiseXOR(F.col("b.fp")), F.col("a.start"), most))
-    if test is not None:
-        on.append(test)
     return a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
+def _crowd(total: int, most: int) -> int:
+    """So many of ``total`` fingerprints, at least, don't share a key by chance."""
+    return CROWDED + 8 * (total >> min(w for _, w in _segments(most)) * 3 // 2)
+
+
 def _crowded_links(prints: DataFrame, most: int) -> DataFrame:
     """Links between fingerprints that differ in two bits at most, among those with a crowded key.
 
     A fingerprint is put at itself and at each value one bit away; all that meet at a value link
     to the smallest there. So a dense group costs 65 rows a fingerprint, not its square.
     """
-    total = prints.count()
-    bits = min(w for _, w in _segments(most)) * 3 // 2
     keyed = prints.select("fp", F.explode(_keys(F.col("fp"), most)).alias("k")).select("fp", "k.*")
     key = ["start", "half", "key"]
-    crowded = keyed.groupBy(key).count().where(F.col("count") > CROWDED + 8 * (total >> bits)).select(key)
+    crowded = keyed.groupBy(key).count().where(F.col("count") > _crowd(prints.count(), most)).select(key)
     dense = keyed.join(crowded, key, "left_semi").select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << i)) for i in range(BITS)))
     placed = dense.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("place"))
@@ -182,9 +198,8 @@ def _profile(text: Column, words: int) -> Column:
         for texts in batches:
             out = []
             for t in texts:
-                w = (t or "").encode().lower().split()
-                key = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(w)), ">i8")
-                out.append((int(key[0]), int(key[1]), fingerprint(t, 1, True), fingerprint(t, words), len(_shingles(t, words))))
+                key = np.frombuffer(xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())), ">i8")
+                out.append((int(key[0]), int(key[1]), fingerprint(t, 1, True), fingerprint(t, words), len(_hashed(t, words))))
             yield pd.DataFrame(out, columns=["key_a", "key_b", "fp", "fine", "size"])
 
     return profiles(text)
@@ -195,66 +210,106 @@ def _shingles(text: str | None, words: int) -> set[tuple[bytes, ...]]:
     return set(zip(*(w[k:] for k in range(min(words, len(w)))), strict=False))
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The ``pairs(a, b)`` whose distinct shingles have a Jaccard similarity of at least that."""
+def _hashed(text: str | None, words: int) -> set[int]:
+    """Signed hashes of the distinct shingles."""
+    w = (text or "").encode().lower().split()
+    joined = b" ".join(w)
+    ends = list(accumulate(w, lambda end, x: end + 1 + len(x), initial=-1))
+    k = min(words, len(w))
+    return {xxhash.xxh64_intdigest(joined[a + 1 : b], SEED) - (1 << 63) for a, b in zip(ends, ends[k:], strict=False)} if w else set()
+
+
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """``(id, set)``: the hashed distinct shingles of the texts of ``ids(id)``."""
 
     @F.pandas_udf("array<long>")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([[xxhash.xxh64_intdigest(b" ".join(s), SEED) - (1 << 63) for s in _shingles(t, words)] for t in texts])
+            yield pd.Series([np.fromiter(_hashed(t, words), np.int64) for t in texts])
+
+    return checkpointed(docs.join(ids, "id", "left_semi").select("id", hashed("text").alias("set")))
+
 
-    ids = pairs.select("a").union(pairs.select("b")).distinct().toDF("id")
-    sets = checkpointed(docs.join(ids, "id", "left_semi").select("id", hashed("text").alias("set")))
+def _alike(x: Column, y: Column, similarity: float) -> Column:
+    shared = F.size(F.array_intersect(x, y))
+    return shared >= similarity * (F.size(x) + F.size(y) - shared)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return both.where(_alike(F.col("x"), F.col("y"), similarity)).select("a", "b")
 
 
-def _middle_pairs(points: DataFrame, most: int, test: Column) -> DataFrame:
-    """Pairs of the points of a crowded key with the one in their middle: the nearest to the
-    majority of each bit. A group of copies that differ from one text but less from it than
-    from each other is then linked through that text, without a pair of copies."""
-    keyed = points.select("*", F.explode(_keys(F.col("fp"), most)).alias("k")).select(*points.columns, "k.*")
-    key = ["start", "half", "key"]
-    keyed = keyed.join(keyed.groupBy(key).count().where(F.col("count") > CROWDED).select(key), key, "left_semi")
+_KEY = ["start", "half", "key"]
+
+
+def _with_middles(keyed: DataFrame, most: int, test: Column) -> DataFrame:
+    """Pairs of the points of a key with the one in their middle: the nearest to the majority of
+    each bit. A group of copies that differ from one text, but less from it than from each
+    other, is then linked through that text, without a pair of copies."""
     bits = [F.sum(F.getbit("fp", F.lit(i)).cast("long")).alias(f"b{i}") for i in range(BITS)]
-    ones = keyed.groupBy(key).agg(F.count("*").alias("n"), *bits)
+    ones = keyed.groupBy(_KEY).agg(F.count("*").alias("n"), *bits)
     middle = F.lit(0).cast("long")
     for i in range(BITS):
         middle = middle.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(_signed(1 << i))).otherwise(F.lit(0).cast("long")))
-    ones = ones.select(*key, middle.alias("middle"))
-    chosen = keyed.join(ones, key).groupBy(key).agg(F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("middle"))).alias("far"), *points.columns)).alias("b"))
-    pairs = keyed.alias("a").join(chosen, key).where((F.col("a.id") != F.col("b.id")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= most) & test)
-    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("middle")))
+    chosen = keyed.join(ones.select(*_KEY, middle.alias("middle")), _KEY).groupBy(_KEY).agg(F.min(F.struct(far.alias("far"), "id", "fp", "fine", "size")).alias("b"))
+    pairs = keyed.alias("a").join(chosen, _KEY).where((F.col("a.id") != F.col("b.id")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= most) & test)
+    return checkpointed(pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 6, fine: int = 20) -> DataFrame:
+def _pairs_at(keyed: DataFrame, most: int, test: Column) -> DataFrame:
+    """Pairs of one key with different ``near``, a < b, each at the first key they share."""
+    x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    near = (F.col("a.id") < F.col("b.id")) & (F.col("a.near") != F.col("b.near"))
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in _KEY] + [near & _within(x, F.col("a.start"), most) & _first_key(x, F.col("a.start"), F.col("a.half"), most) & test]
+    return keyed.alias("a").join(keyed.alias("b"), on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+
+
+def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 6, fine: int = 20, rounds: int = 2) -> DataFrame:
     """``(doc_id, group_id)`` of ``docs(doc_id, text)``: groups of documents linked by a Jaccard
     similarity of at least ``similarity`` of their distinct shingles of ``words`` words.
 
     Candidates are pairs whose fingerprints of distinct single words differ in ``most`` bits at
     most, by pigeonring filtering, and whose fingerprints of shingles differ in ``fine`` at most;
     single words change less between near copies than shingles do, so few bits find them. Then
-    the similarity is computed exactly. Texts of the same words in A-Z lower case are one text
-    and never make pairs; texts without a word are one group, as null is. group_id is the
-    group's smallest doc_id. Rows with a null doc_id are left out; rows that repeat stay.
+    the similarity is computed exactly. Keys that many points share are first linked through
+    their middles, ``rounds`` times; after that only pairs from groups still apart are compared
+    there, in the join's condition, so that no pair of a dense group is made but those that link
+    two groups. Texts of the same words in A-Z lower case are one text and never make pairs;
+    texts without a word are one group, as null is. group_id is the group's smallest doc_id.
+    Rows with a null doc_id are left out; rows that repeat stay.
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     marked = checkpointed(docs.select("doc_id", _profile(F.col("text"), words).alias("p")).select("doc_id", "p.*"))
-    key = ["key_a", "key_b"]
-    texts = marked.groupBy(key).agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("fine").alias("fine"), F.first("size").alias("size"))
-    texts = checkpointed(texts)
-    points = texts.select("id", "fp", "fine", "size")
+    texts = checkpointed(marked.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("fine").alias("fine"), F.first("size").alias("size")))
     sized = (F.col("a.size") >= similarity * F.col("b.size")) & (F.col("b.size") >= similarity * F.col("a.size"))
     test = sized & (F.bit_count(F.col("a.fine").bitwiseXOR(F.col("b.fine"))) <= fine)
     named = docs.withColumnRenamed("doc_id", "id")
-    first = checkpointed(_similar(checkpointed(_middle_pairs(points, most, test)), named, words, similarity))
-    near = connected_components(first)
-    points = checkpointed(points.join(near, F.col("id") == F.col("node"), "left").select("id", "fp", "fine", "size", F.coalesce("component", "id").alias("near")))
-    second = _similar(checkpointed(candidate_pairs(points, most, test)), named, words, similarity)
-    groups = connected_components(first.union(second))
-    answer = texts.join(groups, F.col("id") == F.col("node"), "left").select(*key, F.coalesce("component", "id").alias("group_id"))
-    return marked.join(answer, key).select("doc_id", "group_id")
+
+    points = texts.select("id", "fp", "fine", "size")
+    keyed = points.select("*", F.explode(_keys(F.col("fp"), most)).alias("k")).select("id", "fp", "fine", "size", "k.*")
+    crowd = _crowd(points.count(), most) - CROWDED + 8
+    crowded = checkpointed(keyed.groupBy(_KEY).count().where(F.col("count") > crowd).select(_KEY))
+    dense = checkpointed(keyed.join(crowded, _KEY, "left_semi"))
+    sets = _sets(named, dense.select("id").distinct(), words)
+    links, left = None, dense
+    for _ in range(rounds):
+        found = checkpointed(_verified(_with_middles(left, most, test), sets, similarity))
+        links = found if links is None else links.union(found)
+        left = left.join(found.select(F.col("a").alias("id")).union(found.select("b")).distinct(), "id", "left_anti")
+    near = connected_components(links)
+    labelled = lambda frame: frame.join(near, F.col("id") == F.col("node"), "left").withColumn("near", F.coalesce("component", "id")).drop("node", "component")
+    sparse = checkpointed(_pairs_at(labelled(keyed.join(crowded, _KEY, "left_anti")), most, test))
+    ids = sparse.select(F.col("a").alias("id")).union(sparse.select("b")).distinct()
+    links = links.union(_verified(sparse, _sets(named, ids, words), similarity))
+    dense = labelled(dense)
+    mixed = dense.groupBy(_KEY).agg(F.min("near").alias("x"), F.max("near").alias("y")).where("x < y").select(_KEY)
+    dense = dense.join(mixed, _KEY, "left_semi").join(sets, "id")
+    links = links.union(_pairs_at(dense, most, test & _alike(F.col("a.set"), F.col("b.set"), similarity)))
+    groups = connected_components(links)
+    answer = texts.join(groups, F.col("id") == F.col("node"), "left").select("key_a", "key_b", F.coalesce("component", "id").alias("group_id"))
+    return marked.join(answer, ["key_a", "key_b"]).select("doc_id", "group_id")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
