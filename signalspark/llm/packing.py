@@ -118,14 +118,15 @@ class WordTokenizer:
                 yield b"".join(map(get, words)) + end
 
 
-_encoders: dict[str, WordTokenizer] = {}
+_encoders: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def encoder_of(path: str) -> WordTokenizer:
+def encoder_of(path: str, most: int) -> WordTokenizer:
     """This worker's tokenizer; the words that one task has learnt serve the next."""
-    if path not in _encoders:
-        _encoders[path] = WordTokenizer(path)
-    return _encoders[path]
+    if (path, most) not in _encoders:
+        _encoders.clear()
+        _encoders[path, most] = WordTokenizer(path, most)
+    return _encoders[path, most]
 
 
 class _Packer:
@@ -217,7 +218,7 @@ class _Packer:
             total -= tier
 
 
-def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, waiting: int = 32, group_tokens: int = 65_536, shortest: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, waiting: int = 32, group_tokens: int = 65_536, shortest: int = 1, keep: tuple[str, ...] = (), kept_words: int = 600_000) -> DataFrame:
     """Pieces of all ``docs(doc_id, text)``: ``doc_id, start, length, token_ids, doc_tokens,
     sequence_id, offset, tier, step_group`` and the columns named in ``keep``.
 
@@ -229,8 +230,8 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, waitin
 
     A null or empty text is its end token; a document with no other row is packed alike; rows
     that repeat are packed each for itself; doc_id may be null. No rows give no pieces. Memory is
-    bounded by ``waiting`` pieces a tier, an input batch, and the longest document. Other columns
-    may have any name.
+    bounded by ``waiting`` pieces a tier, ``kept_words`` words whose ids a worker keeps (200 bytes
+    each), an input batch, and the longest document. Other columns may have any name.
     """
     tiers = tuple(sorted(tiers))
     if any(t & (t - 1) for t in tiers):
@@ -242,7 +243,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, waitin
     sql = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)) + ", " + own
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer)
+        encoder = encoder_of(tokenizer, kept_words)
         base = TaskContext.get().partitionId() << 33
         ready: list[list] = []
         count = 0
