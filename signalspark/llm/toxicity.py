@@ -49,7 +49,7 @@ def _trained(size: int, samples: list[bytes], segment: int) -> bytes:
 class Compressors:
     """The two dictionaries, and the lengths that windows have under them."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, context: bytes, most: int = 400_000):
+    def __init__(self, toxic: bytes, ordinary: bytes, context: bytes, most: int = 80_000):
         self.toxic, self.ordinary, self.context = toxic, ordinary, context
         self._made, self._kept, self._most = None, {}, most
 
@@ -114,12 +114,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
 
 def train(toxic: list[str], ordinary: list[str], prior: float) -> Model:
     """A model from sample texts of both labels; ``prior`` is the share of toxic labels in all."""
-    in_toxic, in_ordinary = Counter(), Counter()
-    for texts, seen in ((toxic, in_toxic), (ordinary, in_ordinary)):
-        for t in texts:
-            seen.update(set(_words(t)))
-    least = max(3, 0.004 * len(toxic))
-    marks = {w for w, n in in_toxic.items() if n >= least and n * len(ordinary) > 20 * in_ordinary[w] * len(toxic)}
+    least, seen = max(3, 0.004 * len(toxic)), Counter()
+    for t in toxic:
+        seen.update(set(_words(t)))
+    in_toxic = {w: n for w, n in seen.items() if n >= least}
+    seen.clear()
+    for t in ordinary:  # only the words that may be marks are counted
+        seen.update(in_toxic.keys() & set(_words(t)))
+    marks = {w for w, n in in_toxic.items() if n * len(ordinary) > 20 * seen[w] * len(toxic)}
     samples = [b" " + b" ".join(mine) + b" " for t in toxic if (mine := [w for w in _words(t) if w in marks])]
     plain, total = [], 0
     for t in ordinary:
