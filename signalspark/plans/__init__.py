@@ -1,3 +1,3 @@
 """Queries over the driver's tables, by subject."""
 
-from . import detection, models, pages, sequences, series  # noqa: F401
+from . import comparison, detection, models, pages, sequences, series  # noqa: F401
