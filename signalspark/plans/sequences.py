@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import sequences
+from ..operators import layout, sequences
 from ..registry import query, table
 
 ROLES = ["system", "user", "assistant", "tool"]
@@ -89,3 +89,11 @@ def classifier_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     predicted = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").rlike("[#$%&|]"), "bad").otherwise("good").alias("label"))
     truth = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("label"))
     return sequences.scored(predicted, truth, ["doc_id"], "label", "good")
+
+
+@query()
+def shape_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct role sequences, of which there are few, as one drawing."""
+    found = _sequences(spark, sf_dir).select(F.col("sequence").alias("name"), "sequence").distinct()
+    near = sequences.neighbours(found, "name")
+    return layout.layout(sequences.shapes(near, found, "name"), near, "name")
