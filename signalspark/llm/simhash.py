@@ -89,18 +89,12 @@ def _keys(fp: Column, most: int) -> Column:
 
 
 def _first_key(x: Column, start: Column, half: Column, most: int) -> Column:
-    """Whether no key before this one finds the pair too, so that it is met at one key only."""
-    ring = _segments(most)
-    n, out = len(ring), F.lit(True)
-    for i in range(n):
-        chains = [(_signed(sum(_bits(*ring[(i + k) % n]) for k in range(length))), length * most // n) for length in range(2, n)]
-        found = F.lit(True)
-        for mask, budget in chains:
-            found = found & (F.bit_count(x.bitwiseAND(F.lit(mask))) <= budget)
-        at, width = ring[(i + 1) % n]
+    """Whether the two have no key before this one in common, so that a pair is met once."""
+    ring, out = _segments(most), F.lit(True)
+    for i in range(len(ring)):
+        at, width = ring[(i + 1) % len(ring)]
         for h, (a, w) in enumerate(((at, width // 2), (at + width // 2, width - width // 2))):
-            equal = x.bitwiseAND(F.lit(_signed(_bits(*ring[i]) | _bits(a, w)))) == 0
-            out = out & ((start * 2 + half <= 2 * i + h) | ~(equal & found))
+            out = out & ((start * 2 + half <= 2 * i + h) | (x.bitwiseAND(F.lit(_signed(_bits(*ring[i]) | _bits(a, w)))) != 0))
     return out
 
 
@@ -259,14 +253,18 @@ def _with_middles(keyed: DataFrame, most: int, test: Column) -> DataFrame:
 
 
 def _pairs_at(keyed: DataFrame, most: int, test: Column) -> DataFrame:
-    """Pairs of one key with different ``near``, a < b, each at the first key they share."""
+    """Pairs of one key with different ``near``, a < b, each at the first key they share.
+
+    The chain of two that the key stands for has pruned; longer chains may fail from this key's
+    segment and hold from a later one's, so the full distance is tested here.
+    """
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     near = (F.col("a.id") < F.col("b.id")) & (F.col("a.near") != F.col("b.near"))
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in _KEY] + [near & _within(x, F.col("a.start"), most) & _first_key(x, F.col("a.start"), F.col("a.half"), most) & test]
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in _KEY] + [near & (F.bit_count(x) <= most) & _first_key(x, F.col("a.start"), F.col("a.half"), most) & test]
     return keyed.alias("a").join(keyed.alias("b"), on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 6, fine: int = 20, rounds: int = 2) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 6, fine: int = 20, rounds: int = 1) -> DataFrame:
     """``(doc_id, group_id)`` of ``docs(doc_id, text)``: groups of documents linked by a Jaccard
     similarity of at least ``similarity`` of their distinct shingles of ``words`` words.
 
