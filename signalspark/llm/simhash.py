@@ -11,13 +11,14 @@ distance are tested in the join's condition, so a pair that fails leaves no row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, read_table
@@ -88,16 +89,6 @@ def _keys(fp: Column, most: int) -> Column:
     return F.array(*out)
 
 
-def _first_key(x: Column, start: Column, half: Column, most: int) -> Column:
-    """Whether the two have no key before this one in common, so that a pair is met once."""
-    ring, out = _segments(most), F.lit(True)
-    for i in range(len(ring)):
-        at, width = ring[(i + 1) % len(ring)]
-        for h, (a, w) in enumerate(((at, width // 2), (at + width // 2, width - width // 2))):
-            out = out & ((start * 2 + half <= 2 * i + h) | (x.bitwiseAND(F.lit(_signed(_bits(*ring[i]) | _bits(a, w)))) != 0))
-    return out
-
-
 def _within(x: Column, start: Column, most: int) -> Column:
     """Whether the differing bits ``x`` keep to the budget of every chain from ``start``, and in all."""
     ring = _segments(most)
@@ -180,12 +171,52 @@ def simhash_groups(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
 
 
 #: Documents of one sequence of words have one key; the shingles of a text, hashed and distinct.
-_PROFILE = "key_a long, key_b long, fp long, fine long, size int"
+_PROFILE = "key_a long, key_b long, size int, parity array<long>, prefix array<long>"
+#: Shingles that ``COMMON`` of some ``SAMPLE`` documents have come last in the order of a prefix.
+SAMPLE, COMMON = 20_000, 3
+#: Bits of a set's parities.
+PARITIES = 512
+#: Texts are shuffled only if their id's hash is among those, of so many, that the wanted ids have.
+SLOTS = 1 << 21
+#: A shingle that more texts than this have in their prefix is first linked through one of them.
+HUB = 8
+
+
+def _prefix(hashes: set[int], common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, in an order that all sets share: ``common`` ones (sorted) last,
+    else by hash. So many that a set as similar has one of them among its own first."""
+    s = np.sort(np.fromiter(hashes, np.int64, len(hashes)))
+    if len(common) and len(s):
+        late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+        s = np.concatenate([s[~late], s[late]])
+    return s[: len(s) - math.ceil(similarity * len(s) - 1e-6) + 1]
+
+
+def _parity(hashes: set[int]) -> np.ndarray:
+    """Whether the shingles of each of ``PARITIES`` classes are odd in number, as bits of longs. Two
+    sets have as many unequal bits at most as there are shingles in just one of them."""
+    odd = np.bincount(np.fromiter(hashes, np.int64, len(hashes)) & PARITIES - 1, minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _common(docs: DataFrame, words: int) -> np.ndarray:
+    """Shingles that several documents of a sample have. They only order the shingles of a prefix:
+    any order finds the same pairs, but rare shingles first makes few candidates."""
+
+    @F.pandas_udf("array<long>")
+    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.fromiter(_hashed(t, words), np.int64) for t in texts])
 
+    every = max(1, docs.count() // SAMPLE)
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    counts = drawn.select(F.explode(hashed("text")).alias("h")).groupBy("h").count().where(F.col("count") >= COMMON)
+    return np.sort(np.fromiter((r[0] for r in counts.select("h").collect()), np.int64))
 
-def _profile(text: Column, words: int) -> Column:
-    """Struct of a text's sequence of words as a 128-bit key, the fingerprint of its distinct
-    words, the fingerprint of its shingles, and the number of its distinct shingles."""
+
+def _profile(text: Column, words: int, common: np.ndarray, similarity: float) -> Column:
+    """Struct of a text's sequence of words as a 128-bit key, the number of its distinct shingles,
+    their parities and their prefix."""
 
     @F.pandas_udf(_PROFILE)
     def profiles(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -193,8 +224,9 @@ def _profile(text: Column, words: int) -> Column:
             out = []
             for t in texts:
                 key = np.frombuffer(xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())), ">i8")
-                out.append((int(key[0]), int(key[1]), fingerprint(t, 1, True), fingerprint(t, words), len(_hashed(t, words))))
-            yield pd.DataFrame(out, columns=["key_a", "key_b", "fp", "fine", "size"])
+                hashes = _hashed(t, words)
+                out.append((int(key[0]), int(key[1]), len(hashes), _parity(hashes), _prefix(hashes, common, similarity)))
+            yield pd.DataFrame(out, columns=["key_a", "key_b", "size", "parity", "prefix"])
 
     return profiles(text)
 
@@ -221,7 +253,10 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
         for texts in batches:
             yield pd.Series([np.fromiter(_hashed(t, words), np.int64) for t in texts])
 
-    return checkpointed(docs.join(ids, "id", "left_semi").select("id", hashed("text").alias("set")))
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS))
+    slots = ids.select(slot.alias("slot")).distinct()
+    few = docs.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi")
+    return checkpointed(few.join(ids, "id", "left_semi").select("id", hashed("text").alias("set")))
 
 
 def _alike(x: Column, y: Column, similarity: float) -> Column:
@@ -234,80 +269,80 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(_alike(F.col("x"), F.col("y"), similarity)).select("a", "b")
 
 
-_KEY = ["start", "half", "key"]
+def _prefix_test(similarity: float) -> Column:
+    """Whether two sets may be as similar, by their sizes and what is left after a shared shingle.
 
+    No shingle before the first that they share is shared, so similar sets pass there."""
+    least = similarity / (1 + similarity) * (F.col("a.size") + F.col("b.size")) - 1e-6
+    left = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
+    sized = (F.col("a.size") >= similarity * F.col("b.size") - 1e-6) & (F.col("b.size") >= similarity * F.col("a.size") - 1e-6)
+    return (F.col("a.near") != F.col("b.near")) & sized & (left >= least)
 
-def _with_middles(keyed: DataFrame, most: int, test: Column) -> DataFrame:
-    """Pairs of the points of a key with the one in their middle: the nearest to the majority of
-    each bit. A group of copies that differ from one text, but less from it than from each
-    other, is then linked through that text, without a pair of copies."""
-    bits = [F.sum(F.getbit("fp", F.lit(i)).cast("long")).alias(f"b{i}") for i in range(BITS)]
-    ones = keyed.groupBy(_KEY).agg(F.count("*").alias("n"), *bits)
-    middle = F.lit(0).cast("long")
-    for i in range(BITS):
-        middle = middle.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(_signed(1 << i))).otherwise(F.lit(0).cast("long")))
-    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("middle")))
-    chosen = keyed.join(ones.select(*_KEY, middle.alias("middle")), _KEY).groupBy(_KEY).agg(F.min(F.struct(far.alias("far"), "id", "fp", "fine", "size")).alias("b"))
-    pairs = keyed.alias("a").join(chosen, _KEY).where((F.col("a.id") != F.col("b.id")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= most) & test)
-    return checkpointed(pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
 
+def _hub_pairs(apart: DataFrame, test: Column) -> DataFrame:
+    """Pairs of the rows of a crowded shingle with one of them, another for each shingle."""
+    hubs = apart.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", "key").alias("lot"), "id", "size", "at", "near")).alias("b"))
+    hubs = hubs.where(F.col("n") > HUB).select("key", "b")
+    pairs = apart.alias("a").join(hubs, "key").where(test)
+    return pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
-def _pairs_at(keyed: DataFrame, most: int, test: Column) -> DataFrame:
-    """Pairs of one key with different ``near``, a < b, each at the first key they share.
 
-    The chain of two that the key stands for has pruned; longer chains may fail from this key's
-    segment and hold from a later one's, so the full distance is tested here.
-    """
-    x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    near = (F.col("a.id") < F.col("b.id")) & (F.col("a.near") != F.col("b.near"))
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in _KEY] + [near & (F.bit_count(x) <= most) & _first_key(x, F.col("a.start"), F.col("a.half"), most) & test]
-    return keyed.alias("a").join(keyed.alias("b"), on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+def _rest_pairs(apart: DataFrame, test: Column) -> DataFrame:
+    """Pairs of different ``near`` that share a shingle. The largest ``near`` of a shingle meets the
+    others only, so that the pairs within a dense group are not even tried."""
+    counts = apart.groupBy("key", "near").agg(F.count("*").alias("n")).groupBy("key")
+    major = counts.agg(F.max(F.struct("n", "near")).alias("m"), F.count("*").alias("k")).where("k > 1").select("key", F.col("m.near").alias("major"))
+    minor = apart.join(major, "key").where("near <> major")
+    on = [F.col("a.key") == F.col("b.key"), ((F.col("b.near") == F.col("a.major")) | (F.col("a.id") < F.col("b.id"))) & test]
+    pairs = minor.alias("a").join(apart.alias("b"), on)
+    return pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+
 
+def _sifted(pairs: DataFrame, parities: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` whose parities differ in no more bits than similar sets can."""
+    both = pairs.join(parities.toDF("a", "m", "x"), "a").join(parities.toDF("b", "n", "y"), "b")
+    unequal = sum((F.bit_count(F.get("x", F.lit(k)).bitwiseXOR(F.get("y", F.lit(k)))) for k in range(PARITIES // 64)), F.lit(0))
+    return checkpointed(both.where(unequal <= (1 - similarity) / (1 + similarity) * (F.col("m") + F.col("n")) + 1e-6).select("a", "b"))
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 6, fine: int = 20, rounds: int = 1) -> DataFrame:
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+
+
+def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, group_id)`` of ``docs(doc_id, text)``: groups of documents linked by a Jaccard
     similarity of at least ``similarity`` of their distinct shingles of ``words`` words.
 
-    Candidates are pairs whose fingerprints of distinct single words differ in ``most`` bits at
-    most, by pigeonring filtering, and whose fingerprints of shingles differ in ``fine`` at most;
-    single words change less between near copies than shingles do, so few bits find them. Then
-    the similarity is computed exactly. Keys that many points share are first linked through
-    their middles, ``rounds`` times; after that only pairs from groups still apart are compared
-    there, in the join's condition, so that no pair of a dense group is made but those that link
-    two groups. Texts of the same words in A-Z lower case are one text and never make pairs;
-    texts without a word are one group, as null is. group_id is the group's smallest doc_id.
-    Rows with a null doc_id are left out; rows that repeat stay.
+    Candidates come from prefix filtering, which is complete: in one order of all shingles, rare
+    ones first, two sets as similar share one of their first ``size - ceil(similarity * size) + 1``.
+    Bounds by sizes, by places in the order and by parities, all of them sound, part most of the
+    others; then the similarity is computed exactly. A shingle that many prefixes have is first
+    linked through one text, so that of a dense group only those pairs are made that its links so
+    far leave apart. Texts of the same words in A-Z lower case are one text and never make pairs;
+    texts without a word are one group, as null is. group_id is the group's smallest doc_id. Rows
+    with a null doc_id are left out; rows that repeat stay.
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
-    marked = checkpointed(docs.select("doc_id", _profile(F.col("text"), words).alias("p")).select("doc_id", "p.*"))
-    texts = checkpointed(marked.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("fine").alias("fine"), F.first("size").alias("size")))
-    sized = (F.col("a.size") >= similarity * F.col("b.size")) & (F.col("b.size") >= similarity * F.col("a.size"))
-    test = sized & (F.bit_count(F.col("a.fine").bitwiseXOR(F.col("b.fine"))) <= fine)
+    profile = _profile(F.col("text"), words, _common(docs, words), similarity)
+    marked = checkpointed(docs.select("doc_id", profile.alias("p")).select("doc_id", "p.*"))
+    texts = checkpointed(marked.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("id")))
     named = docs.withColumnRenamed("doc_id", "id")
-
-    points = texts.select("id", "fp", "fine", "size")
-    keyed = points.select("*", F.explode(_keys(F.col("fp"), most)).alias("k")).select("id", "fp", "fine", "size", "k.*")
-    crowd = _crowd(points.count(), most) - CROWDED + 8
-    crowded = checkpointed(keyed.groupBy(_KEY).count().where(F.col("count") > crowd).select(_KEY))
-    dense = checkpointed(keyed.join(crowded, _KEY, "left_semi"))
-    sets = _sets(named, dense.select("id").distinct(), words)
-    links, left = None, dense
-    for _ in range(rounds):
-        found = checkpointed(_verified(_with_middles(left, most, test), sets, similarity))
-        links = found if links is None else links.union(found)
-        left = left.join(found.select(F.col("a").alias("id")).union(found.select("b")).distinct(), "id", "left_anti")
+    sets = marked.withColumnRenamed("doc_id", "id").join(texts.select("id"), "id", "left_semi")
+    parities = sets.select("id", "size", "parity")
+
+    rows = sets.select("id", "size", F.posexplode("prefix").alias("at", "key"))
+    same = Window.partitionBy("key")
+    rows = rows.withColumn("x", F.min("id").over(same)).withColumn("y", F.max("id").over(same))
+    apart = checkpointed(rows.where("x < y").select("id", "size", F.col("id").alias("near"), "at", "key"))
+    test = _prefix_test(similarity)
+    pairs = _sifted(_hub_pairs(apart, test), parities, similarity)
+    links = checkpointed(_verified(pairs, _sets(named, _ends(pairs), words), similarity))
     near = connected_components(links)
-    labelled = lambda frame: frame.join(near, F.col("id") == F.col("node"), "left").withColumn("near", F.coalesce("component", "id")).drop("node", "component")
-    sparse = checkpointed(_pairs_at(labelled(keyed.join(crowded, _KEY, "left_anti")), most, test))
-    ids = sparse.select(F.col("a").alias("id")).union(sparse.select("b")).distinct()
-    links = links.union(_verified(sparse, _sets(named, ids, words), similarity))
-    dense = labelled(dense)
-    mixed = dense.groupBy(_KEY).agg(F.min("near").alias("x"), F.max("near").alias("y")).where("x < y").select(_KEY)
-    dense = dense.join(mixed, _KEY, "left_semi").join(sets, "id")
-    links = links.union(_pairs_at(dense, most, test & _alike(F.col("a.set"), F.col("b.set"), similarity)))
-    groups = connected_components(links)
+    apart = checkpointed(apart.join(near, F.col("id") == F.col("node"), "left").withColumn("near", F.coalesce("component", "id")).drop("node", "component"))
+    pairs = _sifted(_rest_pairs(apart, test), parities, similarity)
+    groups = connected_components(links.union(_verified(pairs, _sets(named, _ends(pairs), words), similarity)))
     answer = texts.join(groups, F.col("id") == F.col("node"), "left").select("key_a", "key_b", F.coalesce("component", "id").alias("group_id"))
-    return marked.join(answer, ["key_a", "key_b"]).select("doc_id", "group_id")
+    return marked.select("doc_id", "key_a", "key_b").join(answer, ["key_a", "key_b"]).select("doc_id", "group_id")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -163,3 +163,48 @@ def test_substrings_at_every_shift(spark):
     done = substring_dedup.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
     for r in done.where(F.col("doc_id") > 0).collect():
         assert r["removed_spans"] == [[r["doc_id"] % 9, r["doc_id"] % 9 + 13]]
+
+
+def exact_groups(rows):
+    """Group of each document: the smallest doc_id linked at Jaccard 0.8 of five-word shingles, by every pair."""
+    sets = [(d, simhash._shingles(t, 5)) for d, t in rows]
+    root = {d: d for d, _ in rows}
+
+    def top(d):
+        return d if root[d] == d else top(root[d])
+
+    for k, (a, x) in enumerate(sets):
+        for b, y in sets[:k]:
+            shared = len(x & y)
+            if 5 * shared >= 4 * (len(x) + len(y) - shared):
+                p, q = sorted((top(a), top(b)))
+                root[q] = p
+    return {d: top(d) for d in root}
+
+
+def edited_rows(count=40):
+    """Texts with a copy each of a replaced tail, a cut passage, or scattered words changed."""
+    rng = random.Random(8)
+    words = ["word%d" % i for i in range(3000)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    rows = []
+    for k in range(count):
+        base = some(rng.randint(60, 600))
+        n = len(base)
+        for share in (0.06, 0.1, 0.11, 0.14):
+            tail = base[: n - int(share * n)] + some(int(share * n))
+            at = rng.randrange(n // 2)
+            cut = base[:at] + base[at + int(1.7 * share * n) :]
+            mixed = list(base)
+            for i in rng.sample(range(n), max(1, int(share * n / 5))):
+                mixed[i] = rng.choice(words)
+            rows += [" ".join(w) for w in (base, (tail, cut, mixed)[k % 3])]
+            base = some(n)
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_near_duplicates_of_replaced_tails_and_cut_passages_are_all_found(spark):
+    rows = edited_rows()
+    found = dict(map(tuple, simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert found == exact_groups(rows)
