@@ -208,3 +208,22 @@ def test_near_duplicates_of_replaced_tails_and_cut_passages_are_all_found(spark)
     rows = edited_rows()
     found = dict(map(tuple, simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert found == exact_groups(rows)
+
+
+def test_near_duplicates_of_documents_are_the_exact_groups(spark, sf, documents):
+    found = dict(map(tuple, simhash.near_duplicate_groups(spark.read.parquet(f"{sf}/documents.parquet")).collect()))
+    assert found == exact_groups(documents)
+
+
+def test_near_duplicates_of_a_crowded_group_are_the_exact_groups(spark):
+    rng = random.Random(9)
+    words = ["word%d" % i for i in range(2000)]
+    base = [rng.choice(words) for _ in range(200)]
+    rows = [(300, " ".join(base)), (301, " ".join(rng.choice(words) for _ in range(200)))]
+    for k in range(150):
+        copy = list(base)
+        for at in rng.sample(range(200), 2 + k % 4):
+            copy[at] = rng.choice(words)
+        rows.append((k, " ".join(copy)))
+    found = dict(map(tuple, simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert found == exact_groups(rows)
