@@ -123,12 +123,10 @@ def train(toxic: list[str], ordinary: list[str], prior: float) -> Model:
         seen.update(in_toxic.keys() & set(_words(t)))
     marks = {w for w, n in in_toxic.items() if n * len(ordinary) > 20 * seen[w] * len(toxic)}
     samples = [b" " + b" ".join(mine) + b" " for t in toxic if (mine := [w for w in _words(t) if w in marks])]
-    plain, total = [], 0
+    plain = []
     for t in ordinary:
         words = _words(t)
         plain += [b" " + b" ".join(words[i : i + 8]) + b" " for i in range(0, len(words), 8)]
-        if len(plain) > 40_000:
-            break
     base = _trained(ORDINARY_BYTES, plain, 64)
     context = base[-CONTEXT_BYTES:]
     compressors = Compressors(_trained(TOXIC_BYTES, samples, 24) + context, base, context)
