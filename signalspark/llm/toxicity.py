@@ -1,12 +1,14 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, on toxic and on ordinary text. Toxic documents are
-mostly ordinary text too, so of their words only those go to the trainer that are many times as
-frequent in toxic documents as in others. A window is a word between white space, in a fixed
-context that both dictionaries hold (a word alone is too short to be compressed at all). Its
-compressed lengths under the two dictionaries, with its own length, give its log odds of being
-toxic, calibrated on the labelled sample; the document's score is a logistic function, fitted on
-the same sample, of how far its windows are above a threshold.
+Full zstandard dictionaries, entropy tables and content, are trained on whole windows of several
+words: one on ordinary text, one on those windows of toxic text that set it apart. A text is scored
+window by window. The first threshold is on a window's compressed length with the ordinary
+dictionary, less that with the ordinary and the toxic content together: what two unrelated
+dictionaries happen to hold of ordinary words makes no difference so. A window that reaches it is
+narrowed: each of its words is compressed between two halves of a neutral window, and its own length
+and its lengths with the ordinary, the joint and the toxic dictionary give its log odds, calibrated
+on the labelled sample. A document's score is a logistic function of how many windows and words reach
+their thresholds and by how much; it and both thresholds are fitted on the same sample.
 """
 
 from __future__ import annotations
@@ -27,79 +29,108 @@ from .common import read_table
 from .labelled import fold, sample, texts_of
 
 FOLDS, HELD_OUT = 5, 0
-LEVEL = 9
-TOXIC_BYTES, ORDINARY_BYTES, CONTEXT_BYTES = 16_384, 4_096, 40
-#: Log odds from which a window counts, and how far above it the excess begins.
-THRESHOLD = 3.0
+LEVEL, WINDOW = 12, 4
+TOXIC_BYTES, ORDINARY_BYTES, CONTEXT_BYTES = 4_096, 16_384, 40
+#: Among these are chosen the log odds that are a word's threshold, and the gain that is a window's.
+THRESHOLDS, GAINS = (1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0), (1, 2, 3, 4)
 _STRIP = b".,;:!?\"'()[]#*$%&|<>-"
+#: Fixed value: a dictionary's entropy tables end with its three first offsets.
+_OFFSETS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
 
 
-def _words(text: str | None) -> list[bytes]:
-    return [w for w in (x.strip(_STRIP) for x in (text or "").lower().encode().split()) if w]
+def _windows(text: str | None) -> list[bytes]:
+    w = (text or "").lower().encode().split()
+    return [b" " + b" ".join(w[i : i + WINDOW]) + b" " for i in range(0, len(w), WINDOW)]
 
 
-def _trained(size: int, samples: list[bytes], segment: int) -> bytes:
-    """Content of a zstandard dictionary; the samples' own end where they are too few to train on."""
+def _words(window: bytes) -> list[bytes]:
+    return [w for w in (x.strip(_STRIP) for x in window.split()) if w]
+
+
+def _trained(size: int, samples: list[bytes], segment: int) -> tuple[bytes, bytes]:
+    """Entropy tables and content of a dictionary; where the samples are too few to train on, no
+    tables and the samples' own end."""
     try:
-        return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()[150:]
+        raw = zstandard.train_dictionary(size, samples, k=segment, d=6, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+        return b"", b"".join(samples)[-size:]
+    at = raw.find(_OFFSETS, 8) + len(_OFFSETS)
+    return (raw[:at], raw[at:]) if at >= len(_OFFSETS) else (b"", raw)
 
 
 class Compressors:
-    """The two dictionaries, and the lengths that windows have under them."""
+    """The dictionaries (ordinary, both joined, toxic), and the lengths that windows have with them."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, context: bytes, most: int = 80_000):
-        self.toxic, self.ordinary, self.context = toxic, ordinary, context
+    def __init__(self, tables: bytes, ordinary: bytes, toxic: bytes, most: int = 60_000):
+        self.tables, self.ordinary, self.toxic = tables, ordinary, toxic
+        self.context = ordinary[-CONTEXT_BYTES:]
         self._made, self._kept, self._most = None, {}, most
 
     def __getstate__(self):
         return {**self.__dict__, "_made": None, "_kept": {}}
 
+    def contents(self) -> tuple[bytes, bytes, bytes]:
+        """What the dictionaries hold; the toxic one ends in the neutral context as the ordinary one does."""
+        return self.ordinary, self.ordinary + self.toxic, self.toxic + self.context
+
     def _make(self):
         made = []
-        for content in (self.ordinary, self.toxic):
-            data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(content) >= 8 else None
+        for content in self.contents():
+            kind = zstandard.DICT_TYPE_FULLDICT if self.tables else zstandard.DICT_TYPE_RAWCONTENT
+            data = zstandard.ZstdCompressionDict(self.tables + content, dict_type=kind) if len(content) >= 8 else None
             if data is not None:
                 data.precompute_compress(level=LEVEL)
             made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_dict_id=False).compress)
         return made
 
-    def cell(self, word: bytes) -> tuple[int, int, int]:
-        """Lengths of a window: its own up to 16, compressed as ordinary text, and as toxic text."""
+    def gain(self, window: bytes) -> int:
+        """Bytes that the toxic content saves on a window."""
+        made = self._made = self._made or self._make()
+        return len(made[0](window)) - len(made[1](window))
+
+    def cell(self, word: bytes) -> tuple[int, ...]:
+        """Lengths of a word between two halves of a neutral window: its own up to 16, and with
+        each dictionary."""
         found = self._kept.get(word)
         if found is None:
-            self._made = self._made or self._make()
+            made = self._made = self._made or self._make()
             if len(self._kept) >= self._most:
                 self._kept.clear()
             window = self.context + b" " + word + b" " + self.context
-            found = self._kept[word] = (min(len(word), 16), *(len(f(window)) for f in self._made))
+            found = self._kept[word] = (min(len(word), 16), *(len(f(window)) for f in made))
         return found
 
 
 class Model:
-    """Compressors, the log odds of each cell of lengths, and the weights of a document's features."""
-
-    def __init__(self, compressors: Compressors, odds: dict[tuple[int, int, int], float], weights: list[float]):
-        self.compressors, self.odds, self.weights = compressors, odds, weights
-
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """Excess of log odds a window, windows over the threshold, and the highest log odds."""
-        words = _words(text)
-        cell, odds = self.compressors.cell, self.odds
-        high = [v for v in (odds.get(cell(w), 0.0) for w in words) if v >= THRESHOLD - 1]
+    """Compressors, the gain from which a window is narrowed, the log odds of each cell of
+    lengths of a word, their threshold, and the weights of a document's features."""
+
+    def __init__(self, compressors: Compressors, least: int, odds: dict[tuple[int, ...], float], threshold: float, weights: list[float]):
+        self.compressors, self.least, self.odds, self.threshold, self.weights = compressors, least, odds, threshold, weights
+
+    def narrowed(self, text: str | None) -> tuple[int, list[list[bytes]]]:
+        """Number of windows, and the words of those whose gain reaches the threshold."""
+        windows = _windows(text)
+        gain, least = self.compressors.gain, self.least
+        return len(windows), [_words(w) for w in windows if gain(w) >= least]
+
+    def features(self, n: int, found: list[list[bytes]]) -> tuple[float, float, float, float]:
+        """Excess of log odds a window, words over the threshold, the highest log odds, and the
+        share of windows that were narrowed."""
+        cell, odds, cut = self.compressors.cell, self.odds, self.threshold
+        high = [v for words in found for v in (odds.get(cell(w), 0.0) for w in words) if v >= cut - 1]
         if not high:
-            return 0.0, 0.0, 0.0
-        excess = sum(v - THRESHOLD + 1 for v in high) / len(words)
-        return math.log1p(100 * excess), math.log1p(sum(v >= THRESHOLD for v in high)), max(high) / 10
+            return 0.0, 0.0, 0.0, len(found) / max(1, n)
+        excess = sum(v - cut + 1 for v in high) / n
+        return math.log1p(20 * excess), math.log1p(sum(v >= cut for v in high)), max(high) / 10, len(found) / n
 
     def score(self, text: str | None) -> float:
-        z = self.weights[-1] + sum(w * x for w, x in zip(self.weights, self.features(text), strict=False))
+        z = self.weights[-1] + sum(w * x for w, x in zip(self.weights, self.features(*self.narrowed(text)), strict=False))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.5) -> list[float]:
-    """Weights and, last, intercept of a ridge logistic regression, by Newton's method."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.5) -> tuple[float, list[float]]:
+    """Loss, and weights and, last, intercept of a ridge logistic regression, by Newton's method."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     keep = np.diag([ridge] * (x.shape[1] - 1) + [1e-3])
@@ -109,44 +140,73 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
         w += step
         if np.abs(step).max() < 1e-6:
             break
-    return w.tolist()
+    z = x @ w
+    return float((weight * (np.logaddexp(0, z) - y * z)).sum()), w.tolist()
+
+
+def _telling(toxic: list[list[bytes]], ordinary: list[list[bytes]], each: int = 5) -> set[bytes]:
+    """Words that set windows of toxic text apart: a greedy cover of the toxic documents, ``each``
+    times over, by words over 20 times as frequent there. Words of one family of copies cover
+    its documents once and then add nothing."""
+    has = [{w for x in windows for w in _words(x)} for windows in toxic]
+    least, seen = max(3, 0.01 * len(toxic)), Counter(w for h in has for w in h)
+    seen = {w: n for w, n in seen.items() if n >= least}
+    usual: Counter = Counter()
+    for windows in ordinary:
+        usual.update(seen.keys() & {w for x in windows for w in _words(x)})
+    where: dict[bytes, list[int]] = {w: [] for w, n in seen.items() if n * len(ordinary) > 20 * usual[w] * len(toxic)}
+    for i, h in enumerate(has):
+        for w in h & where.keys():
+            where[w].append(i)
+    need, chosen = [each] * len(toxic), set()
+    while where:
+        gain, word = max((sum(need[i] > 0 for i in places), w) for w, places in where.items())
+        if gain < least:
+            break
+        chosen.add(word)
+        for i in where.pop(word):
+            need[i] -= 1
+    return chosen
+
+
+def _odds(counts: list[Counter], totals: list[int]) -> dict:
+    """Log odds of each key, smoothed by half an occurrence."""
+    part = lambda k, c: (counts[k][c] + 0.5 * totals[k] / totals[0]) / totals[k]
+    return {c: math.log(part(1, c) / part(0, c)) for c in counts[0].keys() | counts[1].keys()}
 
 
 def train(toxic: list[str], ordinary: list[str], prior: float) -> Model:
     """A model from sample texts of both labels; ``prior`` is the share of toxic labels in all."""
-    least, seen = max(3, 0.004 * len(toxic)), Counter()
-    for t in toxic:
-        seen.update(set(_words(t)))
-    in_toxic = {w: n for w, n in seen.items() if n >= least}
-    seen.clear()
-    for t in ordinary:  # only the words that may be marks are counted
-        seen.update(in_toxic.keys() & set(_words(t)))
-    marks = {w for w, n in in_toxic.items() if n * len(ordinary) > 20 * seen[w] * len(toxic)}
-    samples = [b" " + b" ".join(mine) + b" " for t in toxic if (mine := [w for w in _words(t) if w in marks])]
-    plain = []
-    for t in ordinary:
-        words = _words(t)
-        plain += [b" " + b" ".join(words[i : i + 8]) + b" " for i in range(0, len(words), 8)]
-    base = _trained(ORDINARY_BYTES, plain, 64)
-    context = base[-CONTEXT_BYTES:]
-    compressors = Compressors(_trained(TOXIC_BYTES, samples, 24) + context, base, context)
-    cells = [Counter(), Counter()]
-    for k, texts in enumerate((ordinary, toxic)):
-        for t in texts:
-            cells[k].update(map(compressors.cell, _words(t)))
-    n = [max(1, sum(c.values())) for c in cells]
-    smooth = lambda k, c: (cells[k][c] + 0.5 * n[k] / n[0]) / n[k]
-    odds = {c: v for c in cells[0].keys() | cells[1].keys() if (v := math.log(smooth(1, c) / smooth(0, c))) >= THRESHOLD - 1}
-    model = Model(compressors, odds, [0.0] * 4)
-    x = np.array([model.features(t) for t in (*toxic, *ordinary)]).reshape(-1, 3)
-    y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
+    texts = (ordinary, toxic)
+    windows = [[_windows(t) for t in ts] for ts in texts]
+    tables, base = _trained(ORDINARY_BYTES, [w for ws in windows[0] for w in ws], 64)
+    telling = _telling(windows[1], windows[0])
+    apart = [w for ws in windows[1] for w in ws if not telling.isdisjoint(_words(w))]
+    _, content = _trained(TOXIC_BYTES, apart, 32)
+    # the trainer's segments hold ordinary words around the telling ones: these are in the base already
+    parts = sorted({w for w in _words(content) if w in telling})
+    compressors = Compressors(tables, base, b" " + b" ".join(parts) + b" " if parts else b"")
+
+    gains = [[[(compressors.gain(w), w) for w in ws] for ws in docs] for docs in windows]
+    n = [max(1, sum(map(len, docs))) for docs in windows]
     total = len(toxic) + len(ordinary)
+    best, model = math.inf, Model(compressors, GAINS[0], {}, 0.0, [0.0] * 5)
     if toxic and ordinary:
+        y = np.array([0.0] * len(ordinary) + [1.0] * len(toxic))
         weight = np.where(y == 1, prior * total / len(toxic), (1 - prior) * total / len(ordinary))
-        model.weights = _logistic(x, y, weight)
+        for least in GAINS:
+            found = [[(len(ws), [_words(w) for d, w in ws if d >= least]) for ws in docs] for docs in gains]
+            cells = [Counter(compressors.cell(w) for _, f in docs for words in f for w in words) for docs in found]
+            odds = {c: v for c, v in _odds(cells, [WINDOW * k for k in n]).items() if v >= THRESHOLDS[0] - 1}
+            for threshold in THRESHOLDS:
+                tried = Model(compressors, least, odds, threshold, [])
+                x = np.array([tried.features(*f) for docs in found for f in docs])
+                loss, tried.weights = _logistic(x, y, weight)
+                if loss < best:
+                    best, model = loss, tried
     else:
         share = min(max(prior, 0.01), 0.99)
-        model.weights = [0.0, 0.0, 0.0, math.log(share / (1 - share))]
+        model.weights = [0.0, 0.0, 0.0, 0.0, math.log(share / (1 - share))]
     return model
 
 

@@ -183,4 +183,4 @@ def test_toxicity_trains_on_every_ordinary_text(monkeypatch):
     monkeypatch.setattr(toxicity, "_trained", lambda size, samples, segment: seen.append(samples) or trained(size, samples, segment))
     ordinary = [" ".join(f"a{k}b{i}" for i in range(1000)) for k in range(330)] + ["étude last of all"]
     toxicity.train(["vile word vile", "vile word again"], ordinary, 0.1)
-    assert any("étude last".encode() in s for s in seen[0]) and len(seen[0]) == 330 * 125 + 1
+    assert any("étude last".encode() in s for s in seen[0]) and len(seen[0]) == 330 * (1000 // toxicity.WINDOW) + 1
