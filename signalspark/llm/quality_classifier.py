@@ -1,10 +1,14 @@
 """Quality by positive-unlabelled learning.
 
 Trusted positives are documents labelled good; the rest of the evidence is unlabelled web text,
-which holds good and bad. A linear model minimises the non-negative unbiased risk: with class
-prior p and logistic loss, p * loss(positives as good) + max(0, loss(unlabelled as bad)
-- p * loss(positives as bad)). Features are shares: of character kinds, of word shapes hashed to
-a fixed number of bins, and of repetition.
+which holds good and bad. No label of a bad document is read. A linear model minimises the
+non-negative unbiased risk: with class prior p and logistic loss, p * loss(positives as good)
++ max(0, loss(unlabelled as bad) - p * loss(positives as bad)). The prior is estimated from the
+same two samples: a model tells positives from unlabelled text on one half of them, and on the
+other half the share of unlabelled text above a margin, over that of positives, is at least p
+and comes near it where hardly any bad document lies above. The threshold of the score is the
+margin of least unbiased 0/1 risk. Features are shares: of character kinds, of word shapes hashed
+to a fixed number of bins, and of repetition.
 """
 
 from __future__ import annotations
@@ -102,38 +106,71 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def calibrated(weights: np.ndarray, good: np.ndarray, bad: np.ndarray, prior: float) -> Model:
-    """The model whose threshold leaves fewest errors on labelled margins, weighed by the prior."""
-    a, b = (x @ weights[:-1] + weights[-1] for x in (good, bad))
-    if not len(a) or not len(b):
-        return Model(weights, 1.0, 0.0)
-    cuts = np.unique(np.concatenate([a, b]))
-    cuts = np.concatenate([[cuts[0] - 1], (cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 1]])
-    lost = prior * np.searchsorted(np.sort(a), cuts) / len(a) + (1 - prior) * (1 - np.searchsorted(np.sort(b), cuts) / len(b))
-    best = np.flatnonzero(lost <= lost.min() + 1e-12)
-    widest = best[len(best) // 2]
-    spread = max(1e-6, float(np.median(a) - np.median(b)))
-    return Model(weights, 8 / spread, float(cuts[widest]))
+def _margins(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return x @ weights[:-1] + weights[-1]
+
+
+def _above(margins: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Share of ``margins`` at or above each cut."""
+    return 1 - np.searchsorted(np.sort(margins), cuts, side="left") / len(margins)
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
+    """Share of good text in ``unlabelled``, from features of positives and unlabelled text only.
+
+    The ratio of the shares above a margin, at the margin where its upper confidence bound is
+    least; both halves take either part in turn, and their mean is taken.
+    """
+    if min(len(positive), len(unlabelled)) < 20:
+        return 0.5
+    found = []
+    for k in (0, 1):
+        w = minimise(positive[k::2], unlabelled[k::2], 0.5, rounds=200)
+        p, u = _margins(positive[1 - k :: 2], w), _margins(unlabelled[1 - k :: 2], w)
+        cuts = np.unique(p)
+        high_p, high_u = _above(p, cuts), _above(u, cuts)
+        width = math.sqrt(math.log(4 / delta) / 2 / len(u)) + math.sqrt(math.log(4 / delta) / 2 / len(p))
+        at = int(np.argmin((high_u + width) / high_p))
+        found.append(high_u[at] / high_p[at])
+    return min(0.98, max(0.02, float(np.mean(found))))
+
+
+def calibrated(weights: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
+    """The model whose threshold has the least unbiased 0/1 risk, the non-negative one, and of
+    equally good ones the middle of the widest gap between margins."""
+    p, u = _margins(positive, weights), _margins(unlabelled, weights)
+    margins = np.unique(np.concatenate([p, u]))
+    cuts = np.concatenate([[margins[0] - 1], (margins[1:] + margins[:-1]) / 2, [margins[-1] + 1]])
+    gaps = np.concatenate([[0], np.diff(margins), [0]])
+    missed, taken = prior * (1 - _above(p, cuts)), _above(u, cuts) - prior * _above(p, cuts)
+    risk = missed + np.maximum(0, taken)
+    best = np.flatnonzero(risk <= risk.min() + 1e-12)
+    cut = float(cuts[best[np.argmax(gaps[best])]])
+    low = u[u < cut]
+    spread = max(1e-6, float(np.median(p) - (np.median(low) if len(low) else cut - 1)))
+    return Model(weights, 8 / spread, cut)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Model:
     """A model from trusted positives and unlabelled text, none of the held-out fold.
 
-    At most ``most`` positives, ``most`` labelled bad documents (for the threshold only) and
-    ``most`` documents taken as unlabelled are read, the bound of the sample. The class prior is
-    estimated over all labelled documents outside the held-out fold. Rows with a null id or
-    label are left out; without positives every text gets the threshold's score.
+    At most ``most`` positives and ``most`` documents taken as unlabelled, whatever their label,
+    are read: the bound of the sample. Rows with a null id or label are left out; without
+    positives every text gets the threshold's score.
     """
-    known = labels.where((fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("quality").isNotNull()).select("doc_id", "quality")
-    n, n_good = known.agg(F.count("*"), F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0))).first()
+    trusted = labels.where((fold(F.col("doc_id"), FOLDS) != HELD_OUT) & (F.col("quality") == 1)).select("doc_id")
     free = docs.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT).select("doc_id")
     matrix = lambda ids: np.array([features(t) for t in sorted(texts_of(docs, ids))], np.float64).reshape(-1, len(features("")))
-    good, bad = matrix(sample(known.where("quality = 1"), most, 1)), matrix(sample(known.where("quality <> 1"), most, 1))
-    unlabelled = matrix(sample(free, most, 2))
-    if not len(good) or not len(unlabelled):
-        return Model(np.zeros(good.shape[1] + 1), 1.0, 0.0)
-    prior = min(0.98, max(0.02, n_good / n))
-    return calibrated(minimise(good, unlabelled, prior), good, bad, prior)
+    positive, unlabelled = matrix(sample(trusted, most, 1)), matrix(sample(free, most, 2))
+    return trained(positive, unlabelled)
+
+
+def trained(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
+    """A model from the features of both samples."""
+    if not len(positive) or not len(unlabelled):
+        return Model(np.zeros(len(features("")) + 1), 1.0, 0.0)
+    prior = estimated_prior(positive, unlabelled)
+    return calibrated(minimise(positive, unlabelled, prior), positive, unlabelled, prior)
 
 
 def score_column(text: Column, model: Model) -> Column:

@@ -6,7 +6,7 @@ import zlib
 import pytest
 import zstandard
 
-from signalspark.llm import toxicity
+from signalspark.llm import quality_classifier, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -56,3 +56,61 @@ def test_toxicity_dictionaries_are_full_ones(spark):
     for content in model.compressors.contents():
         kept = zstandard.ZstdCompressionDict(model.compressors.tables + content, dict_type=zstandard.DICT_TYPE_FULLDICT)
         assert kept.dict_id() > 0
+
+
+def plain_quality(model, text):
+    """One document's score, features counted byte by byte and word by word."""
+    raw = (text or "").encode()
+    kind = "".join("a" if 97 <= b <= 122 or b >= 128 else "A" if 65 <= b <= 90 else "0" if 48 <= b <= 57 else chr(b) for b in raw)
+    words = raw.split()
+    marks = "#*$%&|<>!?.,;:\"'()[]{}/\\@_-+=~^`"
+    x = [0.0] * (len(marks) + 10 + 256)
+    if words:
+        x[: len(marks)] = [20 * kind.count(m) / len(raw) for m in marks]
+        threes = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        lines = [s for s in raw.split(b"\n") if s.strip()]
+        x[len(marks) : len(marks) + 10] = [
+            kind.count("a") / len(raw), 4 * kind.count("A") / len(raw), 10 * kind.count("0") / len(raw), len(set(words)) / len(words),
+            2 * sum(threes.count(t) > 1 for t in threes) / max(1, len(words) - 2) if len(threes) < 3000 else None,
+            min(len(raw) / len(words), 30) / 10, math.log(len(words)) / 5, 1 - len(set(lines)) / len(lines), min(10, len(words) / len(lines)) / 10,
+            sum(s.rstrip()[-1:] in (b".", b"!", b"?", b'"') for s in lines) / len(lines),
+        ]
+        if x[len(marks) + 4] is None:
+            return None
+        for w in kind.encode().split():
+            shape = b""
+            for c in w:
+                if not (shape and shape[-1] == c and c in b"aA0"):
+                    shape += bytes([c])
+            x[len(marks) + 10 + zlib.crc32(shape) % 256] += 4 / len(words)
+    margin = sum(a * b for a, b in zip([*x, 1.0], model.weights, strict=True))
+    z = model.slope * (margin - model.shift) + math.log(0.7 / 0.3)
+    return 1 / (1 + math.exp(-min(30, max(-30, z))))
+
+
+def test_quality_scores_are_those_of_a_plain_scorer(spark, texts):
+    model = quality_classifier.fitted(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    found = {r["doc_id"]: (r["score"], r["predicted"], r["held_out"]) for r in quality_classifier.op4_quality_classifier(spark, SF).collect()}
+    assert found.keys() == texts.keys()
+    for d in sorted(texts)[::7]:
+        score = plain_quality(model, texts[d])
+        if score is not None:
+            assert found[d] == (pytest.approx(score, abs=1e-4), found[d][1], zlib.crc32(str(d).encode()) % 4 == 2)
+            assert found[d][1] == int(found[d][0] >= 0.7)
+
+
+def test_quality_reads_no_label_of_a_bad_document(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model, other = quality_classifier.fitted(docs, labels), quality_classifier.fitted(docs, labels.where("quality = 1"))
+    assert (model.weights == other.weights).all() and (model.slope, model.shift) == (other.slope, other.shift)
+
+
+def test_the_class_prior_is_found_from_positives_and_unlabelled():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for prior in (0.3, 0.6, 0.9):
+        good, bad = rng.normal(1.5, 1, (4000, 5)), rng.normal(-1.5, 1, (2000, 5))
+        n = int(2000 * prior)
+        found = quality_classifier.estimated_prior(good[:2000], np.concatenate([good[2000 : 2000 + n], bad[: 2000 - n]])[rng.permutation(2000)])
+        assert abs(found - prior) < 0.05
