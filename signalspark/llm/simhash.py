@@ -3,17 +3,19 @@
 Links are found by pigeonring filtering. The 64 bits are cut into ``most + 1`` consecutive
 segments that form a ring. If two fingerprints differ in at most ``most`` bits, then from some
 segment on every chain of consecutive segments stays within its proportional budget: its first
-l segments differ in at most ``l * most / segments`` bits. So the first segment is equal, the
-first two differ in one bit at most, and hence one half of the second segment is equal too: the
-first segment with that half is the key of an equi-join. The longer chains and then the full
-distance are tested in the join's condition, so a pair that fails leaves no row.
+l segments differ in at most ``l * most / segments`` bits, which is l - 1. So the first segment is
+equal, and the l - 1 next ones, cut into 2 * (l - 1) blocks, have l - 1 equal blocks at least: the
+first segment with these is the key of an equi-join, one key for each choice of blocks. The length
+of the chain is taken from the number of fingerprints, so that few share a key by chance, at any
+size. The longer chains and then the full distance are tested in the join's condition, so a pair
+that fails leaves no row.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,8 @@ BITS = 64
 SEED = 42
 #: A key that more fingerprints share than this, and many times the expected number, is crowded.
 CROWDED = 64
+#: The shortest chain is taken of whose keys this many fingerprints share one by chance.
+BY_CHANCE = 16
 
 
 def fingerprint(text: str | None, words: int = 4, distinct: bool = False) -> int:
@@ -77,16 +81,34 @@ def _bits(at: int, width: int) -> int:
     return ((1 << width) - 1) << at
 
 
-def _keys(fp: Column, most: int) -> Column:
-    """Array of (start, half, key): each segment with either half of the next one."""
-    ring = _segments(most)
-    out = []
-    for i in range(len(ring)):
-        at, width = ring[(i + 1) % len(ring)]
-        for half, (a, w) in enumerate(((at, width // 2), (at + width // 2, width - width // 2))):
-            mask = _signed(_bits(*ring[i]) | _bits(a, w))
-            out.append(F.struct(F.lit(i).cast("int").alias("start"), F.lit(half).cast("int").alias("half"), fp.bitwiseAND(F.lit(mask)).alias("key")))
-    return F.array(*out)
+def _masks(most: int, chain: int) -> list[tuple[int, int, int]]:
+    """(start, choice, mask) of every key: a segment, and as many of the next ``chain - 1``
+    segments' ``2 * (chain - 1)`` blocks as are equal at least."""
+    ring, out = _segments(most), []
+    for start in range(len(ring)):
+        following = [ring[(start + k) % len(ring)] for k in range(1, chain)]
+        bits = [at + k for at, width in following for k in range(width)]
+        n = 2 * (chain - 1)
+        edges = [len(bits) * i // n for i in range(n + 1)]
+        blocks = [sum(1 << b for b in bits[x:y]) for x, y in zip(edges, edges[1:], strict=False)]
+        for choice, chosen in enumerate(combinations(blocks, chain - 1)):
+            out.append((start, choice, _bits(*ring[start]) | sum(chosen)))
+    return out
+
+
+def key_bits(most: int, chain: int) -> int:
+    return min(mask.bit_count() for _, _, mask in _masks(most, chain))
+
+
+def chain_length(total: int, most: int) -> int:
+    """The shortest chain, of two to four segments, whose keys hardly any two of ``total`` share by chance."""
+    longest = max(2, min(4, most))
+    return next((n for n in range(2, longest) if total >> key_bits(most, n) < BY_CHANCE), longest)
+
+
+def _keys(fp: Column, most: int, chain: int) -> Column:
+    """Array of (start, choice, key)."""
+    return F.array(*(F.struct(F.lit(i).cast("int").alias("start"), F.lit(c).cast("int").alias("choice"), fp.bitwiseAND(F.lit(_signed(mask))).alias("key")) for i, c, mask in _masks(most, chain)))
 
 
 def _within(x: Column, start: Column, most: int) -> Column:
@@ -100,12 +122,12 @@ def _within(x: Column, start: Column, most: int) -> Column:
     return test & (F.bit_count(x) <= most)
 
 
-def candidate_pairs(points: DataFrame, most: int) -> DataFrame:
+def candidate_pairs(points: DataFrame, most: int, chain: int = 2) -> DataFrame:
     """Distinct ``(a, b)`` of ``points(id, fp, near)`` whose fingerprints differ in ``most`` bits
     at most, a < b, but for pairs that have the same ``near``. A crowded key that only one value
     of ``near`` has is left out before the join."""
-    keyed = points.select("*", F.explode(_keys(F.col("fp"), most)).alias("k")).select(*points.columns, "k.*")
-    key = ["start", "half", "key"]
+    keyed = points.select("*", F.explode(_keys(F.col("fp"), most, chain)).alias("k")).select(*points.columns, "k.*")
+    key = ["start", "choice", "key"]
     settled = keyed.groupBy(key).agg(F.min("near").alias("x"), F.max("near").alias("y"), F.count("*").alias("n")).where((F.col("x") == F.col("y")) & (F.col("n") > CROWDED)).select(key)
     keyed = keyed.join(settled, key, "left_anti")
     a, b = keyed.alias("a"), keyed.alias("b")
@@ -115,42 +137,45 @@ def candidate_pairs(points: DataFrame, most: int) -> DataFrame:
     return a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
-def _crowd(total: int, most: int) -> int:
+def _crowd(total: int, most: int, chain: int) -> int:
     """So many of ``total`` fingerprints, at least, don't share a key by chance."""
-    return CROWDED + 8 * (total >> min(w for _, w in _segments(most)) * 3 // 2)
+    return CROWDED + 8 * (total >> key_bits(most, chain))
 
 
-def _crowded_links(prints: DataFrame, most: int) -> DataFrame:
+def _crowded_links(prints: DataFrame, most: int, chain: int, crowd: int) -> DataFrame:
     """Links between fingerprints that differ in two bits at most, among those with a crowded key.
 
     A fingerprint is put at itself and at each value one bit away; all that meet at a value link
-    to the smallest there. So a dense group costs 65 rows a fingerprint, not its square.
+    to the smallest id there. So a dense group costs 65 rows a fingerprint, not its square.
     """
-    keyed = prints.select("fp", F.explode(_keys(F.col("fp"), most)).alias("k")).select("fp", "k.*")
-    key = ["start", "half", "key"]
-    crowded = keyed.groupBy(key).count().where(F.col("count") > _crowd(prints.count(), most)).select(key)
-    dense = keyed.join(crowded, key, "left_semi").select("fp").distinct()
+    keyed = prints.select("id", "fp", F.explode(_keys(F.col("fp"), most, chain)).alias("k")).select("id", "fp", "k.*")
+    key = ["start", "choice", "key"]
+    crowded = keyed.groupBy(key).count().where(F.col("count") > crowd).select(key)
+    dense = keyed.join(crowded, key, "left_semi").select("id", "fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << i)) for i in range(BITS)))
-    placed = dense.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("place"))
-    least = placed.groupBy("place").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1").select("place", "least")
-    return placed.join(least, "place").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
+    placed = dense.select("id", "fp", F.explode(flips).alias("flip")).select("id", F.col("fp").bitwiseXOR(F.col("flip")).alias("place"))
+    least = placed.groupBy("place").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("place", "least")
+    return placed.join(least, "place").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def fingerprint_components(prints: DataFrame, most: int = 4) -> DataFrame:
-    """``(fp, component)`` of distinct fingerprints ``prints(fp)``, linked at ``most`` bits or fewer.
+def fingerprint_components(prints: DataFrame, most: int = 4, chain: int | None = None, crowd: int | None = None) -> DataFrame:
+    """``(id, fp, component)`` of distinct fingerprints ``prints(id, fp)``, linked at ``most`` bits or fewer.
 
-    The component is its smallest fingerprint. Dense groups are first joined through shared
-    one-bit neighbours; then only pairs from different groups so far are looked for.
+    The component is its smallest id. Dense groups are first joined through shared one-bit
+    neighbours; then only pairs from different groups so far are looked for. ``chain`` and
+    ``crowd``, the number from which a key is crowded, follow from the number of fingerprints
+    unless they are given; neither changes the answer.
     """
-    prints = checkpointed(prints.select("fp").distinct())
-    close = _crowded_links(prints, most) if most >= 2 else prints.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    prints = checkpointed(prints.select("id", "fp"))
+    total = prints.count()
+    chain = chain or chain_length(total, most)
+    crowd = _crowd(total, most, chain) if crowd is None else crowd
+    close = _crowded_links(prints, most, chain, crowd) if most >= 2 else prints.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     groups = connected_components(close)
-    points = prints.join(groups, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("id"), "fp", F.coalesce("component", "fp").alias("near"))
-    points = checkpointed(points)
-    pairs = candidate_pairs(points, most)
-    links = pairs.union(points.where("id <> near").select("near", "id"))
+    points = checkpointed(prints.join(groups, F.col("id") == F.col("node"), "left").select("id", "fp", F.coalesce("component", "id").alias("near")))
+    links = candidate_pairs(points, most, chain).union(points.where("id <> near").select("near", "id"))
     components = connected_components(links)
-    return prints.join(components, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"))
+    return prints.join(components, F.col("id") == F.col("node"), "left").select("id", "fp", F.coalesce("component", "id").alias("component"))
 
 
 def simhash_groups(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
@@ -158,16 +183,16 @@ def simhash_groups(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
 
     Documents whose fingerprints differ in at most ``most`` bits are linked; component_id is the
     smallest doc_id reachable by links, the document's own included. Copies, and documents
-    without a word (fingerprint 0), have one fingerprint and meet there; no pair of documents is
-    ever made. Null text counts as empty, rows that repeat stay, a null doc_id is kept out of the
-    minimum but gets its group's component_id. Other columns are ignored. ``most`` is 1 to 15.
+    without a word (fingerprint 0), have one fingerprint, whose node in the graph is the smallest
+    doc_id that has it; no pair of documents is ever made, and no join gathers a component. Null
+    text counts as empty, rows that repeat stay. A row with a null doc_id links nothing, and gets
+    the component_id of the documents of its fingerprint, null if there are none. Other columns
+    are ignored. ``most`` is 1 to 15.
     """
     marked = checkpointed(docs.select("doc_id", fingerprint_column(F.col("text"), words).alias("fp")))
-    first = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    grouped = first.join(fingerprint_components(first.select("fp"), most), "fp")
-    least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    answer = grouped.join(least, "component").select("fp", "component_id")
-    return marked.join(answer, "fp").select("doc_id", "fp", "component_id")
+    nodes = marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"))
+    answer = fingerprint_components(nodes, most).select("fp", F.col("component").alias("component_id"))
+    return marked.join(answer, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 #: Documents of one sequence of words have one key; the shingles of a text, hashed and distinct.
@@ -355,23 +380,3 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(read_table(spark, sf_dir, "documents"), words=4, most=4)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def brute_force(rows: list[tuple[int, str | None]], most: int = 4) -> list[tuple[int, str, int]]:
-    """The rows of ``op1_simhash_near_dedup`` by comparing every pair."""
-    prints = [fingerprint(t) & (1 << BITS) - 1 for _, t in rows]
-    root = list(range(len(rows)))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= most:
-                a, b = top(i), top(j)
-                if rows[a][0] < rows[b][0]:
-                    a, b = b, a
-                root[a] = b
-    return [(rows[i][0], f"{prints[i]:016x}", rows[top(i)][0]) for i in range(len(rows))]
