@@ -61,7 +61,7 @@ ROLES = {"human": "user", "gpt": "assistant", "model": "assistant", "bot": "assi
 
 def fingerprint(paths: tuple[str, ...] | list[str]) -> str:
     """Hash of the sorted field paths."""
-    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode(errors="replace")).hexdigest()[:16]
 
 
 MAPPINGS = {fingerprint(paths): mapping for paths, mapping in LAYOUTS.items()}
@@ -86,13 +86,15 @@ def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
 
 
 def _text(value) -> str:
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    """A value as text: JSON but for a string; half a surrogate pair becomes U+FFFD."""
+    text = "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 def turns_of(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
     if mapping.turns is not None:
         items = record.get(mapping.turns)
-        turns = [(_text(x.get(mapping.role)), _text(x.get(mapping.text))) for x in ([] if items is None else items)]
+        turns = [(_text(x.get(mapping.role)), _text(x.get(mapping.text))) for x in ([] if items is None else items) if x is not None]
         return [(ROLES.get(role, role), text) for role, text in turns] if mapping.rename else turns
     turns: list[list] = []
     for role, path in mapping.fields:
@@ -146,9 +148,9 @@ def _formatter(paths: set[str] | None):
         if fixed is None:
             try:
                 record = json.loads(record)
-            except ValueError:
-                record = None
-            found = fingerprint(value_paths(record))
+                found = fingerprint(value_paths(record))
+            except (ValueError, RecursionError):
+                record, found = None, fingerprint([""])
         else:
             found = fixed
         mapping = MAPPINGS.get(found)
@@ -171,8 +173,9 @@ def format_json(records: DataFrame, column: str = "record") -> DataFrame:
     in ``column``; columns of those names are replaced.
 
     Each record's own field paths select its mapping, so layouts may be mixed. A record that is
-    null, no JSON object, or of a layout without mapping is kept with known false and no text;
-    null texts inside a known one are empty. Rows that repeat stay.
+    null, no JSON object, nested too deeply to be read, or of a layout without mapping is kept with
+    known false and no text; null texts inside a known one are empty, halves of surrogate pairs are
+    U+FFFD. Rows that repeat stay.
     """
 
     @F.pandas_udf(_FORMATTED)
@@ -209,8 +212,20 @@ def grouped_turns(rows: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.struct(ordered.alias("turns")).alias("record"))
 
 
+def laid_out(rows: DataFrame) -> DataFrame:
+    """``(conv_id, record)``: each conversation of ``grouped_turns`` as a JSON object. One turn of a
+    user and one of an assistant are a prompt and its response, any other a list of turns; null
+    roles and texts are empty."""
+    turns = F.transform("record.turns", lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+    grouped = grouped_turns(rows).select("conv_id", turns.alias("turns"))
+    pair = F.transform("turns", lambda t: t["role"]) == F.array(F.lit("user"), F.lit("assistant"))
+    said = lambda k: F.col("turns")[k]["text"]
+    return grouped.select("conv_id", F.when(pair, F.to_json(F.struct(said(0).alias("prompt"), said(1).alias("response")))).otherwise(F.to_json(F.struct("turns"))).alias("record"))
+
+
 def read_back(text: Column, spans: Column) -> Column:
-    """Struct of digests of the turns, and of the text under the loss mask, of a formatted text."""
+    """Struct of digests of the turns, and of the text under the loss mask, of a formatted text;
+    its fields are null for a null text."""
     kind = "struct<n_turns:long,turns_sha256:string,loss_chars:long,loss_sha256:string,formatted_chars:long>"
 
     @F.pandas_udf(kind)
@@ -218,11 +233,14 @@ def read_back(text: Column, spans: Column) -> Column:
         for texts, masks in batches:
             out = []
             for t, mask in zip(texts, masks, strict=True):
+                if t is None:
+                    out.append((None,) * 5)
+                    continue
                 turns = parsed(t)
                 loss = "".join(unescaped(t[a:b]) for a, b in mask)
                 whole = "".join(f"{role}\n{body}\n" for role, body in turns)
                 out.append((len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(t)))
-            yield pd.DataFrame(out, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            yield pd.DataFrame(out, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"], dtype=object)
 
     return digests(text, spans)
 
@@ -231,11 +249,14 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    done = format_turns(grouped_turns(rows.union(extra)), "record")
+    done = format_json(laid_out(rows.union(extra)))
     return done.select("conv_id", read_back(F.col("formatted"), F.col("loss_spans")).alias("d")).select("conv_id", "d.*")
 
 
-OP6_SQL = r"""
+# Escapes add a character for each control string and each backslash of a text. None of the strings
+# holds another or begins as another ends, so each kind is counted by what its removal takes off.
+_SQL_COUNT = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in (*CONTROLS, "\\"))
+OP6_SQL = rf"""
 WITH every AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
@@ -243,6 +264,7 @@ WITH every AS (
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(role) + length(text) + {len(START) + len(END) + 2} + {_SQL_COUNT}) AS BIGINT) AS formatted_chars
 FROM every GROUP BY conv_id
 """

@@ -12,7 +12,7 @@ from signalspark.llm import chat_format, decontamination, labelled, packing, qua
     [
         (quality_rules.op2_quality_rules, quality_rules.OP2_SQL),
         (url_filters.op5_url_filters, url_filters.OP5_SQL),
-        (lambda s, d: chat_format.op6_chat_formatting(s, d).drop("formatted_chars"), chat_format.OP6_SQL),
+        (chat_format.op6_chat_formatting, chat_format.OP6_SQL),
         (decontamination.op9_benchmark_decontamination, decontamination.OP9_SQL),
     ],
 )
@@ -120,6 +120,28 @@ def test_mixed_layouts(spark):
     assert len({done[i]["fingerprint"] for i in range(4)}) == 4
 
 
+def test_records_that_are_hard_to_read(spark):
+    deep = "[" * 50_000
+    long = "x </s> " * 100_000
+    records = ['{"prompt": "\\ud800 a \\ud83d\\ude00", "response": "b"}', '{"\\ud800": 1}', deep, '{"a":' * 50_000, json.dumps({"prompt": long, "response": None}), "NaN", '{"messages": [null]}', '{"messages": []}', "", None]
+    frame = spark.createDataFrame(list(enumerate(records)), "id int, record string")
+    done = {r["id"]: r for r in chat_format.format_json(frame).collect()}
+    assert chat_format.parsed(done[0]["formatted"]) == [("user", "\ufffd a \U0001f600"), ("assistant", "b")]
+    assert chat_format.parsed(done[4]["formatted"]) == [("user", long), ("assistant", "")]
+    assert [i for i, r in done.items() if r["known"]] == [0, 4]
+    read = chat_format.format_json(frame).select("id", chat_format.read_back(F.col("formatted"), F.col("loss_spans")).alias("d")).select("id", "d.*").collect()
+    assert {r["id"]: r["n_turns"] for r in read} == {i: 2 if i in (0, 4) else None for i in range(10)}
+    assert chat_format.format_json(frame.limit(0)).count() == 0
+
+
+def test_conversations_are_laid_out_in_two_ways(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", None), (2, 0, "user", "q"), (3, 0, None, None), (4, 0, "user", "a"), (4, 1, "assistant", "b"), (4, 2, "user", "c")], "conv_id long, turn long, role string, text string")
+    done = {r["conv_id"]: r for r in chat_format.format_json(chat_format.laid_out(rows)).collect()}
+    assert len({r["fingerprint"] for r in done.values()}) == 2 and all(r["known"] for r in done.values())
+    assert chat_format.parsed(done[1]["formatted"]) == [("user", "q"), ("assistant", "")] and chat_format.parsed(done[3]["formatted"]) == [("", "")]
+    assert chat_format.laid_out(rows.limit(0)).count() == 0
+
+
 def test_odd_conversations(spark):
     rows = spark.createDataFrame([(1, 0, "user", None), (1, 0, "user", None), (1, None, None, "x"), (None, 1, "assistant", "y")], "conv_id long, turn long, role string, text string")
     done = {r["conv_id"]: r for r in chat_format.format_turns(chat_format.grouped_turns(rows), "record").collect()}
