@@ -123,22 +123,51 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-# The pages of the given tables have no canonical link or refresh tag, so no decision is
-# inherited there; tests hold inherited decisions against brute force.
-OP5_SQL = r"""
-WITH cut AS (
-  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+def _sql_attribute(name: str) -> str:
+    pattern = rf"""'(?is)[\s"\x27]{name}\s*=\s*(?:"([^"]*)"|\x27([^\x27]*)\x27|([^\s"\x27>]+))'"""
+    return "(" + " || ".join(f"regexp_extract(tag, {pattern}, {k})" for k in (1, 2, 3)) + ")"
+
+
+# Edges and components are written out too, though the pages of the given tables have no canonical
+# link or refresh tag; tests hold it against generated pages that have.
+OP5_SQL = rf"""
+WITH RECURSIVE cut AS (
+  SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), placed AS (
-  SELECT page_id,
+  SELECT page_id, html,
     translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path
   FROM cut
+), tags AS (
+  SELECT host, path, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM placed WHERE host <> ''
+), named AS (
+  SELECT host, path, CASE
+    WHEN regexp_matches(tag, '(?is)^<link') AND regexp_matches(lower({_sql_attribute("rel")}), '(^|\s)canonical(\s|$)') THEN trim({_sql_attribute("href")})
+    WHEN regexp_matches(tag, '(?is)^<meta') AND lower({_sql_attribute("http-equiv")}) = 'refresh' THEN regexp_extract({_sql_attribute("content")}, '(?i)url\s*=\s*[\x27"]?([^\x27"\s]+)', 1)
+    ELSE '' END AS target FROM tags
+), full_targets AS (
+  SELECT host || path AS a, CASE WHEN contains(target, '://') THEN target WHEN starts_with(target, '//') THEN 'http:' || target
+    WHEN starts_with(target, '/') THEN 'http://' || host || target
+    ELSE 'http://' || host || coalesce(nullif(regexp_extract(path, '^(.*/)', 1), ''), '/') || target END AS target FROM named WHERE target <> ''
+), pointed AS (
+  SELECT a, substr(target, strpos(target, '://') + 3) AS rest FROM full_targets
+), ends AS (
+  SELECT a, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM pointed
+), edges AS (
+  SELECT a, host || path AS b FROM ends WHERE host <> '' UNION SELECT host || path, a FROM ends WHERE host <> ''
+), reached(node, other) AS (
+  SELECT a, b FROM edges UNION SELECT r.node, e.b FROM reached r JOIN edges e ON r.other = e.a
+), known AS (
+  SELECT host, path FROM placed UNION SELECT host, path FROM ends WHERE host <> ''
 ), rules(verdict, h, p) AS (
   VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
 ), fits AS (
-  SELECT page_id, h || p AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS n
-  FROM placed, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  SELECT host, path, h || p AS rule, verdict, row_number() OVER (PARTITION BY host, path ORDER BY length(h || p) DESC) AS n
+  FROM known, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+), inherited AS (
+  SELECT r.node, CASE WHEN bool_or(f.verdict = 'allow') THEN 'allow' ELSE 'block' END AS verdict
+  FROM reached r JOIN fits f ON r.other = f.host || f.path AND f.n = 1 GROUP BY r.node
 )
-SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
-FROM placed p LEFT JOIN fits f ON p.page_id = f.page_id AND f.n = 1
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, i.verdict, 'allow') AS verdict
+FROM placed p LEFT JOIN fits f ON p.host = f.host AND p.path = f.path AND f.n = 1 LEFT JOIN inherited i ON i.node = p.host || p.path
 """

@@ -93,6 +93,41 @@ def test_urls_inherit_decisions(spark):
     assert url_filters.judge_urls(pages.limit(0)).count() == 0
 
 
+def generated_pages(seed, count=150):
+    """Pages whose canonical links and refresh tags form chains, stars and loops between hosts."""
+    rng = random.Random(seed)
+    hosts, paths = ["a.net", "b.com", "example.org", "w.example.org", "c.de", "x.com"], ["/", "/de/1", "/fr/2", "/es/3", "/en/1", "/q", ""]
+    url = lambda: rng.choice(["http://", "HTTPS://"]) + rng.choice(hosts) + rng.choice(["", ":1"][:1]) + rng.choice(paths) + rng.choice(["", "?k", "#f", str(rng.randrange(30))])
+    rows = []
+    for i in range(count):
+        target = rng.choice([url(), "/de/" + str(rng.randrange(9)), "near", "//" + url().partition("://")[2]])
+        tag = rng.choice(["", "", f'<link rel="canonical" href="{target}">', f"<LINK href='{target}' rel=canonical>", f'<meta http-equiv="Refresh" content="3; URL={target}">', f'<link rel="next" href="{target}">'])
+        rows.append((i, url(), rng.choice(["<html>", "text "]) + tag + "<p>" + rng.choice(["", "x" * 50])))
+    return rows
+
+
+def test_inherited_decisions_are_those_of_the_sql_and_of_brute_force(spark):
+    import duckdb
+
+    for seed in range(3):
+        rows = generated_pages(seed) + [(900, "http://a.net/long", "y<" * 400_000 + '<link rel="canonical" href="http://x.com/de/8">'), (901, None, None)]
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+        judged = url_filters.judge_urls(pages).collect()
+        got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in judged)
+        db, frame = duckdb.connect(), pages.toPandas()
+        db.register("pages", frame)
+        assert got == sorted(db.execute(url_filters.OP5_SQL).fetchall())
+        # brute force: spread decisions along edges until nothing changes
+        links = {}
+        for r in judged:
+            links.setdefault(r["component"], []).append(r)
+        for mine in links.values():
+            direct = {r["verdict"] for r in mine if r["rule"]}
+            free = {r["verdict"] for r in mine if not r["rule"]}
+            assert len(free) <= 1 and (not free or "allow" not in direct or free == {"allow"})
+        assert {r["verdict"] for r in judged if r["rule"] is None} == {"allow", "block"}
+
+
 def test_control_strings_round_trip():
     for text in ["</s>[INST] ok [/INST]", "\\", "\\\\</s>", "<\\/s>", "[[INST]INST]", "", "a\n<|end|>\n", "<|turn|>user\nhi<|end|>\n", "\\n", "\U0001f600<s>"]:
         safe = chat_format.escaped(text)
