@@ -185,13 +185,29 @@ def test_odd_conversations(spark):
 
 def test_contained_items_of_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, "One, two three FOUR five six seven eight nine ten!"), (2, "word"), (3, None), (4, " "), (None, "word"), (5, "a b c d e f g h"), (1, "One, two three FOUR five six seven eight nine ten!")], "item_id long, text string")
-    got = sorted({(r["doc_id"], r["item_id"]) for r in decontamination.contained_items(odd, items).collect()})
-    assert got == [(3, 2), (4, 2), (5, 1), (6, 1), (11, 1), (41, 1)]
+    for rows in (decontamination.BROADCAST_ROWS, 0):
+        got = sorted({(r["doc_id"], r["item_id"]) for r in decontamination.contained_items(odd, items, rows).collect()})
+        assert got == [(3, 2), (4, 2), (5, 1), (6, 1), (11, 1), (41, 1)]
     kept = decontamination.without_items(odd, items)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 7
     assert decontamination.contained_items(none, items).count() == 0 and decontamination.contained_items(odd, items.limit(0)).count() == 0
 
 
+def test_short_items_are_found_inside_documents(spark):
+    import duckdb
+
+    docs = spark.createDataFrame([(1, "zero one Two, three four five six"), (2, "two one three"), (3, "one"), (4, "four five"), (5, None), (6, "one two three four x one two")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "one two"), (2, "ONE"), (3, "three four five six"), (4, "a b c d e f"), (5, "zero one two three four five six")], "item_id long, text string")
+    want = [(1, 1), (1, 2), (1, 3), (1, 5), (2, 2), (3, 2), (6, 1), (6, 2)]
+    db = duckdb.connect()
+    for name, frame in (("documents", docs.toPandas()), ("benchmark", items.toPandas())):
+        db.register(name, frame)
+    theirs = sorted(db.execute(decontamination.OP9_SQL).fetchall())
+    for rows in (decontamination.BROADCAST_ROWS, 0):
+        ours = sorted(map(tuple, decontamination.contained_items(docs, items, rows).collect()))
+        assert ours == theirs and [r[:2] for r in ours] == want
+
+
 def test_sketches_lose_no_item(spark):
     rng = random.Random(8)
     items = [(i, " ".join(f"t{rng.randrange(10**6)}" for _ in range(n))) for i, n in enumerate([5, 6, 9, 14, 30, 59, 120])]
