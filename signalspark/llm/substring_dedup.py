@@ -9,7 +9,8 @@ bits, only around anchors that more than one document has.
 
 Texts are dealt to parts by a hash of doc_id. A part sends each distinct hash once, a
 window's with the smallest doc_id that has it, so a passage that a third of all documents share costs one entry
-a part, not one a document or a pair.
+a part, not one a document or a pair. A part's hashes for one bucket are one row, and buckets that
+it has none for get no row: rows are at most as many as anchors, and fewer the larger the parts are.
 """
 
 from __future__ import annotations
@@ -260,6 +261,26 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP8_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words)
+), firsts AS (
+  SELECT g, min(doc_id) AS first FROM windows GROUP BY g
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS p FROM windows JOIN firsts ON windows.g = firsts.g AND first < doc_id, (SELECT unnest(range(13)) AS k)
+), places AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM words
+), kept AS (
+  SELECT a.doc_id, count(g.p) AS n_removed, string_agg(word, ' ' ORDER BY a.p) FILTER (WHERE g.p IS NULL) AS text
+  FROM places a LEFT JOIN gone g ON a.doc_id = g.doc_id AND a.p = g.p GROUP BY a.doc_id
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id
+"""
+
+
 def brute_force(rows: list[tuple[int, str | None]], window: int = 13) -> list[tuple[int, int, int, str]]:
     """The digest rows of ``op8_substring_dedup`` by looking every window up."""
     split = [(d, (t or "").encode().split()) for d, t in rows]

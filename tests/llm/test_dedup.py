@@ -185,6 +185,10 @@ def test_substring_query_is_brute_force(spark, sf, documents):
     assert by_rows(substring_dedup.op8_substring_dedup(spark, sf)) == sorted(substring_dedup.brute_force(documents), key=repr)
 
 
+def test_substring_query_is_its_sql(same):
+    assert same(substring_dedup.op8_substring_dedup, substring_dedup.OP8_SQL)
+
+
 def test_substrings_of_odd_rows(spark, odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect() if r["doc_id"] is not None]
     done = substring_dedup.remove_repeated_passages(odd)
