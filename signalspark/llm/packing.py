@@ -226,7 +226,9 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, waitin
     text and an end token, and each is in exactly one piece. ``tier`` is the sequence's length in
     tokens, without padding: one of ``tiers``, or at the end of a partition a smaller power of two
     (``shortest`` at least, else a rest, to be padded to the longest tier). Sequences of one tier
-    form step groups of ``group_tokens`` tokens, so the steps of a tier weigh the same.
+    form step groups of ``group_tokens`` tokens, so the steps of all tiers weigh the same; a group
+    is written when it is full. What is left of all tiers at the end of a partition forms mixed
+    groups, of which only the last weighs less.
 
     A null or empty text is its end token; a document with no other row is packed alike; rows
     that repeat are packed each for itself; doc_id may be null. No rows give no pieces. Memory is
@@ -246,21 +248,37 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, waitin
         encoder = encoder_of(tokenizer, kept_words)
         base = TaskContext.get().partitionId() << 33
         ready: list[list] = []
-        count = 0
-        steps: dict[int, list[int]] = {}  # tier: step group, tokens in it
-        groups = 0
+        count = groups = 0
+        waiting_steps: dict[int, list[list]] = {}  # tier: sequences of its next step group
 
         def emit(pieces: list, tier: int) -> None:
+            mine = waiting_steps.setdefault(tier, [])
+            mine.append(pieces)
+            if (len(mine) + 1) * tier > group_tokens:
+                step([(tier, s) for s in mine])
+                mine.clear()
+
+        def step(sequences: list[tuple[int, list]]) -> None:
             nonlocal count, groups
-            if tier not in steps or steps[tier][1] + tier > group_tokens:
-                steps[tier] = [base + groups, 0]
-                groups += 1
-            steps[tier][1] += tier
-            offset = 0
-            for (row, tokens), start, ids in pieces:
-                ready.append([*row, start, len(ids) // 4, ids, tokens, base + count, offset, tier, steps[tier][0]])
-                offset += len(ids) // 4
-            count += 1
+            for tier, pieces in sequences:
+                offset = 0
+                for (row, tokens), start, ids in pieces:
+                    ready.append([*row, start, len(ids) // 4, ids, tokens, base + count, offset, tier, base + groups])
+                    offset += len(ids) // 4
+                count += 1
+            groups += 1
+
+        def last_steps() -> None:
+            """The sequences that no full group took, of all tiers, the longest first."""
+            mine: list[tuple[int, list]] = []
+            for tier in sorted(waiting_steps, reverse=True):
+                for pieces in waiting_steps[tier]:
+                    if mine and sum(t for t, _ in mine) + tier > group_tokens:
+                        step(mine)
+                        mine = []
+                    mine.append((tier, pieces))
+            if mine:
+                step(mine)
 
         def flush(schema: pa.Schema) -> pa.RecordBatch:
             columns = list(zip(*ready, strict=True)) if ready else [()] * len(schema)
@@ -283,6 +301,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, waitin
                     yield flush(schema)
         if schema is not None:
             packer.close(shortest)
+            last_steps()
             yield flush(schema)
 
     return source.mapInArrow(packed, sql)

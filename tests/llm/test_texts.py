@@ -46,6 +46,22 @@ def test_packing_has_no_faults(spark, sf, documents):
     assert all(t & (t - 1) == 0 for t in {p["tier"] for p in pieces})
 
 
+def test_step_groups_weigh_the_same(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(3)
+    tokens = 16_384
+    pieces = packing.pack(docs, packing.tokenizer_path(), group_tokens=tokens).withColumn("part", F.shiftright("sequence_id", 33)).collect()
+    weight, tiers, parts = {}, {}, {}
+    for p in pieces:
+        weight[p["step_group"]] = weight.get(p["step_group"], 0) + p["length"]
+        tiers.setdefault(p["step_group"], set()).add(p["tier"])
+        parts[p["step_group"]] = p["part"]
+    for part in set(parts.values()):
+        mine = sorted(g for g in weight if parts[g] == part)
+        assert all(weight[g] == tokens for g in mine[:-1]) and weight[mine[-1]] <= tokens
+        assert sum(len(tiers[g]) > 1 for g in mine) <= 3
+    assert all(weight[g] == tokens for g in weight if len(tiers[g]) == 1 and g not in {max(h for h in weight if parts[h] == q) for q in set(parts.values())})
+
+
 def test_words_are_tokenized_as_whole_texts_are():
     from tokenizers import Tokenizer
 
