@@ -38,6 +38,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Keys that more than one row in so many has are joined by a broadcast; there are fewer of them than this.
+HOT_SHARE = 1000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, key: list[str], n: str = "n") -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, whose keys are unique and whose column ``n``, which is
+    dropped, says how many of ``rows`` have each.
+
+    A key of over a thousandth of all rows would be one long task; there are under a thousand
+    such keys whatever the size, so these are broadcast, and the others are joined by a shuffle
+    that the rows of hot keys don't take part in. Both inputs are read twice: they should be
+    checkpointed or cheap.
+    """
+    total, most = keyed.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    least = max(1000, total // HOT_SHARE)
+    rest = keyed.drop(n)
+    if most <= least:
+        return rows.join(rest, key)
+    hot = F.broadcast(keyed.where(F.col(n) > least).drop(n))
+    cold = keyed.where(F.col(n) <= least).drop(n)
+    common = rows.join(hot, key)
+    return common.unionByName(rows.join(hot.select(*key), key, "left_anti").join(cold, key))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

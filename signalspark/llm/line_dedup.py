@@ -3,14 +3,16 @@
 Every document is a sequence of line ids (128-bit hashes of the stripped lines; blank lines are
 not part of it). Round k of the doubling ranks the suffixes by their first ``2**k`` lines: a
 rank is made from the two ranks of half its length, and named by the first place that has it,
-so equal ranks are one interval of the suffix array and the name is the interval's first
-position. Only suffixes in an interval of two or more go on to the next round; most lines are
-unique and leave at once. The order of the array is never needed and not made.
-
-A maximal repeated run has at least ``min_words`` words. It is the union of its shortest
-windows of that many words, counted on from each line and back from each line, and such a
-window occurs earlier exactly if the interval of its lines, found by two overlapping ranks of
-the largest power of two, begins earlier.
+so equal ranks are one interval of the suffix array, whose longest common prefix is ``2**k`` lines
+at least, and the name is the interval's first position. Only suffixes in an interval of two or
+more go on to the next round; most lines are unique and leave at once.
+
+A repeated run has at least ``min_words`` words. It is the union of its shortest windows of that
+many words, counted on from each line and back from each line. The interval of such a window's
+lines, of a common prefix of just its length, is that of two overlapping ranks of the largest
+power of two, and it is an earlier copy's if the interval begins earlier. Deeper ranks can't
+change which lines go, so the doubling ends at the longest window. Windows whose first copies lie
+at one distance join into maximal runs, and these are what is deleted.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, read_table
+from .common import checkpointed, join_counted, read_table
 
 _AT = ["doc_id", "version", "i"]
 
@@ -64,12 +66,13 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
 
 def _ranked(places: DataFrame, key: list[str], keep: list[str]) -> DataFrame:
     """``keep`` and ``rank``, the first place with the same key, of places whose key recurs."""
-    first = places.groupBy(key).agg(F.min(F.struct(_AT)).alias("rank"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return places.join(first, key).select(*keep, "rank")
+    first = checkpointed(places.groupBy(key).agg(F.min(F.struct(_AT)).alias("rank"), F.count("*").alias("n")).where("n > 1"))
+    return join_counted(places, first, key).select(*keep, "rank")
 
 
 def _repeated_windows(lines: DataFrame) -> DataFrame:
-    """``(doc_id, version, i, length)`` of windows that also begin at an earlier place."""
+    """``(doc_id, version, i, length, rank)`` of windows that also begin at an earlier place, the
+    first of which is ``rank``."""
     ranks = checkpointed(_ranked(lines, ["h", "g"], [*_AT, "ahead", "back"]))
     ends = F.array(F.struct(F.col("i").alias("i"), F.col("ahead").alias("length")), F.struct((F.col("i") - F.col("back") + 1).alias("i"), F.col("back").alias("length")))
     windows = ranks.select("doc_id", "version", F.explode(ends).alias("w")).select("doc_id", "version", "w.*").where("length > 0").distinct()
@@ -80,15 +83,32 @@ def _repeated_windows(lines: DataFrame) -> DataFrame:
         mine = windows.where((F.col("length") >= size) & (F.col("length") < 2 * size))
         head = mine.join(ranks.withColumnRenamed("rank", "head"), _AT)
         tail = ranks.select("doc_id", "version", F.col("i").alias("end"), F.col("rank").alias("tail"))
-        both = head.withColumn("end", F.col("i") + F.col("length") - size).join(tail, ["doc_id", "version", "end"])
-        repeated = _ranked(both, ["length", "head", "tail"], [*_AT, "length"]).where(F.col("rank") < F.struct(_AT)).drop("rank")
+        both = checkpointed(head.withColumn("end", F.col("i") + F.col("length") - size).join(tail, ["doc_id", "version", "end"]))
+        repeated = _ranked(both, ["length", "head", "tail"], [*_AT, "length"]).where(F.col("rank") < F.struct(_AT))
         found = repeated if found is None else found.union(repeated)
         if 2 * size <= longest:
             tail = ranks.select("doc_id", "version", (F.col("i") - size).alias("i"), F.col("rank").alias("tail"))
-            pairs = ranks.withColumnRenamed("rank", "head").join(tail, _AT)
+            pairs = checkpointed(ranks.withColumnRenamed("rank", "head").join(tail, _AT))
             ranks = checkpointed(_ranked(pairs, ["head", "tail"], _AT))
         size *= 2
-    return windows.limit(0) if found is None else found
+    return windows.limit(0).withColumn("rank", F.struct(_AT)) if found is None else found
+
+
+def repeated_runs(lines: DataFrame) -> DataFrame:
+    """``(doc_id, version, i, length, first)``: maximal runs of ``length`` lines from line ``i`` on
+    that also stand earlier, ``first`` being the first place that the run's beginning stands at.
+
+    Windows of one document whose first copies are in one document, at one distance, and which
+    overlap or touch are one run.
+    """
+    windows = _repeated_windows(lines).withColumn("shift", F.col("i") - F.col("rank.i"))
+    same = Window.partitionBy("doc_id", "version", "rank.doc_id", "rank.version", "shift").orderBy("i", "length")
+    reach = F.max(F.col("i") + F.col("length")).over(same.rowsBetween(Window.unboundedPreceding, -1))
+    begins = windows.withColumn("new", (reach.isNull() | (reach < F.col("i"))).cast("int"))
+    numbered = begins.withColumn("run", F.sum("new").over(same))
+    runs = numbered.groupBy("doc_id", "version", F.col("rank.doc_id").alias("d"), F.col("rank.version").alias("v"), "shift", "run")
+    whole = runs.agg(F.min("i").alias("i"), F.max(F.col("i") + F.col("length")).alias("end"), F.min("rank").alias("first"))
+    return whole.select("doc_id", "version", "i", (F.col("end") - F.col("i")).alias("length"), "first")
 
 
 def _kept(text: Column, windows: Column) -> Column:
@@ -124,8 +144,7 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     version = F.xxhash64("text")
     named = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), version.alias("version"), "text")
     lines = checkpointed(_lines(named, min_words).distinct())
-    windows = _repeated_windows(lines)
-    spans = windows.groupBy("doc_id", "version").agg(F.collect_set(F.struct("i", "length")).alias("__spans")).withColumnsRenamed({"doc_id": "__id", "version": "__version"})
+    spans = repeated_runs(lines).groupBy("doc_id", "version").agg(F.collect_set(F.struct("i", "length")).alias("__spans")).withColumnsRenamed({"doc_id": "__id", "version": "__version"})
     joined = docs.join(spans, (F.col("doc_id").cast("long") == F.col("__id")) & (version == F.col("__version")), "left")
     done = joined.withColumn("__cut", _kept(F.col("text"), F.col("__spans")))
     return done.select(*(F.col("__cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), "__cut.n_lines", "__cut.removed_lines")

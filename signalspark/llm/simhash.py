@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, read_table
+from .common import checkpointed, join_counted, read_table
 from .components import connected_components
 
 BITS = 64
@@ -46,15 +46,17 @@ def fingerprint(text: str | None, words: int = 4, distinct: bool = False) -> int
     joined = b" ".join(w)
     ends = list(accumulate(w, lambda end, x: end + 1 + len(x), initial=-1))
     k = min(words, len(w))
-    shingles = [joined[a + 1 : b] for a, b in zip(ends, ends[k:], strict=False)]
+    total = len(w) - k + 1
     if distinct:
-        shingles = list(set(shingles))
+        shingles = list({joined[a + 1 : b] for a, b in zip(ends, ends[k:], strict=False)})
+        total = len(shingles)
     counts = np.zeros(BITS, np.int64)
     digest = xxhash.xxh64_digest
-    for at in range(0, len(shingles), 50_000):
-        raw = np.frombuffer(b"".join([digest(s, SEED) for s in shingles[at : at + 50_000]]), np.uint8)
+    for at in range(0, total, 50_000):
+        part = shingles[at : at + 50_000] if distinct else [joined[a + 1 : b] for a, b in zip(ends[at : at + 50_000], ends[at + k :], strict=False)]
+        raw = np.frombuffer(b"".join([digest(s, SEED) for s in part]), np.uint8)
         counts += np.unpackbits(raw).reshape(-1, BITS).sum(axis=0, dtype=np.uint16)
-    return int(np.packbits(counts * 2 > len(shingles)).view(">i8")[0])
+    return int(np.packbits(counts * 2 > total).view(">i8")[0])
 
 
 def fingerprint_column(text: Column, words: int = 4, distinct: bool = False) -> Column:
@@ -190,9 +192,10 @@ def simhash_groups(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
     are ignored. ``most`` is 1 to 15.
     """
     marked = checkpointed(docs.select("doc_id", fingerprint_column(F.col("text"), words).alias("fp")))
-    nodes = marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"))
-    answer = fingerprint_components(nodes, most).select("fp", F.col("component").alias("component_id"))
-    return marked.join(answer, "fp", "left").select("doc_id", "fp", "component_id")
+    nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
+    answer = fingerprint_components(nodes.where("id is not null"), most).select("fp", F.col("component").alias("component_id"))
+    answer = checkpointed(nodes.select("fp", "n").join(answer, "fp", "left"))
+    return join_counted(marked, answer, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 #: Documents of one sequence of words have one key; the shingles of a text, hashed and distinct.

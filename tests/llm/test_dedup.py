@@ -170,6 +170,24 @@ def test_line_runs_are_brute_force(spark):
     assert {r["doc_id"]: r["removed_lines"] for r in done.collect()} == brute_lines(rows)
 
 
+def test_runs_are_maximal(spark):
+    a = "\n".join(f"line number {k} of the long run" for k in range(40))
+    rows = [(1, "start of one\n" + a), (2, a + "\nand an end here"), (3, "x\n" + a.split("\n", 10)[10] + "\ny"), (4, a.split("\n")[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) as version", "text")
+    runs = line_dedup.repeated_runs(line_dedup._lines(docs, 5)).collect()
+    assert sorted((r["doc_id"], r["i"], r["length"], r["first"]["doc_id"], r["first"]["i"]) for r in runs) == [(2, 0, 40, 1, 1), (3, 1, 30, 1, 11), (4, 0, 1, 1, 1)]
+
+
+def test_hot_keys_are_joined_whole(spark):
+    from signalspark.llm.common import join_counted
+
+    rows = spark.range(20_000).selectExpr("id", "if(id % 3 = 0, 0, id) as k", "cast(id % 2 as string) as j")
+    keyed = rows.groupBy("k", "j").agg(F.count("*").alias("n"), F.min("id").alias("m")).where("k % 5 = 0")
+    found = join_counted(rows, keyed, ["k", "j"])
+    assert keyed.agg(F.max("n")).first()[0] > 1000 and sorted(found.columns) == ["id", "j", "k", "m"]
+    assert by_rows(found.select("id", "k", "j", "m")) == by_rows(rows.join(keyed.drop("n"), ["k", "j"]).select("id", "k", "j", "m"))
+
+
 def test_lines_of_odd_rows(odd, none):
     done = line_dedup.remove_repeated_lines(odd)
     assert set(done.columns) == {*odd.columns, "n_lines", "removed_lines"}
