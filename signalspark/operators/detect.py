@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -75,6 +76,15 @@ def list_delta(before: list[str], after: list[str]) -> tuple[list[str], list[str
 
 
 def edit_distance(a, b) -> int:
+    """Levenshtein distance; what both begin and end with is left out first."""
+    k = 0
+    while k < min(len(a), len(b)) and a[k] == b[k]:
+        k += 1
+    a, b = a[k:], b[k:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    if not a or not b:
+        return max(len(a), len(b))
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
@@ -139,7 +149,11 @@ def gate(observed: dict, previous: dict) -> dict:
     for key, status, both in (("extractor_version", "ok", False), ("variant", "changed-structure", False), ("lang", "ok", True), ("canonical", "ok", True)):
         if moved(key, both):
             return out(status, f"{key} {previous[key]} -> {observed.get(key)}", rebaseline=True)
-    fallen = [f"{f} {was} -> {now}" for f, (was, now) in family_yields(observed.get("signals", {}), previous.get("state", {})).items() if was >= 3 and now < was * YIELD_RATIO]
+    yields = family_yields(observed.get("signals", {}), previous.get("state", {}))
+    large = {f: y for f, y in yields.items() if y[0] >= 3}
+    if not large:  # no family is large enough to judge by: the page as a whole is
+        large = {"page": y for y in [tuple(map(sum, zip(*yields.values(), strict=True)))] if y[0] >= 3} if yields else {}
+    fallen = [f"{f} {was} -> {now}" for f, (was, now) in large.items() if now < was * YIELD_RATIO]
     if fallen:
         return out("changed-structure", "yield fell: " + ", ".join(fallen))
     if origins_differ(previous.get("origin"), observed.get("origin")) == "different":
@@ -265,19 +279,59 @@ def corroborated(page: dict, signals: dict, now: str) -> dict | None:
     return page | {"state": out} if moved else None
 
 
-OUTCOME_SCHEMA = "slug string, kind string, seq long, at string, status string, signal string, outcome string, change_type string, before_value string, after_value string, magnitude double, oscillating int"
+def quoted(text: str | None, most: int = 90) -> str:
+    """A value in quotation marks, cut to ``most`` characters; *nothing* for none."""
+    if text in (None, ""):
+        return "nothing"
+    text = " ".join(str(text).split())
+    return f'"{text if len(text) <= most else text[: most - 3] + "\u2026"}"'
+
+
+def summary(name: str, event: dict) -> str:
+    """One sentence on an event: what was read before, what is read now, or what came and went."""
+    label = name.replace("_", " ")
+    if event["change_type"] == "removed":
+        return f"{label} is gone; it was {quoted(event['before_value'])}"
+    parts = [f"{word} {', '.join(event[word][:3])}" + (f" and {len(event[word]) - 3} more" if len(event[word]) > 3 else "") for word in ("added", "removed") if event.get(word)]
+    text = f"{label} {'; '.join(parts)}" if parts else f"{label} changed from {quoted(event['before_value'])} to {quoted(event['after_value'])}"
+    return text + (", a value that it had before" if event.get("oscillating") else "")
+
+
+def recovery(before: dict | None, outcomes: dict[str, str]) -> str | None:
+    """What a reading after failures shows: signals adopted again after they were suspect or unread."""
+    state = (before or {}).get("state", {})
+    back = sorted(n for n, o in outcomes.items() if o in ("unchanged", "changed", "acquisition-adopted") and (state.get(n) or {}).get("nulls", 0) + (state.get(n) or {}).get("suspect", 0) > 0)
+    return f"{', '.join(back)} read again" if back else None
+
+
+OUTCOME_SCHEMA = "slug string, kind string, seq long, at string, status string, signal string, outcome string, change_type string, before_value string, after_value string, magnitude double, oscillating int, summary string"
 
 
 def outcome_rows(key: tuple, rows: list[dict], page: dict | None) -> tuple[list[tuple], dict]:
-    """Outcomes of a page's observations in their order, and its state after them."""
+    """Outcomes of a page's observations in their order, and its state after them.
+
+    An observation whose ``status`` is unchanged repeats the readings before it: it only moves
+    pending acquisitions on, and gives an outcome for those.
+    """
     out = []
     for row in rows:
         observed = json.loads(row["observation"])
+        if observed.get("status") == "unchanged":
+            signals = observed.get("signals") or (page or {}).get("pending", {})
+            after = corroborated(page, signals, observed["at"]) if page else None
+            if after:
+                for name, s in after["state"].items():
+                    if s != page["state"][name]:
+                        outcome = "acquisition-adopted" if s["value"] else "acquisition"
+                        out.append((*key, row["seq"], observed["at"], "unchanged", name, outcome, None, None, None, None, None, None))
+                page = after
+            continue
         page, outcomes, events, g = step(page, observed)
+        page["pending"] = {n: observed["signals"][n] for n, o in outcomes.items() if o == "acquisition"}
         by_signal = {e["signal"]: e for e in events}
         for name, outcome in outcomes.items():
             e = by_signal.get(name, {})
-            out.append((*key, row["seq"], observed["at"], g["status"], name, outcome, e.get("change_type"), e.get("before_value"), e.get("after_value"), e.get("magnitude"), e.get("oscillating")))
+            out.append((*key, row["seq"], observed["at"], g["status"], name, outcome, e.get("change_type"), e.get("before_value"), e.get("after_value"), e.get("magnitude"), e.get("oscillating"), summary(name, e) if e else None))
     return out, page
 
 
@@ -290,7 +344,7 @@ def detect(observations: DataFrame) -> DataFrame:
     """
     columns = [c.split()[0] for c in OUTCOME_SCHEMA.split(", ")]
 
-    def fold(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         rows, _ = outcome_rows(tuple(key), frame.sort_values("seq").to_dict("records"), None)
         return pd.DataFrame(rows, columns=columns, dtype=object)
 

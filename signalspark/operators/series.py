@@ -28,7 +28,7 @@ def queue(results: DataFrame, keys: list[str], order: str, at: str, status: str,
     folded = results.groupBy(*keys).agg(
         F.max_by(at, order).alias("last_attempted_at"),
         F.max_by(status, order).alias("last_status"),
-        F.max(F.when(ok, F.col(at))).alias("last_ok_at"),
+        F.max_by(at, F.when(ok, F.col(order))).alias("last_ok_at"),
         F.max_by(version, F.when(F.col(version).isNotNull(), F.col(order))).alias("extractor_version"),
         last_ok.alias("__ok"),
     )
@@ -72,9 +72,14 @@ def retracted(events: DataFrame, retractions: DataFrame, keys: list[str], order:
     return events.join(last, keys).select(*(events[c] for c in events.columns), *(F.col(f"why.{c}") for c in extra))
 
 
-def append_new(log: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``incoming`` whose key the log doesn't have, one a key: what an append adds."""
-    return incoming.dropDuplicates(keys).join(log.select(*keys).distinct(), keys, "left_anti").select(incoming.columns)
+def append_new(log: DataFrame, incoming: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Rows of ``incoming`` whose key the log doesn't have, one a key: the first by ``order``, or
+    without one the least by all columns."""
+    rest = [c for c in incoming.columns if c not in keys]
+    row = F.struct(*rest)
+    first = incoming.groupBy(*keys).agg(F.min_by(row, F.struct(F.col(order), row) if order else row).alias("first")) if rest else incoming.distinct()
+    new = first.join(log.select(*keys).distinct(), keys, "left_anti")
+    return new.select(*keys, "first.*").select(incoming.columns) if rest else new
 
 
 def confirmed(last_ok_at: Column, detected_at: Column) -> Column:

@@ -35,7 +35,7 @@ def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_OBS_SQL}, ok AS (SELECT user_id, event_type, max(event_id) AS k, max(ts) AS at FROM obs WHERE status IN ('ok', 'unchanged') GROUP BY ALL)
+    f"""WITH {_OBS_SQL}, ok AS (SELECT user_id, event_type, max(event_id) AS k, arg_max(ts, event_id) AS at FROM obs WHERE status IN ('ok', 'unchanged') GROUP BY ALL)
 SELECT o.user_id, o.event_type, arg_max(o.ts, o.event_id) AS last_attempted_at, arg_max(o.status, o.event_id) AS last_status, max(ok.at) AS last_ok_at,
   arg_max(o.version, o.event_id) FILTER (WHERE o.version IS NOT NULL) AS extractor_version,
   count(*) FILTER (WHERE o.status NOT IN ('ok', 'unchanged') AND (ok.k IS NULL OR o.event_id > ok.k)) AS consecutive_failures
@@ -86,7 +86,7 @@ def feed_retracted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_OBS_SQL}, ok AS (SELECT user_id, event_type, max(ts) AS ok_at FROM obs WHERE status IN ('ok', 'unchanged') GROUP BY ALL)
+    f"""WITH {_OBS_SQL}, ok AS (SELECT user_id, event_type, arg_max(ts, event_id) AS ok_at FROM obs WHERE status IN ('ok', 'unchanged') GROUP BY ALL)
 SELECT event_id, coalesce(ok_at > ts, false) AS confirmed FROM obs LEFT JOIN ok ON obs.user_id = ok.user_id AND obs.event_type = ok.event_type"""
 )
 def feed_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,8 +143,8 @@ def due_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events")
     targets = rows.select("user_id").distinct()
     queue = rows.where("user_id % 5 <> 0").groupBy("user_id").agg(F.max("ts").alias("next_due_at"))
-    now = rows.agg((F.max("ts") - F.expr("INTERVAL 6 HOURS")).alias("now")).first()["now"]
-    return series.due(targets, queue, ["user_id"], F.lit(now).cast("timestamp_ntz"), 40, "user_id")
+    now = rows.agg((F.max("ts") - F.expr("INTERVAL 6 HOURS")).alias("__now"))
+    return series.due(targets.crossJoin(F.broadcast(now)), queue, ["user_id"], F.col("__now"), 40, "user_id").drop("__now")
 
 
 @query(

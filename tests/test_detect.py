@@ -3,7 +3,7 @@ import json
 import pytest
 
 from signalspark.operators import detect as D
-from signalspark.streaming.detect import append_once, detect_stream
+from signalspark.streaming.detect import append_once, detect_stream, read_log
 
 
 def read(value, confidence=1.0, method="h1", raw=None):
@@ -146,4 +146,63 @@ def test_stream_is_batch(spark, tmp_path):
 
     query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(log).collect()), key=repr) == want
+    assert sorted(map(tuple, read_log(spark, log).collect()), key=repr) == want
+
+
+def test_a_page_that_falls_as_a_whole_is_closed():
+    small = {n: read("x") for n in ("headline", "subhead", "proof_points", "customer_logos")}
+    state = D.step(None, page(1, signals=small))[0]
+    g = D.gate(page(2, signals=small | {n: None for n in ("headline", "subhead", "proof_points")}), state)
+    assert g["status"] == "changed-structure" and "page 4 -> 1" in g["reason"]
+    assert D.gate(page(2, signals=small | {"headline": None}), state)["status"] == "ok"
+
+
+def test_unchanged_reads_move_acquisitions_on_in_the_fold(spark):
+    full = {n: read(n) for n, (_, family, _) in D.SIGNALS.items() if family == "hero"}
+    rows = [page(1, signals=full | {"headline": None}), page(2, signals=full), {"at": "2026-01-03", "status": "unchanged"}, {"at": "2026-01-04", "status": "unchanged"}, {"at": "2026-01-05", "status": "unchanged"}]
+    frame = spark.createDataFrame([("a", "home", i, json.dumps(r)) for i, r in enumerate(rows)], "slug string, kind string, seq long, observation string")
+    found = [(r["seq"], r["outcome"]) for r in D.detect(frame).orderBy("seq").collect() if r["signal"] == "headline"]
+    assert found == [(0, "baseline-empty"), (1, "acquisition"), (2, "acquisition"), (3, "acquisition-adopted")]
+
+
+def test_summaries():
+    _, events, _ = run("headline", [read("A"), read("B" * 200), read("A")])
+    assert D.summary("headline", events[0]).startswith('headline changed from "A" to "BBB') and len(D.summary("headline", events[0])) < 130
+    assert D.summary("headline", events[1]).endswith("a value that it had before")
+    names = [f"n{i}" for i in range(10)]
+    _, events, _ = run("customer_logos", [read(" | ".join(names[:k]), raw=json.dumps({"names": names[:k]})) for k in (10, 5)])
+    assert D.summary("customer_logos", events[0]) == "customer logos removed n5, n6, n7 and 2 more"
+    gone = run("headline", [read("a b")] + [None] * 5)[1][0]
+    assert D.summary("headline", gone) == 'headline is gone; it was "a b"'
+    state = D.step(None, page(1))[0]
+    state = D.step(state, page(2, signals=page(2)["signals"] | {"headline": None}))[0]
+    _, outcomes, _, _ = D.step(state, page(3))
+    assert D.recovery(state, outcomes) == "headline read again"
+
+
+def test_edit_distances():
+    import random
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(12))) for _ in range(2))
+        assert D.edit_distance(a, b) == plain(a, b)
+
+
+def test_appends_take_whole_batches_only(spark, tmp_path):
+    log = str(tmp_path / "log")
+    rows = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (2, "c", 1)], "k long, v string, n long")
+    assert append_once(rows, log, ["k"], "n") == 2 and append_once(rows, log, ["k"]) == 0
+    assert sorted(map(tuple, read_log(spark, log).collect())) == [(1, "a", 1), (2, "c", 1)]
+    rows.write.parquet(f"{log}/_writing-x")  # a write that was cut short
+    assert read_log(spark, log).count() == 2 and read_log(spark, str(tmp_path / "none")) is None
+    with pytest.raises(Exception):
+        append_once(rows.withColumnRenamed("k", "other"), log, ["other"])
