@@ -1,4 +1,9 @@
-"""Places in space for sequences, by forces between them; always the same for the same input."""
+"""Places in space for sequences: distances on the page follow distances between sequences.
+
+A layout by stress majorisation: every pair of points has a distance that it should have, and the
+places are moved, all at once, so that the sum of squared errors never grows. Wanted distances are
+short along the edges, middling within a shape and long between points that nothing joins.
+"""
 
 from __future__ import annotations
 
@@ -7,70 +12,63 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Strengths of the forces, and shares of the radius where points begin.
-REPULSION, SPRING, COHESION, DAMPING = 0.85, 0.05, 0.045, 0.85
-ANCHORS_AT, SPREAD, STRAYS_AT = 0.62, 0.14, 0.98
-#: A layout is quadratic in its points and is for one drawing; more are refused.
+#: Wanted distances: of points that nothing joins, and of points of one shape; an edge adds its own to ``JOINED``.
+APART, TOGETHER, JOINED = 1.0, 0.4, 0.08
+#: A layout compares all pairs of points and is for one drawing; more points are refused.
 MOST_POINTS = 5_000
 
 
-def sphere(i: np.ndarray, n: int) -> np.ndarray:
-    """The i-th of n points spread over the unit sphere by the golden angle."""
-    y = 1 - 2 * i / (n - 1) if n > 1 else np.zeros(len(i))
-    around, angle = np.sqrt(np.maximum(0, 1 - y * y)), np.pi * (3 - np.sqrt(5)) * i
-    return np.column_stack([np.cos(angle) * around, y, np.sin(angle) * around])
+def spread(n: int) -> np.ndarray:
+    """``n`` points that fill the cube around zero evenly, the same ones always: multiples, modulo
+    one, of the inverse powers of the root of x^4 = x + 1."""
+    root = 1.22074408460575947536
+    steps = 1 / root ** np.arange(1, 4)
+    return (0.5 + np.arange(1, n + 1)[:, None] * steps) % 1 - 0.5
 
 
-def placed(shape: np.ndarray, edges: np.ndarray, distance: np.ndarray, radius: float = 100.0, steps: int = 500) -> np.ndarray:
-    """Coordinates to two places of points with a ``shape`` (-1: none) and ``edges`` of a distance.
+def wanted(shape: np.ndarray, edges: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """The matrix of distances that pairs should have."""
+    out = np.where((shape[:, None] == shape) & (shape >= 0), TOGETHER, APART)
+    if len(edges):
+        a, b = edges.T
+        out[a, b] = out[b, a] = JOINED + distance * APART
+    np.fill_diagonal(out, 0)
+    return out
 
-    Points of a shape begin near its anchor, others on the outer sphere. All repel each other,
-    edges pull to a length that grows with their distance, and a shape's points to their middle.
-    """
+
+def placed(shape: np.ndarray, edges: np.ndarray, distance: np.ndarray, radius: float = 100.0, steps: int = 60) -> np.ndarray:
+    """Coordinates to two places of points with a ``shape`` (-1: none) and ``edges`` of a distance,
+    around their middle and within ``radius``; the same for the same input."""
     n = len(shape)
-    if not n:
-        return np.zeros((0, 3))
-    i = np.arange(n, dtype=float)
-    anchors = sphere(np.arange(max(1, shape.max() + 1), dtype=float), max(1, int(shape.max()) + 1)) * radius * ANCHORS_AT
-    near = np.column_stack([np.cos(i * 2.399), np.sin(i * 1.703), np.cos(i * 0.734 + 1.1)]) * radius * SPREAD
-    at = np.where(shape[:, None] >= 0, anchors[np.maximum(shape, 0)] + near, sphere(i, n) * radius * STRAYS_AT)
-    speed, member = np.zeros_like(at), shape[:, None] == np.arange(len(anchors))
-    sizes = np.maximum(member.sum(axis=0), 1)
-    for step in range(steps):
-        apart = at[:, None] - at[None]
-        square = (apart**2).sum(axis=2)
-        close = (square < 0.01) & ~np.eye(n, dtype=bool)
-        apart[close] = np.where((np.arange(n)[:, None] < np.arange(n))[close][:, None], 1, -1) * np.array([0.1, 0.05, 0.02])
-        square[close] = 0.0129
-        np.fill_diagonal(square, np.inf)
-        force = (apart * (REPULSION * radius**2 / square**1.5)[:, :, None]).sum(axis=1)
-        if len(edges):
-            pull = at[edges[:, 1]] - at[edges[:, 0]]
-            length = np.maximum(np.linalg.norm(pull, axis=1), 0.001)
-            pull *= (SPRING * (length - radius * (0.2 + 0.9 * distance)) / length)[:, None]
-            np.add.at(force, edges[:, 0], pull)
-            np.add.at(force, edges[:, 1], -pull)
-        middles = member.T.astype(float) @ at / sizes[:, None]
-        force += np.where(shape[:, None] >= 0, (middles[np.maximum(shape, 0)] - at) * COHESION, 0)
-        speed = (speed + force) * DAMPING
-        at = at + speed * (0.85 * (1 - step / steps) + 0.02)
-    at = at - at.mean(axis=0)
+    if n < 2:
+        return np.zeros((n, 3))
+    target, at = wanted(shape, edges, distance), spread(n)
+    for _ in range(steps):
+        square = (at**2).sum(axis=1)
+        far = np.sqrt(np.maximum(square[:, None] + square - 2 * at @ at.T, 1e-12))
+        pull = target / far
+        np.fill_diagonal(pull, 0)
+        at = (pull.sum(axis=1)[:, None] * at - pull @ at) / n
+    at -= at.mean(axis=0)
     far = np.linalg.norm(at, axis=1).max()
-    return np.floor(at * (radius / far if far else 1) * 100 + 0.5) / 100
+    return np.round(at * (radius / far if far else 1), 2)
 
 
 def layout(shapes: DataFrame, neighbours: DataFrame, key: str) -> DataFrame:
-    """``(key, shape, x, y, z)`` of ``shapes(key, shape)`` and ``neighbours(src, dst, distance)``,
-    as one task: a drawing is of one corpus of at most ``MOST_POINTS`` points."""
+    """``(key, shape, x, y, z)`` of ``shapes(key, shape)`` and ``neighbours(src, dst, distance)``.
+
+    A drawing is of one corpus, so its points, at most ``MOST_POINTS``, are one task; they are
+    counted before they are gathered.
+    """
+    if shapes.limit(MOST_POINTS + 1).count() > MOST_POINTS:
+        raise ValueError(f"a layout has at most {MOST_POINTS} points")
     kind = shapes.schema[key].dataType.simpleString()
-    pairs = neighbours.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "distance").dropDuplicates(["a", "b"])
+    pairs = neighbours.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "distance").groupBy("a", "b").agg(F.min("distance").alias("distance"))
     points = shapes.select(F.lit(0).alias("g"), F.col(key).alias("a"), F.lit(None).cast(kind).alias("b"), F.col("shape").cast("double").alias("v"))
     rows = points.union(pairs.select(F.lit(1), "a", "b", "distance"))
 
     def draw(frame: pd.DataFrame) -> pd.DataFrame:
         nodes, links = frame[frame.g == 0].sort_values("a"), frame[frame.g == 1].sort_values(["a", "b"])
-        if len(nodes) > MOST_POINTS:
-            raise ValueError(f"a layout has at most {MOST_POINTS} points")
         number = {k: i for i, k in enumerate(nodes.a)}
         edges = np.array([[number[a], number[b]] for a, b in zip(links.a, links.b, strict=True)], int).reshape(-1, 2)
         xyz = placed(nodes.v.to_numpy().astype(int), edges, links.v.to_numpy(dtype=float))
