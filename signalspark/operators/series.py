@@ -134,3 +134,38 @@ def interleaved(targets: DataFrame, host: str, order: str) -> DataFrame:
     """``turn`` and ``host_first``: sorted by these, hosts take turns in the order first seen."""
     w = Window.partitionBy(host)
     return targets.withColumn("turn", F.row_number().over(w.orderBy(order)).cast("long")).withColumn("host_first", F.min(order).over(w))
+
+
+def run_messages(results: DataFrame, movers: DataFrame, run: str, status: str, name: str, counted: tuple[str, ...], prefix: str = "") -> DataFrame:
+    """``(run, message)``: a line on each run: its targets, the first three that moved and how many
+    more, and how many had each of the counted statuses."""
+    counts = results.groupBy(run).agg(F.count("*").alias("__n"), *(F.count(F.when(F.col(status) == s, 1)).alias(f"__{s}") for s in counted))
+    names = F.transform(F.array_sort(F.collect_list(name)), lambda x: F.concat(F.lit(prefix), x.cast("string")))
+    moved = movers.groupBy(run).agg(names.alias("m"))
+    more = F.when(F.size("m") > 3, F.concat(F.lit(" +"), (F.size("m") - 3).cast("string"), F.lit(" more"))).otherwise("")
+    listed = F.concat(F.array_join(F.slice("m", 1, 3), ", "), more)
+    parts = [F.when(F.col(f"__{s}") > 0, F.concat(F.col(f"__{s}").cast("string"), F.lit(f" {s}"))) for s in counted]
+    message = F.concat_ws("; ", F.concat(F.col("__n").cast("string"), F.lit(" targets")), listed, *parts)
+    return counts.join(moved, run, "left").select(run, message.alias("message"))
+
+
+def select_targets(targets: DataFrame, queue_: DataFrame, keys: list[str], mode: str, now: Column | None = None, limit: int | None = None, company: str | None = None, order: str = "slug") -> DataFrame:
+    """Targets of a run: of ``batch`` those due by ``now``, the longest due first and ``limit`` of them;
+    of ``company`` all pages of one, which must be known; of ``all`` every one."""
+    if mode == "batch":
+        if limit is None or limit < 0:
+            raise ValueError("a batch needs a limit of 0 or more")
+        return due(targets, queue_, keys, now, limit, order)
+    if mode == "company":
+        mine = targets.where(F.col("slug") == company)
+        if mine.isEmpty():
+            raise ValueError(f"no company {company!r}")
+        return mine.join(queue_, keys, "left")
+    if mode != "all":
+        raise ValueError(f"no mode {mode!r}")
+    return targets.join(queue_, keys, "left")
+
+
+def skipped_unchanged(fetched: DataFrame, known: DataFrame, keys: list[str], content: str = "content_hash") -> DataFrame:
+    """Fetches whose content differs from the last one known of the page; the others need no reading."""
+    return fetched.join(known.select(*keys, F.col(content).alias("__known")), keys, "left").where(~F.col(content).eqNullSafe(F.col("__known"))).drop("__known")

@@ -1,3 +1,3 @@
-"""Queries over the driver's tables, by subject."""
+"""Registered queries; importing this package registers them."""
 
-from . import comparison, detection, models, pages, sequences, series  # noqa: F401
+from . import comparison, detection, formats, insights, models, pages, readmodels, sequences, series, structure  # noqa: F401

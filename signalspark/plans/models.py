@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measures as M
 from ..functions import text as T
-from ..operators import positioning, segments
+from ..operators import insights, positioning, segments
 from ..registry import query, table
 
 
@@ -46,27 +46,42 @@ def ai_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positioning.ai_mentions(_labels(spark, sf_dir), "label")
 
 
-_PROOF_SQL = "proofs AS (SELECT c_custkey AS id, 'Trusted by ' || (c_custkey % 90 + 10) || ',000+ teams. ' || CASE c_custkey % 3 WHEN 0 THEN (c_custkey % 50 + 10) || '% faster in under ' || (c_custkey % 9 + 1) || ' minutes' WHEN 1 THEN 'G2 Leader, $' || (c_custkey % 7 + 1) || 'M saved' ELSE '10x faster. 10x faster' END AS proof FROM customer)"
-_CLAIM_SQL = " UNION ALL ".join(
-    "SELECT id, {i} AS family, '{k}' AS kind, unnest(regexp_extract_all(proof, '(?i){p}')) AS claim FROM proofs".format(i=i, k=k, p=p) for i, (k, p) in enumerate(positioning.CLAIMS)
-)
+_PROOF_SQL = "proofs AS (SELECT c_custkey AS id, 'Trusted by ' || (c_custkey % 90 + 10) || ',000+ teams. ' || CASE c_custkey % 3 WHEN 0 THEN (c_custkey % 50 + 10) || '% faster in under ' || (c_custkey % 9 + 1) || ' minutes. We cut cost by ' || (c_custkey % 40 + 5) || '%' WHEN 1 THEN 'G2 Leader, $' || (c_custkey % 7 + 1) || 'M saved' ELSE '10x faster. 10x faster' END AS proof FROM customer)"
+def _claim_sql(i: int, kind: str, pattern: str, parts: tuple[str, str] | None) -> str:
+    claim = "claim"
+    if parts:
+        claim = f"regexp_extract(claim, '(?i)({parts[1]})$', 1) || ' ' || regexp_replace(claim, '(?i)\\s+by\\s+(?:{parts[1]})$', '')"
+    return f"SELECT id, {i} AS family, '{kind}' AS kind, {claim} AS claim FROM (SELECT id, unnest(regexp_extract_all(proof, '(?i){pattern}')) AS claim FROM proofs)"
 
 
-@query(
-    f"""WITH {_PROOF_SQL}, found AS ({_CLAIM_SQL}), once AS (
-  SELECT id, lower(trim(regexp_replace(claim, '\\s+', ' ', 'g'))) AS claim, arg_min(kind, family) AS kind FROM found GROUP BY ALL
-) SELECT kind, count(DISTINCT id) AS n, count(*) AS claims FROM once WHERE length(claim) BETWEEN 4 AND 60 GROUP BY kind"""
-)
+_CLAIM_SQL = " UNION ALL ".join(_claim_sql(i, *c) for i, c in enumerate(positioning.CLAIMS))
+_ONCE_SQL = f"""{_PROOF_SQL}, found AS ({_CLAIM_SQL}), once AS (
+  SELECT id, rtrim(lower(trim(regexp_replace(claim, '\\s+', ' ', 'g'))), '.,;:!?') AS claim, arg_min(kind, family) AS kind FROM found GROUP BY ALL
+)"""
+
+
+@query(f"WITH {_ONCE_SQL} SELECT kind, count(DISTINCT id) AS n, count(*) AS claims FROM once WHERE length(claim) BETWEEN 4 AND 60 GROUP BY kind")
 def claim_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positioning.claim_kinds(_proofs(spark, sf_dir), "proof")
+
+
+def _proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     text = lambda c: c.cast("string")
     tail = (
-        F.when(k % 3 == 0, F.concat(text(k % 50 + 10), F.lit("% faster in under "), text(k % 9 + 1), F.lit(" minutes")))
+        F.when(k % 3 == 0, F.concat(text(k % 50 + 10), F.lit("% faster in under "), text(k % 9 + 1), F.lit(" minutes. We cut cost by "), text(k % 40 + 5), F.lit("%")))
         .when(k % 3 == 1, F.concat(F.lit("G2 Leader, $"), text(k % 7 + 1), F.lit("M saved")))
         .otherwise("10x faster. 10x faster")
     )
-    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("Trusted by "), text(k % 90 + 10), F.lit(",000+ teams. "), tail).alias("proof"))
-    return positioning.claim_kinds(rows, "proof")
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("Trusted by "), text(k % 90 + 10), F.lit(",000+ teams. "), tail).alias("proof"))
+
+
+@query(
+    f"""WITH {_ONCE_SQL}, kept AS (SELECT * FROM once WHERE length(claim) BETWEEN 4 AND 60)
+SELECT CASE kind WHEN 'percent-trailing' THEN 'percent' ELSE kind END AS kind, count(DISTINCT id) AS n, count(*) AS claims, (SELECT count(*) FROM kept) AS total_claims FROM kept GROUP BY 1"""
+)
+def proof_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insights.proof_claims(_proofs(spark, sf_dir), "proof")
 
 
 @query(
