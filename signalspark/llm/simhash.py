@@ -53,7 +53,7 @@ def fingerprint(text: str | None, words: int = 4, distinct: bool = False) -> int
     counts = np.zeros(BITS, np.int64)
     digest = xxhash.xxh64_digest
     for at in range(0, total, 50_000):
-        part = shingles[at : at + 50_000] if distinct else [joined[a + 1 : b] for a, b in zip(ends[at : at + 50_000], ends[at + k :], strict=False)]
+        part = shingles[at : at + 50_000] if distinct else [joined[a + 1 : b] for a, b in zip(ends[at : at + 50_000], ends[at + k : at + k + 50_000], strict=False)]
         raw = np.frombuffer(b"".join([digest(s, SEED) for s in part]), np.uint8)
         counts += np.unpackbits(raw).reshape(-1, BITS).sum(axis=0, dtype=np.uint16)
     return int(np.packbits(counts * 2 > total).view(">i8")[0])
