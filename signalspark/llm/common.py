@@ -15,6 +15,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` of a table, dealt by ``key`` to all cores where fewer tasks than cores would have rows.
+
+    A small table is often one file of one row group, which one task reads whole. A table of as
+    many files as there are cores is taken as it is; of any other the tasks with rows are counted,
+    which reads no column.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if len(rows.inputFiles()) >= cores:
+        return rows
+    used = rows.select(F.spark_partition_id().alias("p")).distinct().count()
+    return rows.repartition(cores, key) if used < cores else rows
+
+
+def read_spread(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, name), key)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share.
 

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, read_table
+from .common import checkpointed, read_spread, read_table
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -112,7 +112,7 @@ def without_items(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return contained_items(read_spread(spark, sf_dir, "documents", "doc_id"), read_table(spark, sf_dir, "benchmark"))
 
 
 OP9_SQL = r"""

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_counted, read_table
+from .common import checkpointed, join_counted, read_spread
 
 _AT = ["doc_id", "version", "i"]
 
@@ -151,7 +151,7 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = remove_repeated_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = remove_repeated_lines(read_spread(spark, sf_dir, "documents", "doc_id").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

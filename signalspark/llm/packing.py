@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_spread
 
 END_TOKEN = 2
 TIERS = (256, 512, 1024, 2048, 4096)
@@ -318,7 +318,7 @@ def ids_crc32(ids: Column) -> Column:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
+    pieces = pack(read_spread(spark, sf_dir, "documents", "doc_id"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", ids_crc32(F.col("token_ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_spread, read_table
 from .labelled import fold, sample, texts_of
 
 FOLDS, HELD_OUT = 4, 2
@@ -191,6 +191,6 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_spread(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
     model = fitted(docs, read_table(spark, sf_dir, "labels"))
     return score_documents(docs, model).select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted")

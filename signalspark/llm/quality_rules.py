@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_spread
 
 _WORD = r"[^\x20\x09-\x0D]"
 _SPACES = " \t\n\x0b\x0c\r"
@@ -24,24 +24,44 @@ def _split(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+#: Up to so many different repeated windows are looked up one by one; more are found by sorting places.
+FEW = 32
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is made once: it stands in a lambda's argument."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _covered(places: Column, width: int) -> Column:
+    """Number of words under windows at ascending places: each covers those up to the next, ``width`` at most."""
+    reach = lambda p: F.transform(p, lambda x, k: F.least(F.lit(width), F.coalesce(F.get(p, k + 1) - x, F.lit(width))))
+    return _let(places, lambda p: F.aggregate(reach(p), F.lit(0).cast("long"), lambda a, x: a + x))
+
+
 def _repeated_window_words(words: Column, width: int = 3) -> Column:
     """Number of words in windows of ``width`` words that the array holds twice or more.
 
-    Windows are sorted by hash and place, so equal ones stand side by side; then the places of
-    the repeated ones are sorted, and each covers the words up to the next, ``width`` at most.
+    The windows' hashes are sorted, so equal ones stand side by side. Most texts repeat few
+    windows: their places are looked up. Else hashes are sorted with their places, so that the
+    places of the repeated ones can be read off. Both ways give the same number.
     """
     n = F.size(words)
-    window = lambda i: F.struct(F.xxhash64(*(words[i + k] for k in range(width))).alias("h"), i.alias("i"))
-    windows = F.when(n >= width, F.array_sort(F.transform(F.sequence(F.lit(0), n - width), window)))
-    # let each array stand in a lambda's argument, so that it is made once
-    repeated = lambda s: F.array_sort(
-        F.transform(F.filter(s, lambda x, k: ((k > 0) & (F.get(s, k - 1)["h"] == x["h"])) | (F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)))), lambda x: x["i"])
-    )
-    covered = lambda p: F.aggregate(
-        F.transform(p, lambda x, k: F.least(F.lit(width), F.coalesce(F.get(p, k + 1) - x, F.lit(width)))), F.lit(0).cast("long"), lambda a, x: a + x
-    )
-    of = F.transform(F.transform(F.array(windows), repeated), covered)
-    return F.coalesce(of[0], F.lit(0).cast("long"))
+    hashes = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*(words[i + k] for k in range(width))))
+
+    def of(h: Column) -> Column:
+        twice = _let(F.sort_array(h), lambda s: F.array_distinct(F.filter(s, lambda x, k: (k > 0) & (x == F.get(s, k - 1)))))
+        return _let(twice, lambda d: F.when(F.size(d) == 0, F.lit(0).cast("long")).when(F.size(d) <= FEW, _covered(looked_up(h, d), width)).otherwise(_covered(sorted_out(h), width)))
+
+    def looked_up(h: Column, d: Column) -> Column:
+        return F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(d, x), i)), lambda i: i.isNotNull())
+
+    def sorted_out(h: Column) -> Column:
+        at = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        same = lambda s, x, k: ((k > 0) & (F.get(s, k - 1)["h"] == x["h"])) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))
+        return _let(at, lambda s: F.sort_array(F.transform(F.filter(s, lambda x, k: same(s, x, k)), lambda x: x["i"])))
+
+    return F.when(n < width, F.lit(0).cast("long")).otherwise(_let(hashes, of))
 
 
 def _line_fails(line: Column) -> Column:
@@ -68,13 +88,17 @@ def measured(docs: DataFrame) -> DataFrame:
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_failed_lines", "failed_words", "cleaned_text"]
     docs = docs.drop(*own)
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(text, "\n")
-    full = F.filter(lines, lambda s: s.rlike(_WORD))
-    words = F.transform(F.array(_split(text)), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated_window_words(w).alias("repeated")))[0]
-    failed = F.transform(F.array(full), lambda a: F.filter(a, _line_fails))[0]
-    kept = F.filter(lines, lambda s: ~(s.rlike(_WORD) & _line_fails(s)))
-    counts = F.transform(F.array(full), lambda a: F.struct(F.size(a).cast("long").alias("n"), F.size(F.array_distinct(a)).cast("long").alias("different")))[0]
-    with_parts = docs.select("*", words.alias("__w"), counts.alias("__l"), failed.alias("__f"), F.array_join(kept, "\n").alias("cleaned_text"))
+    # every line once: its text, whether it has a word, and whether it fails a rule
+    solid = lambda s: s.rlike(_WORD)
+    lines = F.transform(F.split(text, "\n"), lambda s: F.struct(s.alias("s"), F.when(solid(s), _line_fails(s)).alias("fails")))
+    words = _let(_split(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated_window_words(w).alias("repeated")))
+    full = lambda a: F.filter(a, lambda x: x["fails"].isNotNull())
+    texts = lambda a: F.transform(a, lambda x: x["s"])
+    counts = _let(lines, lambda a: _let(full(a), lambda f: F.struct(
+        F.size(f).cast("long").alias("n"), F.size(F.array_distinct(texts(f))).cast("long").alias("different"), texts(F.filter(f, lambda x: x["fails"])).alias("failed")
+    )))
+    kept = _let(lines, lambda a: F.array_join(texts(F.filter(a, lambda x: F.coalesce(~x["fails"], F.lit(True)))), "\n"))
+    with_parts = docs.select("*", words.alias("__w"), counts.alias("__l"), kept.alias("cleaned_text"))
     n = lambda c: c.cast("long")
     return with_parts.select(
         *(F.col(f"`{c}`") for c in docs.columns),
@@ -84,8 +108,8 @@ def measured(docs: DataFrame) -> DataFrame:
         (F.col("__l.n") - F.col("__l.different")).alias("n_dup_lines"),
         F.col("__w.repeated").alias("n_repeat_words"),
         F.col("__l.n").alias("n_lines"),
-        n(F.size("__f")).alias("n_failed_lines"),
-        F.aggregate("__f", F.lit(0).cast("long"), lambda a, s: a + F.size(_split(s))).alias("failed_words"),
+        n(F.size("__l.failed")).alias("n_failed_lines"),
+        F.aggregate("__l.failed", F.lit(0).cast("long"), lambda a, s: a + F.size(_split(s))).alias("failed_words"),
         "cleaned_text",
     )
 
@@ -104,7 +128,7 @@ def clean_and_judge(docs: DataFrame, most_lost: float = 0.3) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = clean_and_judge(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = clean_and_judge(read_spread(spark, sf_dir, "documents", "doc_id").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "failed_words")
 
 

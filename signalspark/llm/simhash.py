@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_counted, read_table
+from .common import checkpointed, join_counted, read_spread
 from .components import connected_components
 
 BITS = 64
@@ -381,5 +381,5 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = simhash_groups(read_table(spark, sf_dir, "documents"), words=4, most=4)
+    groups = simhash_groups(read_spread(spark, sf_dir, "documents", "doc_id"), words=4, most=4)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -34,3 +34,44 @@ def test_stages_are_brute_force(spark, sf, tmp_path):
         kept.append(after.count())
         docs = after
     assert corpus_pipeline.run(spark, sf).count() == kept[-1]
+
+
+def written(spark, folder, rows, schema):
+    """A folder of tables: documents of odd rows, and labels and benchmark of their own."""
+    docs = spark.createDataFrame(rows, schema)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return docs
+
+
+def test_run_of_odd_rows(spark, tmp_path):
+    long = " ".join(f"long{i}" for i in range(60_000))
+    texts = [None, "", " \n\t", "word", "Word", "menu of five plain words\n" * 3, "a text of its own with words enough to stand " * 9, long, "x one two three four five six seven eight nine ten y", "É ß \U0001f600"]
+    rows = [(i, t, None, None, None if t is None else len(t), "clash", 1.5, 7) for i, t in enumerate(texts)]
+    rows += [rows[6], rows[6], (None, "without an id", "en", "s", 13, None, None, None), (50, texts[6], None, None, None, "c", 0.0, 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fp string, score double, version int"
+    docs = written(spark, str(tmp_path), rows, schema)
+    assert docs.count() == 14
+    pieces = [r.asDict() for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    kept = {p["doc_id"] for p in pieces}
+    assert kept <= {*range(10), 50, None} and 50 not in kept and 8 not in kept and 7 in kept
+    whole = {p["doc_id"]: p["doc_tokens"] for p in pieces}
+    for d in kept - {6, None}:
+        mine = sorted((p["start"], p["length"]) for p in pieces if p["doc_id"] == d)
+        assert sum(n for _, n in mine) == whole[d] and [a for a, _ in mine] == [sum(n for _, n in mine[:k]) for k in range(len(mine))]
+
+
+def test_run_of_an_empty_table(spark, tmp_path):
+    written(spark, str(tmp_path), [], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_keeps_one_of_each_exact_group(spark, sf):
+    from .test_dedup import exact_groups
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    groups = exact_groups(rows)
+    kept = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).select("doc_id").collect()]
+    assert sorted(kept) == sorted(set(groups.values()))
