@@ -9,8 +9,10 @@ bits, only around anchors that more than one document has.
 
 Texts are dealt to parts by a hash of doc_id. A part sends each distinct hash once, a
 window's with the smallest doc_id that has it, so a passage that a third of all documents share costs one entry
-a part, not one a document or a pair. A part's hashes for one bucket are one row, and buckets that
-it has none for get no row: rows are at most as many as anchors, and fewer the larger the parts are.
+a part, not one a document or a pair. A part's hashes for one bucket are one row, and there are an
+eighth as many buckets as parts. Rows are so at most parts times buckets and at most anchors,
+whichever is less: with parts of 64 MB, 100 TB of text are 1.6 million parts and 3 * 10^11 rows of
+some twenty hashes each, which is what the hashes themselves come to.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ from .wordarrays import Words, slices
 PERIOD = 7
 COVER = (1, 2, 4)  # fixed value: every residue modulo 7 is a difference of two of these
 
+#: A bucket takes the hashes of so many parts' worth of text: it holds 6 to 20 bytes a hash and no text.
+PARTS_A_BUCKET = 8
+
 #: An anchor's hash only has to find candidates; 48 bits of it do.
 _ANCHOR, _ANCHOR_BYTES = np.dtype("<u8"), 6
 _WINDOW, _WINDOW_BYTES = np.dtype([("a", "<u8"), ("b", "<u8")]), 12
@@ -185,6 +190,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 13) -> DataFrame:
         raise ValueError(f"window must be at least {PERIOD}")
     spark = docs.sparkSession
     n = 2 * shuffle_partitions(spark)
+    buckets = max(min(n, spark.sparkContext.defaultParallelism), n // PARTS_A_BUCKET)
     dealt = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
 
     def anchors(table: pa.Table) -> pa.Table:
@@ -193,7 +199,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 13) -> DataFrame:
             words = Words(texts)
             keys, at = _anchored(words, words.hashes(), window)
             found.append((keys, ids[words.doc[at]]))
-        return _sent(_part(table), n, found, _ANCHOR)
+        return _sent(_part(table), buckets, found, _ANCHOR)
 
     def candidates(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not (table.num_rows and replies.num_rows):
@@ -211,7 +217,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = 13) -> DataFrame:
             whole = words.windows(hashes, window)[1]
             start = np.flatnonzero((np.cumsum(near)[: len(whole)] > 0) & whole)
             found.append((_window_keys(words, hashes, start, window), ids[words.doc[start]]))
-        return _sent(_part(table), n, found, _WINDOW)
+        return _sent(_part(table), buckets, found, _WINDOW)
 
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("removed_spans", pa.list_(pa.list_(pa.int64()))), ("kept_text", pa.string())])
 
