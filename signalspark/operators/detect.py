@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -76,21 +77,23 @@ def list_delta(before: list[str], after: list[str]) -> tuple[list[str], list[str
 
 
 def edit_distance(a, b) -> int:
-    """Levenshtein distance; what both begin and end with is left out first."""
-    k = 0
-    while k < min(len(a), len(b)) and a[k] == b[k]:
-        k += 1
-    a, b = a[k:], b[k:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    """Levenshtein distance, a column of the table at a time: the bits of two whole numbers say
+    where the column rises and falls (the bit-vector method of Myers and Hyyrö)."""
     if not a or not b:
         return max(len(a), len(b))
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    rises, falls, distance = every, 0, len(a)
+    for y in b:
+        same = places.get(y, 0)
+        diagonal = ((same & rises) + rises ^ rises) | same | falls
+        up, down = falls | ~(diagonal | rises) & every, rises & diagonal
+        distance += bool(up & last) - bool(down & last)
+        up, down = (up << 1 | 1) & every, down << 1 & every
+        rises, falls = down | ~(same | falls | up) & every, up & (same | falls)
+    return distance
 
 
 def magnitude(a: str, b: str) -> float:
@@ -339,13 +342,21 @@ def detect(observations: DataFrame) -> DataFrame:
     """Outcomes of all ``observations(slug, kind, seq, observation)``, the last a JSON object as
     ``step`` takes it, folded page by page in the order of ``seq``.
 
-    A page's observations are one group of the shuffle and are loaded together; a page is read a
-    few times a day, and history already folded is carried by ``page`` state, not read again.
+    Rows are dealt by page and sorted, and a task folds them as they come: it holds one page's
+    state and one batch of rows, however long a page's history is.
     """
     columns = [c.split()[0] for c in OUTCOME_SCHEMA.split(", ")]
 
-    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rows, _ = outcome_rows(tuple(key), frame.sort_values("seq").to_dict("records"), None)
-        return pd.DataFrame(rows, columns=columns, dtype=object)
-
-    return observations.select("slug", "kind", "seq", "observation").groupBy("slug", "kind").applyInPandas(fold, OUTCOME_SCHEMA)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, page = None, None
+        for frame in batches:
+            out: list[tuple] = []
+            for slug, kind, seq, observation in frame.itertuples(index=False):
+                if (slug, kind) != key:
+                    key, page = (slug, kind), None
+                rows, page = outcome_rows(key, [{"seq": seq, "observation": observation}], page)
+                out += rows
+            yield pd.DataFrame(out, columns=columns, dtype=object)
+
+    dealt = observations.select("slug", "kind", "seq", "observation").repartition("slug", "kind").sortWithinPartitions("slug", "kind", "seq")
+    return dealt.mapInPandas(fold, OUTCOME_SCHEMA)
