@@ -204,6 +204,7 @@ _PROFILE = "key_a long, key_b long, size int, parity array<long>, prefix array<l
 SAMPLE, COMMON = 20_000, 3
 #: Bits of a set's parities.
 PARITIES = 512
+_WORDS = [f"p{k}" for k in range(PARITIES // 64)]
 #: Texts are shuffled only if their id's hash is among those, of so many, that the wanted ids have.
 SLOTS = 1 << 21
 #: A shingle that more texts than this have in their prefix is first linked through one of them.
@@ -298,18 +299,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def _prefix_test(similarity: float) -> Column:
-    """Whether two sets may be as similar, by their sizes and what is left after a shared shingle.
+    """Whether two sets may be as similar, by their sizes, by what is left after a shared shingle, and
+    by their parities, which differ in no more bits than there are shingles in one of them only.
 
-    No shingle before the first that they share is shared, so similar sets pass there."""
-    least = similarity / (1 + similarity) * (F.col("a.size") + F.col("b.size")) - 1e-6
+    No shingle before the first that they share is shared, so similar sets pass there. The test is
+    part of the join's condition: a pair that fails leaves no row."""
+    sizes = F.col("a.size") + F.col("b.size")
     left = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
     sized = (F.col("a.size") >= similarity * F.col("b.size") - 1e-6) & (F.col("b.size") >= similarity * F.col("a.size") - 1e-6)
-    return (F.col("a.near") != F.col("b.near")) & sized & (left >= least)
+    unequal = sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in _WORDS), F.lit(0))
+    alike = unequal <= (1 - similarity) / (1 + similarity) * sizes + 1e-6
+    return (F.col("a.near") != F.col("b.near")) & sized & (left >= similarity / (1 + similarity) * sizes - 1e-6) & alike
 
 
 def _hub_pairs(apart: DataFrame, test: Column) -> DataFrame:
     """Pairs of the rows of a crowded shingle with one of them, another for each shingle."""
-    hubs = apart.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", "key").alias("lot"), "id", "size", "at", "near")).alias("b"))
+    hubs = apart.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", "key").alias("lot"), "id", "size", "at", "near", *_WORDS)).alias("b"))
     hubs = hubs.where(F.col("n") > HUB).select("key", "b")
     pairs = apart.alias("a").join(hubs, "key").where(test)
     return pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
@@ -326,13 +331,6 @@ def _rest_pairs(apart: DataFrame, test: Column) -> DataFrame:
     return pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
-def _sifted(pairs: DataFrame, parities: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` whose parities differ in no more bits than similar sets can."""
-    both = pairs.join(parities.toDF("a", "m", "x"), "a").join(parities.toDF("b", "n", "y"), "b")
-    unequal = sum((F.bit_count(F.get("x", F.lit(k)).bitwiseXOR(F.get("y", F.lit(k)))) for k in range(PARITIES // 64)), F.lit(0))
-    return checkpointed(both.where(unequal <= (1 - similarity) / (1 + similarity) * (F.col("m") + F.col("n")) + 1e-6).select("a", "b"))
-
-
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
@@ -356,18 +354,18 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     texts = checkpointed(marked.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("id")))
     named = docs.withColumnRenamed("doc_id", "id")
     sets = marked.withColumnRenamed("doc_id", "id").join(texts.select("id"), "id", "left_semi")
-    parities = sets.select("id", "size", "parity")
+    parities = sets.select("id", *(F.get("parity", F.lit(k)).alias(p) for k, p in enumerate(_WORDS)))
 
     rows = sets.select("id", "size", F.posexplode("prefix").alias("at", "key"))
     same = Window.partitionBy("key")
     rows = rows.withColumn("x", F.min("id").over(same)).withColumn("y", F.max("id").over(same))
-    apart = checkpointed(rows.where("x < y").select("id", "size", F.col("id").alias("near"), "at", "key"))
+    apart = checkpointed(rows.where("x < y").select("id", "size", F.col("id").alias("near"), "at", "key").join(parities, "id"))
     test = _prefix_test(similarity)
-    pairs = _sifted(_hub_pairs(apart, test), parities, similarity)
+    pairs = checkpointed(_hub_pairs(apart, test))
     links = checkpointed(_verified(pairs, _sets(named, _ends(pairs), words), similarity))
     near = connected_components(links)
     apart = checkpointed(apart.join(near, F.col("id") == F.col("node"), "left").withColumn("near", F.coalesce("component", "id")).drop("node", "component"))
-    pairs = _sifted(_rest_pairs(apart, test), parities, similarity)
+    pairs = checkpointed(_rest_pairs(apart, test))
     groups = connected_components(links.union(_verified(pairs, _sets(named, _ends(pairs), words), similarity)))
     answer = texts.join(groups, F.col("id") == F.col("node"), "left").select("key_a", "key_b", F.coalesce("component", "id").alias("group_id"))
     return marked.select("doc_id", "key_a", "key_b").join(answer, ["key_a", "key_b"]).select("doc_id", "group_id")
