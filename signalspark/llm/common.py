@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but space, tab, LF, VT, FF and CR.
 WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
+#: Texts that are Python objects at once.
+TEXTS = 256
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +34,21 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(cores, key) if used < cores else rows
 
 
+def text_column(text: Column, sql: str, work: Callable[[list[str | None]], pa.Array]) -> Column:
+    """A column that ``work`` makes from ``text``, some hundred texts at a time.
+
+    Spark sends texts in batches of thousands; only so many of them are Python objects at once.
+    """
+
+    @F.arrow_udf(sql)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = [work(batch.slice(at, TEXTS).to_pylist()) for at in range(0, max(len(batch), 1), TEXTS)]
+            yield pa.concat_arrays(parts)
+
+    return run(text)
+
+
 def read_spread(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     return spread(read_table(spark, sf_dir, name), key)
 
@@ -56,6 +76,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles and checkpoints that nothing refers to any more. It does so when
+    the driver's references are collected, which by itself may be long after a step is over."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Keys that more than one row in so many has are joined by a broadcast; there are fewer of them than this.
 HOT_SHARE = 1000
 

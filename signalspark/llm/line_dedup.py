@@ -20,13 +20,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_counted, read_spread
+from .common import TEXTS, checkpointed, join_counted, read_spread
 
 _AT = ["doc_id", "version", "i"]
 
@@ -114,18 +113,25 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
 def _kept(text: Column, windows: Column) -> Column:
     """Struct of the numbers of lines, the removed lines' numbers, and the text that is left."""
 
-    @F.pandas_udf("n_lines long, removed_lines array<int>, text string")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    kinds = {"n_lines": pa.int64(), "removed_lines": pa.list_(pa.int32()), "text": pa.string()}
+
+    def one(text: str | None, spans: list[dict] | None) -> tuple[int, list[int], str | None]:
+        lines = text.split("\n") if text is not None else []
+        full = [k for k, s in enumerate(lines) if s.strip(" \t\n\x0b\x0c\r")]
+        gone: set[int] = set()
+        for span in spans or ():
+            gone.update(full[span["i"] : span["i"] + span["length"]])
+        return len(full), sorted(gone), "\n".join(s for k, s in enumerate(lines) if k not in gone) if gone else text
+
+    @F.arrow_udf("n_lines long, removed_lines array<int>, text string")
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, ranges in batches:
-            out = []
-            for text, spans in zip(texts, ranges, strict=True):
-                lines = text.split("\n") if text is not None else []
-                full = [k for k, s in enumerate(lines) if s.strip(" \t\n\x0b\x0c\r")]
-                gone: set[int] = set()
-                for span in spans if spans is not None else ():
-                    gone.update(full[span["i"] : span["i"] + span["length"]])
-                out.append((len(full), sorted(gone), "\n".join(s for k, s in enumerate(lines) if k not in gone) if gone else text))
-            yield pd.DataFrame(out, columns=["n_lines", "removed_lines", "text"])
+            parts = []
+            for at in range(0, max(len(texts), 1), TEXTS):
+                rows = [one(*r) for r in zip(texts.slice(at, TEXTS).to_pylist(), ranges.slice(at, TEXTS).to_pylist(), strict=True)]
+                columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+                parts.append(pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds)))
+            yield pa.concat_arrays(parts)
 
     return cut(text, windows)
 

@@ -17,14 +17,13 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_spread, read_table
+from .common import read_spread, read_table, text_column
 from .labelled import fold, sample, texts_of
 
 FOLDS, HELD_OUT = 4, 2
@@ -174,12 +173,7 @@ def trained(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
 
 
 def score_column(text: Column, model: Model) -> Column:
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([model.score(t) for t in texts], dtype="float64")
-
-    return scores(text)
+    return text_column(text, "double", lambda texts: pa.array([model.score(t) for t in texts], pa.float64()))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:

@@ -14,16 +14,15 @@ that fails leaves no row.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_counted, read_spread
+from .common import checkpointed, join_counted, read_spread, released, text_column
 from .components import connected_components
 
 BITS = 64
@@ -60,12 +59,7 @@ def fingerprint(text: str | None, words: int = 4, distinct: bool = False) -> int
 
 
 def fingerprint_column(text: Column, words: int = 4, distinct: bool = False) -> Column:
-    @F.pandas_udf("long")
-    def fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([fingerprint(t, words, distinct) for t in texts], dtype="int64")
-
-    return fingerprints(text)
+    return text_column(text, "long", lambda texts: pa.array([fingerprint(t, words, distinct) for t in texts], pa.int64()))
 
 
 def _segments(most: int) -> list[tuple[int, int]]:
@@ -199,11 +193,11 @@ def simhash_groups(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
 
 
 #: Documents of one sequence of words have one key; the shingles of a text, hashed and distinct.
-_PROFILE = "key_a long, key_b long, size int, parity array<long>, prefix array<long>"
+_PROFILE = "key_a:bigint,key_b:bigint,size:int,parity:array<bigint>,prefix:array<bigint>"
 #: Shingles that ``COMMON`` of some ``SAMPLE`` documents have come last in the order of a prefix.
 SAMPLE, COMMON = 20_000, 3
 #: Bits of a set's parities.
-PARITIES = 512
+PARITIES = 256
 _WORDS = [f"p{k}" for k in range(PARITIES // 64)]
 #: Texts are shuffled only if their id's hash is among those, of so many, that the wanted ids have.
 SLOTS = 1 << 21
@@ -231,33 +225,33 @@ def _parity(hashes: set[int]) -> np.ndarray:
 def _common(docs: DataFrame, words: int) -> np.ndarray:
     """Shingles that several documents of a sample have. They only order the shingles of a prefix:
     any order finds the same pairs, but rare shingles first makes few candidates."""
-
-    @F.pandas_udf("array<long>")
-    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([np.fromiter(_hashed(t, words), np.int64) for t in texts])
-
     every = max(1, docs.count() // SAMPLE)
     drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    counts = drawn.select(F.explode(hashed("text")).alias("h")).groupBy("h").count().where(F.col("count") >= COMMON)
+    counts = drawn.select(F.explode(_hash_column(F.col("text"), words)).alias("h")).groupBy("h").count().where(F.col("count") >= COMMON)
     return np.sort(np.fromiter((r[0] for r in counts.select("h").collect()), np.int64))
 
 
 def _profile(text: Column, words: int, common: np.ndarray, similarity: float) -> Column:
     """Struct of a text's sequence of words as a 128-bit key, the number of its distinct shingles,
     their parities and their prefix."""
+    longs = pa.list_(pa.int64())
+    kinds = {"key_a": pa.int64(), "key_b": pa.int64(), "size": pa.int32(), "parity": longs, "prefix": longs}
+
+    def profiles(texts: list[str | None]) -> pa.Array:
+        out = []
+        for t in texts:
+            key = np.frombuffer(xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())), ">i8")
+            hashes = _hashed(t, words)
+            out.append((int(key[0]), int(key[1]), len(hashes), _parity(hashes), _prefix(hashes, common, similarity)))
+        columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
-    @F.pandas_udf(_PROFILE)
-    def profiles(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            out = []
-            for t in texts:
-                key = np.frombuffer(xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())), ">i8")
-                hashes = _hashed(t, words)
-                out.append((int(key[0]), int(key[1]), len(hashes), _parity(hashes), _prefix(hashes, common, similarity)))
-            yield pd.DataFrame(out, columns=["key_a", "key_b", "size", "parity", "prefix"])
+    return text_column(text, f"struct<{_PROFILE}>", profiles)
 
-    return profiles(text)
+
+def _hash_column(text: Column, words: int) -> Column:
+    """Array of the hashed distinct shingles of a text."""
+    return text_column(text, "array<long>", lambda texts: pa.array([np.fromiter(_hashed(t, words), np.int64) for t in texts], pa.list_(pa.int64())))
 
 
 def _shingles(text: str | None, words: int) -> set[tuple[bytes, ...]]:
@@ -276,16 +270,10 @@ def _hashed(text: str | None, words: int) -> set[int]:
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """``(id, set)``: the hashed distinct shingles of the texts of ``ids(id)``."""
-
-    @F.pandas_udf("array<long>")
-    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([np.fromiter(_hashed(t, words), np.int64) for t in texts])
-
     slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS))
     slots = ids.select(slot.alias("slot")).distinct()
     few = docs.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi")
-    return checkpointed(few.join(ids, "id", "left_semi").select("id", hashed("text").alias("set")))
+    return checkpointed(few.join(ids, "id", "left_semi").select("id", _hash_column(F.col("text"), words).alias("set")))
 
 
 def _alike(x: Column, y: Column, similarity: float) -> Column:
@@ -363,9 +351,14 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     test = _prefix_test(similarity)
     pairs = checkpointed(_hub_pairs(apart, test))
     links = checkpointed(_verified(pairs, _sets(named, _ends(pairs), words), similarity))
+    del rows, pairs
+    released(docs.sparkSession)
     near = connected_components(links)
     apart = checkpointed(apart.join(near, F.col("id") == F.col("node"), "left").withColumn("near", F.coalesce("component", "id")).drop("node", "component"))
+    released(docs.sparkSession)
     pairs = checkpointed(_rest_pairs(apart, test))
+    del apart, near, parities
+    released(docs.sparkSession)
     groups = connected_components(links.union(_verified(pairs, _sets(named, _ends(pairs), words), similarity)))
     answer = texts.join(groups, F.col("id") == F.col("node"), "left").select("key_a", "key_b", F.coalesce("component", "id").alias("group_id"))
     return marked.select("doc_id", "key_a", "key_b").join(answer, ["key_a", "key_b"]).select("doc_id", "group_id")

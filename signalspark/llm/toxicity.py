@@ -17,15 +17,14 @@ import hashlib
 import math
 import pickle
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_spread, read_table
+from .common import read_spread, read_table, text_column
 from .labelled import fold, sample, texts_of
 
 FOLDS, HELD_OUT = 5, 0
@@ -225,13 +224,11 @@ def _loaded(raw: bytes) -> Model:
 def score_column(text: Column, model: Model) -> Column:
     raw = pickle.dumps(model)
 
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores(texts: list[str | None]) -> pa.Array:
         mine = _loaded(raw)
-        for texts in batches:
-            yield pd.Series([mine.score(t) for t in texts], dtype="float64")
+        return pa.array([mine.score(t) for t in texts], pa.float64())
 
-    return scores(text)
+    return text_column(text, "double", scores)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_ordinary: int = 3000) -> Model:
