@@ -54,14 +54,34 @@ def families(text: Column, table: dict[str, str]) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(words(text), lambda w: family_of(w, table)), lambda f: f.isNotNull())))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is made once: it stands in a lambda's argument."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _closed(html: Column, pattern: str, close: str) -> Column:
+    """Matches of ``pattern`` as spaces. Only the markup up to the last ``close`` is searched: behind it
+    nothing can end, and every opening would be followed to the end of the page in vain."""
+
+    def cut(h: Column) -> Column:
+        return _let(F.regexp_extract(h, rf"(?is)^.*{close}", 0), lambda head: F.concat(F.regexp_replace(head, pattern, " "), F.substring(h, F.length(head) + 1, F.length(h))))
+
+    return _let(html, cut)
+
+
 def strip_code(html: Column) -> Column:
     """Markup without comments, scripts, styles, noscript and templates; each leaves a space."""
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
+    out = _closed(html, r"(?s)<!--.*?-->", "-->")
     for tag in ("script", "style", "noscript", "template"):
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
+        out = _closed(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", rf"</{tag}\s*>")
     return out
 
 
+def strip_svg(html: Column) -> Column:
+    """Markup without drawings; each leaves a space."""
+    return _closed(html, r"(?is)<svg\b[^>]*>.*?</svg\s*>", r"</svg\s*>")
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s\x{a0}\x{2007}\x{202f}\x{2009}\x{200a}\x{200b}\x{200c}\x{200d}\x{feff}]+", " "))
 

@@ -47,13 +47,13 @@ def cross_cut(rows: DataFrame, group: str, answer: Column) -> DataFrame:
     last, then higher rates, then names. A null group is left out."""
     counted = rows.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("group")).agg(F.count(answer).alias("n"), F.count(F.when(answer, 1)).alias("yes"))
     done = counted.withColumn("suppressed", F.col("n") < M.LEAST_READABLE).withColumn("rate", F.when(F.col("n") > 0, F.col("yes") / F.col("n")))
-    order = Window.orderBy("suppressed", F.desc_nulls_last("rate"), "group")  # one row a group: the vocabulary of groups is small
+    order = Window.orderBy("suppressed", F.desc_nulls_last("rate"), F.collate(F.col("group"), "en"), "group")  # one row a group: the vocabulary of groups is small
     return done.withColumn("place", F.row_number().over(order).cast("long"))
 
 
 def dense(rows: DataFrame, key: str, least: int = M.LEAST_MEMBERS, limit: int = 12) -> DataFrame:
     """``(key, n, kept)`` for each group of ``(key, n)``: the ``limit`` largest of ``least`` members."""
-    top = rows.where(F.col("n") >= least).orderBy(F.desc("n"), key).limit(limit).select(key, F.lit(True).alias("kept"))
+    top = rows.where(F.col("n") >= least).orderBy(F.desc("n"), F.collate(F.col(key), "en"), key).limit(limit).select(key, F.lit(True).alias("kept"))
     return rows.join(top, key, "left").select(key, "n", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 

@@ -66,20 +66,47 @@ def distance(a: Column, b: Column) -> Column:
     return F.when((F.length(a) > 0) & (F.length(b) > 0), F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
 
 
+def _far(x: Column, y: Column) -> Column:
+    """Distance of two sequences in thousandths, half up."""
+    return F.floor(distance(x, y) * 1000 + 0.5)
+
+
+def _useful(pairs: DataFrame, k: int) -> DataFrame:
+    """Pairs (x, y, far, size) but those that more than ``k`` members of nearer sequences come before."""
+    nearer = F.sum("size").over(Window.partitionBy("x").orderBy("far").rangeBetween(Window.unboundedPreceding, -1))
+    return pairs.withColumn("nearer", F.coalesce(nearer, F.lit(0))).where(F.col("nearer") <= k).drop("nearer")
+
+
+def nearest_sequences(members: DataFrame, k: int) -> DataFrame:
+    """``(x, y, distance)`` of distinct sequences ``members(sequence, size)``: for each the others, and
+    itself, that can be among the k nearest of one of its members.
+
+    Sequences of one length are compared first. The distance of the last of enough of these bounds
+    that of the k nearest, and the difference of two lengths bounds their distance from below; so of
+    the other lengths only those within the bound are compared at all, by equal lengths again.
+    """
+    known = members.where(F.length("sequence") > 0).select(F.col("sequence").alias("y"), "size", F.length("sequence").alias("n"))
+    left = known.select(F.col("y").alias("x"), "n")
+    same = _useful(left.join(known, "n").select("x", "n", "y", _far(F.col("x"), F.col("y")).alias("far"), "size"), k)
+    bounds = same.groupBy("x", "n").agg(F.sum("size").alias("held"), F.max("far").alias("last")).select("x", "n", F.when(F.col("held") > k, F.col("last")).otherwise(1000).alias("bound"))
+    share = (F.col("bound") + 0.5) / 1000
+    least = F.greatest(F.lit(1), F.floor(F.col("n") * (1 - share)))
+    most = F.least(F.col("longest"), F.when(share < 1, F.ceil(F.col("n") / (1 - share))).otherwise(F.col("longest")))
+    longest = known.agg(F.max("n").cast("long").alias("longest"))
+    lengths = bounds.crossJoin(F.broadcast(longest)).select("x", "bound", F.col("n").alias("own"), F.explode(F.sequence(least.cast("int"), most.cast("int"))).alias("n")).where("n <> own")
+    others = lengths.join(known, "n").select("x", "y", _far(F.col("x"), F.col("y")).alias("far"), "size", "bound").where("far <= bound").drop("bound")
+    return _useful(same.drop("n").unionByName(others), k).select("x", "y", (F.col("far") / 1000).alias("distance"))
+
+
 def neighbours(sequences: DataFrame, key: str, k: int = 6) -> DataFrame:
     """``(src, dst, distance, place)``: the k nearest of each sequence, by distance to three
     places and then key.
 
-    Equal sequences are compared once: distances are between distinct sequences, of which a
-    short alphabet has few, and each keeps the few nearest that can hold k members.
+    Equal sequences are compared once: distances are between distinct sequences, and each keeps
+    the few nearest that can hold k members.
     """
     members = sequences.groupBy("sequence").agg(F.count("*").alias("size"))
-    a, b = members.select(F.col("sequence").alias("x")), members.select(F.col("sequence").alias("y"), "size")
-    far = F.floor(distance(F.col("x"), F.col("y")) * 1000 + 0.5)
-    pairs = a.join(b, (F.length("x") > 0) & (F.length("y") > 0)).select("x", "y", far.alias("far"), "size")
-    # what is nearer than y holds under k + 1 members (the sequence itself is one of them)
-    nearer = F.sum("size").over(Window.partitionBy("x").orderBy("far").rangeBetween(Window.unboundedPreceding, -1))
-    useful = pairs.withColumn("nearer", F.coalesce(nearer, F.lit(0))).where(F.col("nearer") <= k).select("x", "y", (F.col("far") / 1000).alias("distance"))
+    useful = nearest_sequences(members, k)
     left = sequences.select(F.col(key).alias("src"), F.col("sequence").alias("x"))
     # of equal sequences only the first k + 1 keys can be anyone's neighbours
     place = F.row_number().over(Window.partitionBy("sequence").orderBy(key))

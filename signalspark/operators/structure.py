@@ -9,6 +9,22 @@ from ..functions import formats, measures as M
 from . import comparison
 from .insights import COLLATION
 
+#: Measures of a page as columns of its strip (``sequence, sections, words``): a registry to add to.
+PAGE_SCALES = {
+    "sections": lambda: F.col("sections"),
+    "words": lambda: F.col("words"),
+    "words_a_section": lambda: F.when(F.col("sections") > 0, formats.rounded(F.col("words") / F.col("sections"), 1)),
+    "kinds": lambda: F.size(F.array_distinct(F.split("sequence", " > "))),
+}
+
+
+def page_scales(strips: DataFrame) -> DataFrame:
+    """``(measure, n, least, p25, median, p75, greatest)`` of every measure of ``PAGE_SCALES``."""
+    parts = [F.struct(F.lit(name).alias("measure"), of().cast("double").alias("value")) for name, of in PAGE_SCALES.items()]
+    long = strips.select(F.explode(F.array(*parts)).alias("m")).select("m.*").where("value is not null")
+    sizes = long.groupBy("measure").agg(F.count("*").alias("n"))
+    return sizes.join(comparison.quartiles(long, "value", "measure"), "measure").select("measure", "n", "least", "p25", "median", "p75", "greatest")
+
 
 def classifier_quality(items: DataFrame, page: str, symbol: str, other: str, worst: int = 20) -> tuple[DataFrame, DataFrame]:
     """One row of all sections and those without a type, with their share; and the pages of the

@@ -45,6 +45,16 @@ def company_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.company_strips(_turns(spark, sf_dir), "conv_id", "turn", "role", "size")
 
 
+@query(
+    """WITH p AS (SELECT conv_id, count(*) AS sections, sum(length(text))::DOUBLE AS words, count(DISTINCT role) AS kinds FROM conversations GROUP BY conv_id), m AS (
+  SELECT 'sections' AS measure, sections::DOUBLE AS v FROM p UNION ALL SELECT 'words', words FROM p UNION ALL SELECT 'words_a_section', floor(words / sections * 10 + 0.5) / 10 FROM p UNION ALL SELECT 'kinds', kinds FROM p),
+l AS (SELECT measure, list_sort(list(v)) AS v, count(*) AS n FROM m GROUP BY measure)
+SELECT measure, n, v[1] AS least, v[least(n, floor(0.25 * n) + 1)::BIGINT] AS p25, v[least(n, floor(0.5 * n) + 1)::BIGINT] AS median, v[least(n, floor(0.75 * n) + 1)::BIGINT] AS p75, v[n] AS greatest FROM l"""
+)
+def page_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.page_scales(structure.company_strips(_turns(spark, sf_dir), "conv_id", "turn", "role", "size"))
+
+
 @query(
     """WITH s AS (SELECT count(*) AS matched, count(*) FILTER (WHERE p = t) AS correct, count(*) FILTER (WHERE t <> 'good') AS rest_matched, count(*) FILTER (WHERE t <> 'good' AND p = t) AS rest_correct
 FROM (SELECT CASE WHEN regexp_matches(text, '[#$%&|]') THEN 'bad' ELSE 'good' END AS p, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS t FROM documents JOIN labels ON documents.doc_id = labels.doc_id))

@@ -146,3 +146,20 @@ def test_accessors(spark):
 def test_near_unanimous_shares(spark):
     rows = spark.createDataFrame([(95.0,), (50.0,), (3.0,), (None,)], "share double")
     assert [r["near_unanimous"] for r in structure.withheld_note(rows).collect()] == [True, False, True, None]
+
+
+def test_markup_is_stripped_in_time(spark):
+    import time
+
+    from signalspark.functions import markup, text as T
+
+    page = "<p>a</p><!-- x --><script>y</script ><SVG><path/></SVG>b<style>z</style>c"
+    pages = ["<!--" * 200_000, "<script>" * 100_000, page, "<svg>open " + page, None, ""]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, h string")
+    began = time.time()
+    got = {r["i"]: (r["code"], r["svg"]) for r in rows.select("i", T.strip_code(F.col("h")).alias("code"), T.strip_svg(F.col("h")).alias("svg")).collect()}
+    assert time.time() - began < 20
+    assert got[0] == (pages[0], pages[0]) and got[1] == (pages[1], pages[1]) and got[4] == (None, None) and got[5] == ("", "")
+    assert got[2] == ("<p>a</p>  <SVG><path/></SVG>b c", "<p>a</p><!-- x --><script>y</script > b<style>z</style>c")
+    assert markup.without_drawings("a<svg><path/></svg>b<svg>c") == "a b c" and markup.without_drawings("x") == "x"
+    assert markup.without_code(page) == "<p>a</p>  <SVG><path/></SVG>b c"
