@@ -197,7 +197,7 @@ _PROFILE = "key_a:bigint,key_b:bigint,size:int,parity:array<bigint>,prefix:array
 #: Shingles that ``COMMON`` of some ``SAMPLE`` documents have come last in the order of a prefix.
 SAMPLE, COMMON = 20_000, 3
 #: Bits of a set's parities.
-PARITIES = 256
+PARITIES = 512
 _WORDS = [f"p{k}" for k in range(PARITIES // 64)]
 #: Texts are shuffled only if their id's hash is among those, of so many, that the wanted ids have.
 SLOTS = 1 << 21
