@@ -116,11 +116,12 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {_CUSTOMERS_SQL}, {_FIELDS_SQL}, {_TERMS_SQL}, {_PLANS_SQL}, said AS (SELECT *, {_HITS_SQL} FROM fields),
 a AS (SELECT slug, CASE WHEN coalesce(headline, subhead, label) IS NOT NULL THEN headline_hit OR subhead_hit OR label_hit END AS ai FROM said WHERE slug % 7 > 0)
-SELECT m.slug, m.segment, a.ai, p.free FROM companies m LEFT JOIN a ON m.slug = a.slug LEFT JOIN company p ON m.slug = p.slug"""
+SELECT m.slug, m.segment, a.ai::VARCHAR AS ai, p.free::VARCHAR AS free FROM companies m LEFT JOIN a ON m.slug = a.slug LEFT JOIN company p ON m.slug = p.slug"""
 )
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ai = fields_of(spark, sf_dir).where("slug % 7 > 0").select("slug", insights.mentions(_FIELDS).alias("ai"))
-    return readmodels.facts(_companies(spark, sf_dir).drop("name"), ai, plans_of(spark, sf_dir).select("slug", "free"), "slug")
+    found = readmodels.facts(_companies(spark, sf_dir).drop("name"), ai, plans_of(spark, sf_dir).select("slug", "free"), "slug")
+    return found.withColumns({c: F.col(c).cast("string") for c in ("ai", "free")})
 
 
 @query(
