@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -35,15 +36,21 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class Words:
-    """Words of a slice of texts: ``doc`` (row of the slice), ``at`` (number in its text), counts."""
+    """Words of a slice of texts: ``doc`` (row of the slice), ``at`` (number in its text), counts.
 
-    def __init__(self, texts: pa.Array):
+    ``inside`` says of each byte whether it is part of a word (by default all but white space);
+    with ``lower`` A-Z count as a-z.
+    """
+
+    def __init__(self, texts: pa.Array, inside: np.ndarray | None = None, lower: bool = False):
         texts = pa.array(texts.cast(pa.large_string()).fill_null(""))
         _, offsets, data = texts.buffers()
         offsets = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
         raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
-        inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+        inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13))) if inside is None else inside[raw]
+        if lower:
+            raw = np.where((raw >= 65) & (raw <= 90), raw | np.uint8(32), raw)
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         edges = offsets[:-1][offsets[:-1] < len(raw)]
