@@ -65,6 +65,17 @@ class Words:
     def __len__(self) -> int:
         return len(self._starts)
 
+    def strings(self, which: np.ndarray) -> list[bytes]:
+        """Bytes of the words of these numbers."""
+        if not len(which):
+            return []
+        starts, lengths = self._starts[which].tolist(), np.add.reduceat(self._inside, self._starts, dtype=np.int64)[which].tolist()
+        return [self._raw[s : s + n].tobytes() for s, n in zip(starts, lengths, strict=True)]
+
+    def before(self, marks: np.ndarray) -> np.ndarray:
+        """How many bytes that ``marks`` has stand before each word."""
+        return np.cumsum(marks[self._raw], dtype=np.int64)[self._starts]
+
     def hashes(self, kind: int = 0) -> np.ndarray:
         """A 64-bit hash of each word's bytes; each kind is a hash of its own."""
         if not len(self):
