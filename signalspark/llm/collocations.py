@@ -254,7 +254,9 @@ def phrase_counts(texts: DataFrame, least: int = LEAST, range_bytes: int = RANGE
         phrase = [None if p is None else p.decode() for p in phrase]
         return pa.table({"lang": pa.array([key[0].as_py()] * len(rows), pa.string()), "k": pa.array(k, pa.int32()), "phrase": pa.array(phrase, pa.string()), "a": pa.array(a, pa.int64()), "lefts": pa.array(lefts, pa.list_(pa.int64()))})
 
-    return texts.select("lang", "text").mapInArrow(shards, PIECE_SCHEMA).groupBy("lang", "range").applyInArrow(merge, COUNT_SCHEMA)
+    pieces = texts.select("lang", "text").mapInArrow(shards, PIECE_SCHEMA)
+    n_ranges = max(1, sum(len(b) + 1 for b in bounds.values()))
+    return pieces.repartition(n_ranges, "lang", "range").groupBy("lang", "range").applyInArrow(merge, COUNT_SCHEMA)
 
 
 def collocations(docs: DataFrame, least: int = LEAST, best: int = BEST, range_bytes: int = RANGE_BYTES, shard_nodes: int = SHARD_NODES) -> DataFrame:
