@@ -310,15 +310,46 @@ def recovery(before: dict | None, outcomes: dict[str, str]) -> str | None:
 OUTCOME_SCHEMA = "slug string, kind string, seq long, at string, status string, signal string, outcome string, change_type string, before_value string, after_value string, magnitude double, oscillating int, summary string"
 
 
-def outcome_rows(key: tuple, rows: list[dict], page: dict | None) -> tuple[list[tuple], dict]:
+def _is(kind: type | tuple[type, ...]):
+    return lambda v: v is None or isinstance(v, kind) and not isinstance(v, bool)
+
+
+_FIELDS = {"at": _is(str), "status": _is(str), "reason": _is(str), "variant": _is(str), "lang": _is(str), "canonical": _is(str), "extractor_version": _is((str, int, float)), "origin": _is(dict), "signals": _is(dict)}
+_SIGNAL_FIELDS = {"value": _is(str), "method": _is(str), "confidence": _is((int, float)), "json": _is((str, dict, list))}
+
+
+def readable(observation: str | None) -> dict | None:
+    """An observation as ``step`` takes it; null if it is no JSON object, has no time, or has a field of
+    another kind than that field's. Fields that ``step`` doesn't know are let pass."""
+    try:
+        observed = json.loads(observation)
+    except (TypeError, ValueError, RecursionError):
+        return None
+    if not isinstance(observed, dict) or not isinstance(observed.get("at"), str) or not all(fits(observed.get(k)) for k, fits in _FIELDS.items()):
+        return None
+    signals = observed["signals"] = observed.get("signals") or {}
+    if not all(isinstance(v, dict | None) and all(fits((v or {}).get(k)) for k, fits in _SIGNAL_FIELDS.items()) for v in signals.values()):
+        return None
+    origin = observed.get("origin") or {}
+    return observed if all(isinstance(origin.get(k), str | None) for k in ("environment", "country", "id")) else None
+
+
+def outcome_rows(key: tuple, rows: list[dict], page: dict | None) -> tuple[list[tuple], dict | None]:
     """Outcomes of a page's observations in their order, and its state after them.
 
     An observation whose ``status`` is unchanged repeats the readings before it: it only moves
-    pending acquisitions on, and gives an outcome for those.
+    pending acquisitions on, and gives an outcome for those. One that can't be read gives the outcome
+    *unreadable* and no signal, one signal that isn't known the same for that signal; both leave the state as it is.
     """
     out = []
     for row in rows:
-        observed = json.loads(row["observation"])
+        observed = readable(row["observation"])
+        if observed is None:
+            out.append((*key, row["seq"], None, "unreadable", None, "unreadable", None, None, None, None, None, None))
+            continue
+        for name in [n for n in observed["signals"] if n not in SIGNALS]:
+            del observed["signals"][name]
+            out.append((*key, row["seq"], observed["at"], "unreadable", name, "unreadable", None, None, None, None, None, None))
         if observed.get("status") == "unchanged":
             signals = observed.get("signals") or (page or {}).get("pending", {})
             after = corroborated(page, signals, observed["at"]) if page else None

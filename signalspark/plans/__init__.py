@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers them."""
 
-from . import comparison, detection, formats, insights, models, pages, readmodels, sequences, series, structure  # noqa: F401
+from . import comparison, detection, formats, insights, models, pages, readmodels, robots, sequences, series, structure  # noqa: F401

@@ -52,7 +52,7 @@ def group_for(groups: dict[str, Group], agent: str) -> Group | None:
     agent = agent.lower()
     if agent in groups:
         return groups[agent]
-    prefixes = [g for g in groups if g != "*" and g and agent.startswith(g)]
+    prefixes = [g for g in groups if g != "*" and agent.startswith(g)]
     return groups[max(prefixes, key=len)] if prefixes else groups.get("*")
 
 

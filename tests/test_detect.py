@@ -206,3 +206,24 @@ def test_appends_take_whole_batches_only(spark, tmp_path):
     assert read_log(spark, log).count() == 2 and read_log(spark, str(tmp_path / "none")) is None
     with pytest.raises(Exception):
         append_once(rows.withColumnRenamed("k", "other"), log, ["other"])
+
+
+BAD = [None, "", "{", "[]", "3", '{"signals": {}}', '{"at": 3, "signals": {}}', '{"at": "t", "signals": []}', '{"at": "t", "signals": {"headline": 3}}', '{"at": "t", "signals": {"headline": {"value": 3}}}', '{"at": "t", "origin": "x"}', '{"at": "t", "signals": {"headline": {"value": "a", "confidence": "high"}}}', "[" * 100_000]
+
+
+def test_rows_that_cannot_be_read_carry_the_state(spark):
+    """Broken rows between good ones give *unreadable*, and the good ones the same outcomes as without them."""
+    good = [r for r in observations() if r[0] == observations()[0][0]]
+    schema = "slug string, kind string, seq long, observation string"
+    mixed = [(s, k, 100 * n, o) for s, k, n, o in good] + [(good[0][0], good[0][1], 100 + i, b) for i, b in enumerate(BAD)]
+    rows = D.detect(spark.createDataFrame(mixed, schema)).collect()
+    bad = [r for r in rows if r["outcome"] == "unreadable"]
+    assert len(bad) == len(BAD) and all(r["signal"] is None and r["status"] == "unreadable" for r in bad)
+    want = D.detect(spark.createDataFrame([(s, k, 100 * n, o) for s, k, n, o in good], schema)).collect()
+    assert sorted((r for r in rows if r["outcome"] != "unreadable"), key=repr) == sorted(want, key=repr)
+
+
+def test_signals_that_are_not_known_are_left_out():
+    observed = json.dumps(page(1, signals={"headline": read("x"), "shoe_size": read("44")}))
+    out, state = D.outcome_rows(("s", "home"), [{"seq": 1, "observation": observed}], None)
+    assert {(r[5], r[6]) for r in out} == {("headline", "baseline"), ("shoe_size", "unreadable")} and set(state["state"]) == {"headline"}
