@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.detect import OUTCOME_SCHEMA, outcome_rows
+from .commitlog import CommitLog
 
 _COLUMNS = [c.split()[0] for c in OUTCOME_SCHEMA.split(", ")]
 
@@ -30,46 +30,17 @@ def detect_stream(observations: DataFrame) -> DataFrame:
     return observations.select("slug", "kind", "seq", "observation").groupBy("slug", "kind").applyInPandasWithState(fold, OUTCOME_SCHEMA, "page string", "append", GroupStateTimeout.NoTimeout)
 
 
-def append_once(incoming: DataFrame, log_path: str, keys: list[str], order: str | None = None) -> int:
-    """Append the rows whose key the Parquet log doesn't have, one a key (the first by ``order``);
-    how many. For ``foreachBatch``: a batch that runs again adds nothing.
-
-    The log is a folder of batches, each a folder of its own that is written under a temporary
-    name and renamed when it is whole; so a write that is cut short leaves nothing that a reader
-    sees, and the next try begins anew. A log of another schema is an error. One writer at a time.
-    """
-    from ..operators.series import append_new
-
-    log = read_log(incoming.sparkSession, log_path)
-    new = append_new(log if log is not None else incoming.limit(0), incoming, keys, order)
-    return write_batch(new, log_path)
-
-
-def _filesystem(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+def append_once(incoming: DataFrame, log_path: str, keys: list[str], order: str | None = None, writer: str | None = None, batch: str | int | None = None) -> int:
+    """Append the rows whose key the log doesn't have, one a key (the first by ``order``); how many.
+    For ``foreachBatch``, with the query's name and the batch's number: several writers, each batch once."""
+    return CommitLog(incoming.sparkSession, log_path).append(incoming, keys, order, writer, batch)
 
 
 def read_log(spark: SparkSession, log_path: str) -> DataFrame | None:
-    """All whole batches of a log; null where there is none yet."""
-    fs, path = _filesystem(spark, log_path)
-    if not fs.exists(path(log_path)):
-        return None
-    batches = [str(f.getPath()) for f in fs.listStatus(path(log_path)) if f.isDirectory() and f.getPath().getName().startswith("batch-")]
-    return spark.read.parquet(*sorted(batches)) if batches else None
+    """All rows of a log; null where there are none yet."""
+    return CommitLog(spark, log_path).read()
 
 
 def write_batch(rows: DataFrame, log_path: str) -> int:
-    """Write rows as one batch of a log; how many. None is written for no rows."""
-    spark = rows.sparkSession
-    fs, path = _filesystem(spark, log_path)
-    name = uuid.uuid4().hex
-    hidden = f"{log_path}/_writing-{name}"
-    rows.write.parquet(hidden)
-    n = spark.read.parquet(hidden).count()
-    if n:
-        fs.rename(path(hidden), path(f"{log_path}/batch-{name}"))
-    else:
-        fs.delete(path(hidden), True)
-    return n
+    """Append rows to a log, whatever it has; how many."""
+    return CommitLog(rows.sparkSession, log_path).append(rows)
