@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from .common import checkpointed, lower_ascii, read_table
 from .components import connected_components
 
+#: Aliases of more rows than this are joined by a shuffle instead of a broadcast (some 200 bytes a row).
+BROADCAST_ROWS = 200_000
+#: Keys that pages without an address are dealt by.
+ODD_KEYS = 1024
+
 #: (verdict, host, path): a rule fits its host and all subdomains, if the path starts with its path.
 RULES = (
     ("allow", "org", "/"),
@@ -81,7 +86,7 @@ def _absolute(target: Column, host: Column, path: Column) -> Column:
     )
 
 
-def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: tuple[tuple[str, str, str], ...] = RULES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``(page_id, host, path, rule, verdict, component)`` for every row of ``pages(page_id, url, html)``.
 
     ``redirects(source, target)``, where given, adds edges between urls to those of the pages'
@@ -89,7 +94,7 @@ def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: tupl
     difference to a rule. ``component`` is the smallest address reachable by edges, the own one
     included. Of rules of one length the one listed last wins. Null or odd urls are the address of empty host and
     path, which takes part in no edge; null html has no links; relative links are resolved
-    against the page; no rows give none; other columns are ignored.
+    against the page; no rows give none; other columns are ignored. ``broadcast_rows`` changes the plan only.
     """
     placed = _placed(pages.select("page_id", F.col("url").alias("__url"), "html"))
     address = F.concat("host", "path")
@@ -112,8 +117,12 @@ def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: tupl
         .agg(F.max(F.col("fit.verdict") == "allow").alias("allowed"))
         .select("component", F.when(F.col("allowed"), "allow").otherwise("block").alias("inherited"))
     )
-    aliases = components.join(decided, "component", "left")
-    judged = placed.select("page_id", "host", "path", _fitting(rules).alias("fit")).join(aliases, address == F.col("node"), "left")
+    aliases = checkpointed(components.join(decided, "component", "left"))
+    aliases = F.broadcast(aliases) if aliases.count() <= broadcast_rows else aliases
+    # odd urls have no alias; were their empty address a key, they would all meet in one task
+    key = F.when(F.col("host") == "", F.concat(F.lit("?"), F.pmod(F.xxhash64("page_id"), F.lit(ODD_KEYS)).cast("string"))).otherwise(address)
+    own = placed.select("page_id", "host", "path", _fitting(rules).alias("fit"), key.alias("__key"))
+    judged = own.join(aliases, (F.col("__key") == F.col("node")) & (F.col("host") != ""), "left")
     return judged.select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", "inherited", F.lit("allow")).alias("verdict"), F.coalesce("component", address).alias("component")
     )

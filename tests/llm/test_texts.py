@@ -273,3 +273,13 @@ def test_toxicity_trains_on_every_ordinary_text(monkeypatch):
     ordinary = [" ".join(f"a{k}b{i}" for i in range(1000)) for k in range(330)] + ["étude last of all"]
     toxicity.train(["vile word vile", "vile word again"], ordinary, 0.1)
     assert any("étude last".encode() in s for s in seen[0]) and len(seen[0]) == 330 * (1000 // toxicity.WINDOW) + 1
+
+
+def test_many_urls_without_an_address_meet_in_no_task(spark):
+    """Two thirds of the pages have none: by either join they keep their verdict, and are dealt to all partitions."""
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("http://a.net/"), F.col("id").cast("string"))).when(F.col("id") % 3 == 1, "odd").alias("url"), F.when(F.col("id") % 30 == 0, '<link rel="canonical" href="http://b.com/de/1">').alias("html"))
+    got = {}
+    for bound in (0, 200_000):
+        done = url_filters.judge_urls(pages, broadcast_rows=bound)
+        got[bound] = sorted((r["page_id"], r["verdict"]) for r in done.collect())
+    assert got[0] == got[200_000] == [(i, "block" if i % 30 == 0 else "allow") for i in range(3000)]
