@@ -107,10 +107,6 @@ def join_counted(rows: DataFrame, keyed: DataFrame, key: list[str], n: str = "n"
     return common.unionByName(rows.join(hot.select(*key), key, "left_anti").join(cold, key))
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def words_of(text: Column) -> Column:
     """Array of the words of ``text``; empty for a null or blank text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SEPARATORS), lambda w: w != "")

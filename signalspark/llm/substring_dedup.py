@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, shuffle_partitions
+from .common import read_table
 from .wordarrays import Words, slices
 
 PERIOD = 7
 COVER = (1, 2, 4)  # fixed value: every residue modulo 7 is a difference of two of these
 
+#: Bytes of text that a part has, about: a task holds one part's text, whatever the size of the corpus.
+PART_BYTES = 16_000_000
 #: A bucket takes the hashes of so many parts' worth of text: it holds 6 to 20 bytes a hash and no text.
 PARTS_A_BUCKET = 8
 
@@ -176,7 +178,7 @@ def _part(*tables: pa.Table) -> int:
     return next(t["part"][0].as_py() for t in tables if t.num_rows)
 
 
-def remove_repeated_passages(docs: DataFrame, window: int = 13) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, window: int = 13, part_bytes: int = PART_BYTES) -> DataFrame:
     """``(doc_id, n_words, removed_spans, kept_text)`` for every row of ``docs(doc_id, text)``.
 
     A word goes if a window of ``window`` words that covers it also starts in a document with a
@@ -185,12 +187,14 @@ def remove_repeated_passages(docs: DataFrame, window: int = 13) -> DataFrame:
     shorter than the window, keeps all its words; rows with a null doc_id are left out, as they
     have no place in the order; rows that repeat a doc_id count as one document each way.
     Columns other than these two are ignored. ``window`` must be at least 7.
+    ``part_bytes`` of text go to a part, about, whatever the corpus' size; it changes no result.
     """
     if window < PERIOD:
         raise ValueError(f"window must be at least {PERIOD}")
-    spark = docs.sparkSession
-    n = 2 * shuffle_partitions(spark)
-    buckets = max(min(n, spark.sparkContext.defaultParallelism), n // PARTS_A_BUCKET)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    size = docs.where("doc_id is not null").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(cores, -(-size // part_bytes))
+    buckets = max(min(n, cores), n // PARTS_A_BUCKET)
     dealt = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
 
     def anchors(table: pa.Table) -> pa.Table:

@@ -289,3 +289,9 @@ def test_near_duplicates_of_a_crowded_group_are_the_exact_groups(spark):
         rows.append((k, " ".join(copy)))
     found = dict(map(tuple, simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert found == exact_groups(rows)
+
+
+def test_parts_of_any_size_remove_the_same(spark, odd):
+    """Parts follow from the bytes of text; few large ones and many small ones give the same rows."""
+    rows = lambda size: sorted((r["doc_id"], r["n_words"], str(r["removed_spans"])) for r in substring_dedup.remove_repeated_passages(odd, part_bytes=size).collect())
+    assert rows(2_000) == rows(16_000_000)
