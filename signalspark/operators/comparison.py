@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import measures as M
+from . import ordering
+
+QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
 
 
 def ranked(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """``place`` (1 is the greatest) and ``ties`` (others of the same value) within each group."""
-    place = F.rank().over(Window.partitionBy(*by).orderBy(F.desc(value)))
-    ties = F.count("*").over(Window.partitionBy(*by, value)) - 1
-    return rows.withColumn("place", place.cast("long")).withColumn("ties", ties)
+    return ordering.ranked(rows, value, *by)
 
 
 def quartiles(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """Least, quartiles by floor index, and greatest of each group."""
-    parts = [M.upper_quantile(value, q).alias(n) for q, n in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))]
-    return rows.groupBy(*by).agg(F.min(value).alias("least"), *parts, F.max(value).alias("greatest"))
+    return ordering.quantiles(rows, value, QUARTILES, *by).drop("n")
 
 
 def placement(value: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measures as M
 from ..functions import text as T
-from . import positioning
+from . import ordering, positioning
 from .comparison import signal_status
 
 # Published kinds of claims by the families that find them; others are counted in the total only.
@@ -27,11 +27,18 @@ def most_first(rows: DataFrame, count: str, key: str, limit: int | None = None)
     return ordered if limit is None else ordered.limit(limit)
 
 
-def coverage(rows: DataFrame, value: Column, suspect: Column, nulls: Column, name: Column, *by: str) -> DataFrame:
+def coverage(rows: DataFrame, value: Column, suspect: Column, nulls: Column, name: Column, *by: str, most: int | None = None) -> DataFrame:
     """tracked, readable, unreadable, and of the readable those held from an earlier read and those
-    that are suspect; ``missing`` are the names that couldn't be read, in order."""
+    that are suspect; ``missing`` are the names that couldn't be read, in order. A report that shows
+    only so many takes ``most``: then no task holds or sends more of a group."""
     status = signal_status(value, suspect, nulls)
     n = lambda c: F.count(F.when(c, 1))
+    if most is not None:
+        counted = coverage(rows, value, suspect, nulls, F.lit(None).cast("string"), *by).drop("missing")
+        first = ordering.first_of(rows.where(value.isNull()).select(*by, name.alias("__missing")).where("__missing is not null"), list(by), "__missing", ["__missing"], most)
+        names = [f"__b{i}" for i in range(len(by))]
+        joined = counted.join(first.withColumnsRenamed(dict(zip(by, names, strict=True))), ordering.same(list(by), names), "left").drop(*names)
+        return joined.withColumn("missing", F.coalesce("first", F.array().cast("array<string>"))).drop("first")
     return rows.groupBy(*by).agg(
         F.count("*").alias("tracked"), F.count(value).alias("readable"), n(value.isNull()).alias("unreadable"), n(status == "held").alias("held"), n(status == "suspect").alias("suspect"),
         F.array_sort(F.collect_list(F.when(value.isNull(), name))).alias("missing"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import series
+from . import ordering, series
 from .insights import COLLATION
 
 #: Rows of a company's page: its events and its last fetches.
@@ -142,9 +142,8 @@ def carried_good(states: DataFrame, results: DataFrame, keys: list[str], good_at
     """States whose time of the last good read moves on to the page's last ok read up to ``at``:
     an unchanged page has confirmed what it said."""
     ok = results.where(F.col("status").isin(*series.OK_STATUSES)).select(*keys, F.col("at").alias("__ok"))
-    known = states.withColumn("__id", F.struct(*states.columns))
-    last = known.join(ok, keys).where(F.col("__ok") <= F.col(at)).groupBy("__id").agg(F.max("__ok").alias("__ok"))
-    return known.join(last, "__id", "left").withColumn(good_at, F.when(F.col(good_at).isNotNull(), F.greatest(good_at, "__ok"))).select(states.columns)
+    joined = ordering.as_of(states, ok, keys, at, "__ok")
+    return joined.withColumn(good_at, F.when(F.col(good_at).isNotNull(), F.greatest(good_at, "found.__ok"))).select(states.columns)
 
 
 def staleness(last_ok_at: Column, as_of: Column, counts: dict[str, Column], hours: int = 36) -> Column:
@@ -157,15 +156,15 @@ def staleness(last_ok_at: Column, as_of: Column, counts: dict[str, Column], hour
 
 def carriers_and_absent(items: DataFrame, pages: DataFrame, page: str, name: str, symbol: str, vocabulary: list[str], most: int = MOST_PEERS) -> DataFrame:
     """``(symbol, carriers, absent, missing)``: pages with and without each symbol of a vocabulary,
-    and the first names of those without. Absent pages are the complement, found by an anti join
-    of the vocabulary's pages, of which there are as many as pages times symbols."""
+    and the first names of those without. A page's missing symbols are a difference of two small
+    arrays; no task sends more than ``most`` names of a symbol, and counts are complements of the carriers'."""
     spark = items.sparkSession
     known = spark.createDataFrame([(v,) for v in vocabulary], f"`{symbol}` string")
-    has = items.select(page, symbol).distinct()
-    every = pages.select(page, name).crossJoin(F.broadcast(known))
-    lacking = every.join(has, [page, symbol], "left_anti")
-    place = F.row_number().over(Window.partitionBy(symbol).orderBy(F.collate(F.col(name), COLLATION), page))
-    missing = lacking.select(symbol, name, place.alias("place")).groupBy(symbol).agg(F.count("*").alias("absent"), F.array_sort(F.collect_list(F.when(F.col("place") <= most, F.struct("place", name)))).alias("m"))
-    carried = has.groupBy(symbol).agg(F.count("*").alias("carriers"))
-    joined = known.join(carried, symbol, "left").join(missing, symbol, "left")
-    return joined.select(symbol, F.coalesce("carriers", F.lit(0)).alias("carriers"), F.coalesce("absent", F.lit(0)).alias("absent"), F.coalesce(F.array_join(F.transform("m", lambda x: x[name]), ", "), F.lit("")).alias("missing"))
+    has = items.where(F.col(symbol).isin(*vocabulary)).groupBy(page).agg(F.collect_set(symbol).alias("__has"))
+    each = pages.select(page, name).distinct().join(has, page, "left")
+    lacking = each.select(page, name, F.explode(F.array_except(F.array(*map(F.lit, vocabulary)), F.coalesce("__has", F.array().cast("array<string>")))).alias(symbol))
+    first = ordering.first_of(lacking, [symbol], name, [F.collate(F.col(name), COLLATION), F.col(page)], most)
+    counted = each.select(F.explode("__has").alias(symbol)).groupBy(symbol).agg(F.count("*").alias("carriers"))
+    joined = known.join(counted, symbol, "left").join(first, symbol, "left").crossJoin(F.broadcast(each.agg(F.count("*").alias("__pages"))))
+    carriers = F.coalesce("carriers", F.lit(0))
+    return joined.select(symbol, carriers.alias("carriers"), (F.col("__pages") - carriers).alias("absent"), F.coalesce(F.array_join("first", ", "), F.lit("")).alias("missing"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
+from . import ordering
 
 
 def collapsed_runs(items: DataFrame, key: str, position: str, symbol: str) -> DataFrame:
@@ -34,8 +35,7 @@ def prevalence(items: DataFrame, key: str, symbol: str, vocabulary: list[str]) -
 
 def scale(rows: DataFrame, column: str) -> DataFrame:
     """n, least, quartiles (by floor index) and greatest of a column."""
-    low, mid, high = (M.upper_quantile(column, q).alias(n) for q, n in ((0.25, "p25"), (0.5, "median"), (0.75, "p75")))
-    return rows.where(F.col(column).isNotNull()).agg(F.count("*").alias("n"), F.min(column).alias("least"), low, mid, high, F.max(column).alias("greatest"))
+    return ordering.quantiles(rows.where(F.col(column).isNotNull()), column, {"p25": 0.25, "median": 0.5, "p75": 0.75})
 
 
 def archetype(items: DataFrame, key: str, position: str, symbol: str, size: str, floor: float = 0.15) -> DataFrame:
@@ -146,9 +146,11 @@ def _cut(frame: DataFrame) -> DataFrame:
     return checkpointed(frame)
 
 
-def scored(predicted: DataFrame, truth: DataFrame, keys: list[str], label: str, trivial: str) -> DataFrame:
-    """matched, correct, and both without the trivial label, of predictions against the truth."""
-    known = truth.dropDuplicates(keys).select(*keys, F.col(label).alias("__truth"))
+def scored(predicted: DataFrame, truth: DataFrame, keys: list[str], label: str, trivial: str, order: str | None = None) -> DataFrame:
+    """matched, correct, and both without the trivial label, of predictions against the truth. Of
+    labels that repeat a key the last by ``order`` holds, of those at one place the greatest."""
+    at = F.col(order) if order else F.lit(0)
+    known = truth.groupBy(*keys).agg(F.max_by(label, F.struct(at, F.col(label))).alias("__truth"))
     both = predicted.join(known, keys)
     right = F.col(label) == F.col("__truth")
     rest = F.col("__truth") != trivial

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordering
+
 OK_STATUSES = ("ok", "unchanged")
 
 
@@ -140,10 +142,9 @@ def run_messages(results: DataFrame, movers: DataFrame, run: str, status: str, n
     """``(run, message)``: a line on each run: its targets, the first three that moved and how many
     more, and how many had each of the counted statuses."""
     counts = results.groupBy(run).agg(F.count("*").alias("__n"), *(F.count(F.when(F.col(status) == s, 1)).alias(f"__{s}") for s in counted))
-    names = F.transform(F.array_sort(F.collect_list(name)), lambda x: F.concat(F.lit(prefix), x.cast("string")))
-    moved = movers.groupBy(run).agg(names.alias("m"))
-    more = F.when(F.size("m") > 3, F.concat(F.lit(" +"), (F.size("m") - 3).cast("string"), F.lit(" more"))).otherwise("")
-    listed = F.concat(F.array_join(F.slice("m", 1, 3), ", "), more)
+    moved = movers.groupBy(run).agg(F.count(name).alias("__m")).join(ordering.first_of(movers.where(F.col(name).isNotNull()), [run], name, [name], 3), run, "left")
+    more = F.when(F.col("__m") > 3, F.concat(F.lit(" +"), (F.col("__m") - 3).cast("string"), F.lit(" more"))).otherwise("")
+    listed = F.concat(F.array_join(F.transform("first", lambda x: F.concat(F.lit(prefix), x.cast("string"))), ", "), more)
     parts = [F.when(F.col(f"__{s}") > 0, F.concat(F.col(f"__{s}").cast("string"), F.lit(f" {s}"))) for s in counted]
     message = F.concat_ws("; ", F.concat(F.col("__n").cast("string"), F.lit(" targets")), listed, *parts)
     return counts.join(moved, run, "left").select(run, message.alias("message"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats, measures as M
-from . import comparison
+from ..sources.tables import checkpointed
+from . import comparison, ordering
 from .insights import COLLATION
 
 #: Measures of a page as columns of its strip (``sequence, sections, words``): a registry to add to.
@@ -22,8 +23,7 @@ def page_scales(strips: DataFrame) -> DataFrame:
     """``(measure, n, least, p25, median, p75, greatest)`` of every measure of ``PAGE_SCALES``."""
     parts = [F.struct(F.lit(name).alias("measure"), of().cast("double").alias("value")) for name, of in PAGE_SCALES.items()]
     long = strips.select(F.explode(F.array(*parts)).alias("m")).select("m.*").where("value is not null")
-    sizes = long.groupBy("measure").agg(F.count("*").alias("n"))
-    return sizes.join(comparison.quartiles(long, "value", "measure"), "measure").select("measure", "n", "least", "p25", "median", "p75", "greatest")
+    return ordering.quantiles(long, "value", comparison.QUARTILES, "measure").select("measure", "n", "least", "p25", "median", "p75", "greatest")
 
 
 def classifier_quality(items: DataFrame, page: str, symbol: str, other: str, worst: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -80,19 +80,16 @@ def families(items: DataFrame, page: str, symbol: str, family_of: dict[str, str]
 
 def same_sequence(sequences: DataFrame, key: str) -> DataFrame:
     """``(key, others)``: how many other pages have exactly the same sequence."""
-    others = F.count("*").over(Window.partitionBy("sequence")) - 1
-    return sequences.select(key, others.alias("others"))
+    counts = checkpointed(sequences.groupBy("sequence").agg(F.count("*").alias("n")))
+    return ordering.join_unique(sequences.select(key, "sequence"), counts, ["sequence"], "n").select(key, (F.col("n") - 1).alias("others"))
 
 
 def page_insights(pages: DataFrame, page: str, value: str) -> DataFrame:
     """``(page, value, place, ties, of, band)``: where a page stands among all by one measure."""
     known = pages.where(F.col(value).isNotNull()).select(page, value)
-    counts = known.groupBy(value).agg(F.count("*").alias("same"))
-    # places come from the counts of each value, so the window holds a row a value and not a page
-    above = F.coalesce(F.sum("same").over(Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = known.agg(F.count("*").alias("of"))
-    joined = known.join(counts.withColumn("above", above), value).crossJoin(F.broadcast(comparison.quartiles(known, value))).crossJoin(F.broadcast(total))
-    return joined.select(page, value, (F.col("above") + 1).alias("place"), (F.col("same") - 1).alias("ties"), "of", comparison.placement(F.col(value)).alias("band"))
+    bands = ordering.quantiles(known, value, comparison.QUARTILES).withColumnRenamed("n", "of")
+    joined = ordering.ranked(known, value).crossJoin(F.broadcast(bands))
+    return joined.select(page, value, "place", "ties", "of", comparison.placement(F.col(value)).alias("band"))
 
 
 def section_insights(items: DataFrame, page: str, position: str, symbol: str, size: str) -> DataFrame:
