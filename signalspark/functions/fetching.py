@@ -10,13 +10,9 @@ from .text import fnv1a
 DAY = 86_400
 #: Bytes of a body that are read, and of a robots.txt; characters of a body that are hashed.
 MOST_BODY, MOST_ROBOTS, MOST_HASHED = 1_500_000, 512_000, 400_000
-# What differs between two reads of one page: scripts, tokens of one request, build ids, times.
-VOLATILE = (
-    r"(?is)<script\b[^>]*>.*?</script\s*>",
-    r"(?i)\s(?:nonce|data-nonce|csrf-token|data-csrf)\s*=\s*[\"'][^\"']*[\"']",
-    r"(?i)\b(?:build|deploy|release)[-_]?(?:id|hash)\s*[=:]\s*[\"']?[\w.-]+[\"']?",
-    r"\d{4}-\d\d-\d\dT\d\d:\d\d(?::\d\d(?:\.\d+)?)?(?:Z|[+-]\d\d:?\d\d)?",
-)
+# What differs between two reads of one page: scripts, quoted tokens of one request or build, UTC times.
+TOKENS = ("nonce", "csrf[-_]?token", "build[-_]?id", "deployment[-_]?id", "request[-_]?id", "trace[-_]?id")
+VOLATILE = (r"(?is)<script\b[^>]*>.*?</script\s*>", rf"(?i)\b(?:{'|'.join(TOKENS)})\s*=\s*[\"'][^\"']*[\"']", r"\b\d{4}-\d{2}-\d{2}T[\d:.]+Z\b")
 
 
 def retry_after(value: Column, now: Column) -> Column:

@@ -88,7 +88,13 @@ def collapse(text: Column) -> Column:
 
 def plain_text(html: Column) -> Column:
     """Text of markup: code and tags out, the commonest entities decoded, white space collapsed."""
-    out = F.regexp_replace(strip_code(html), r"<[^>]*>", " ")
+    return text_of(strip_code(html))
+
+
+def text_of(stripped: Column) -> Column:
+    """The same of markup whose code is out already. Where a row's stripped markup is used more than
+    once, it should be a column of its own, which is then made once."""
+    out = F.regexp_replace(stripped, r"<[^>]*>", " ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(char))
     return collapse(out)

@@ -47,7 +47,12 @@ def _dealt(rows: DataFrame, *order: str | Column) -> DataFrame:
 def positions(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """``(by, value, n, before, total)``: for each value of a group how many rows have it, how many have
     a smaller one, and how many the group has. A null is the smallest value."""
-    counts = _dealt(rows.groupBy(*by, value).agg(F.count("*").alias("n")), *by, value)
+    return positions_of(rows.groupBy(*by, value).agg(F.count("*").alias("n")), value, *by)
+
+
+def positions_of(counts: DataFrame, value: str, *by: str) -> DataFrame:
+    """The same from ``counts(by, value, n)``."""
+    counts = _dealt(counts.select(*by, value, "n"), *by, value)
     sums = counts.groupBy(*by, "__p").agg(F.sum("n").alias("sum"))  # a row a range and group at most
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     starts = sums.withColumn("start", F.coalesce(F.sum("sum").over(group.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("sum").over(group))

@@ -25,10 +25,15 @@ def _plain_sql(value: str) -> str:
     return f"trim(regexp_replace({out}, '{_SPACE}', ' ', 'g'))"
 
 
+def _stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(page_id, h)``: markup without code, as a column that is made once however often it is used."""
+    return table(spark, sf_dir, "pages").select("page_id", T.strip_code(F.col("html")).alias("h"))
+
+
 @query(f"WITH {_STRIP_SQL} SELECT page_id, CAST(length(h) AS BIGINT) AS n_chars, CAST(length({_plain_sql('h')}) AS BIGINT) AS n_text FROM stripped")
 def stripped_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.length(T.strip_code(F.col("html"))).cast("long").alias("n_chars"), F.length(T.plain_text(F.col("html"))).cast("long").alias("n_text"))
+    h = F.col("h")
+    return _stripped(spark, sf_dir).select("page_id", F.length(h).cast("long").alias("n_chars"), F.length(T.text_of(h)).cast("long").alias("n_text"))
 
 
 @query(
@@ -39,10 +44,9 @@ SELECT page_id, nullif({_plain_sql("regexp_extract(h, '(?is)<title[^>]*>(.*?)</t
 FROM stripped"""
 )
 def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = T.strip_code(F.col("html"))
-    inner = lambda tag: F.nullif(T.plain_text(F.regexp_extract(html, rf"(?is)<{tag}[^>]*>(.*?)</{tag}", 1)), F.lit(""))
-    lang = F.nullif(F.lower(F.regexp_extract(html, "(?is)<html[^>]*lang=.([a-zA-Z]+)", 1)), F.lit(""))
-    return table(spark, sf_dir, "pages").select("page_id", inner("title").alias("title"), inner("h1").alias("first_h1"), lang.alias("lang"))
+    inner = lambda tag: F.nullif(T.text_of(F.regexp_extract("h", rf"(?is)<{tag}[^>]*>(.*?)</{tag}", 1)), F.lit(""))
+    lang = F.nullif(F.lower(F.regexp_extract("h", "(?is)<html[^>]*lang=.([a-zA-Z]+)", 1)), F.lit(""))
+    return _stripped(spark, sf_dir).select("page_id", inner("title").alias("title"), inner("h1").alias("first_h1"), lang.alias("lang"))
 
 
 @query(
@@ -53,10 +57,10 @@ SELECT page_id, CAST(len(regexp_extract_all(regexp_extract(h, '(?is)<nav\\b.*?</
 FROM stripped"""
 )
 def link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = T.strip_code(F.col("html"))
+    html = F.col("h")
     links = lambda tag: F.regexp_count(F.regexp_extract(html, rf"(?is)<{tag}\b.*?</{tag}\s*>", 0), F.lit(r"(?i)<a\b")).cast("long")
     fields = F.regexp_count(html, F.lit(r"(?i)<(?:input|select|textarea)\b")).cast("long")
-    return table(spark, sf_dir, "pages").select("page_id", links("nav").alias("nav_links"), links("footer").alias("footer_links"), fields.alias("form_fields"))
+    return _stripped(spark, sf_dir).select("page_id", links("nav").alias("nav_links"), links("footer").alias("footer_links"), fields.alias("form_fields"))
 
 
 @query(

@@ -18,12 +18,16 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    part = jvm.org.apache.hadoop.fs.Path(path + ".writing")
+    target = fs.makeQualified(target)
+    part = jvm.org.apache.hadoop.fs.Path(str(target.toString()) + ".writing")
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(target, False)
-    fs.rename(part, target)
+    # one step that replaces: a crash leaves the old document or the new one
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
+    how = spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(part, target, how)
 
 
 def document(rows: DataFrame, order: list[str]) -> list[dict]:
