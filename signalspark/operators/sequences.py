@@ -77,25 +77,75 @@ def _useful(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("nearer", F.coalesce(nearer, F.lit(0))).where(F.col("nearer") <= k).drop("nearer")
 
 
+#: The last radius, in edits, before the rest is held against all.
+FAR = 4
+
+
+def _segments(known: DataFrame, tau: int) -> DataFrame:
+    """``(y, m, i, part)``: each sequence of over ``tau`` symbols in ``tau + 1`` even parts, the last ones longer by one."""
+    size, left = F.floor(F.col("m") / (tau + 1)), F.col("m") % (tau + 1)
+    late = F.greatest(F.lit(0), F.col("i") - (tau + 1 - left))
+    rows = known.where(F.col("m") > tau).select("y", "m", F.explode(F.sequence(F.lit(0), F.lit(tau))).alias("i"))
+    start, length = F.col("i") * size + late, size + (F.col("i") >= tau + 1 - left).cast("int")
+    return rows.select("y", "m", "i", F.substring("y", start.cast("int") + 1, length.cast("int")).alias("part"))
+
+
+def _probes(left: DataFrame, tau: int, longest: int) -> DataFrame:
+    """``(x, m, i, part)``: what of ``left(x, n)`` may be part i of a sequence of m symbols at most ``tau``
+    edits away. That part stands d places from where it stands there, with |d| + |n - m - d| <= tau."""
+    lengths = F.sequence(F.greatest(F.lit(tau + 1), F.col("n") - tau), F.least(F.lit(longest), F.col("n") + tau))
+    able = F.least(F.lit(longest), F.col("n") + tau) >= F.greatest(F.lit(tau + 1), F.col("n") - tau)
+    rows = left.where(able).select("x", "n", F.explode(lengths).alias("m"))
+    size, more = F.floor(F.col("m") / (tau + 1)), F.col("m") % (tau + 1)
+    rows = rows.select("x", "n", "m", size.alias("size"), more.alias("more"), F.explode(F.sequence(F.lit(0), F.lit(tau))).alias("i"))
+    start = F.col("i") * F.col("size") + F.greatest(F.lit(0), F.col("i") - (tau + 1 - F.col("more")))
+    length = F.col("size") + (F.col("i") >= tau + 1 - F.col("more")).cast("int")
+    gap = F.col("n") - F.col("m")
+    rows = rows.select("x", "n", "m", "i", length.cast("int").alias("length"), start.cast("int").alias("start"), gap.alias("gap"))
+    first = F.greatest(F.lit(0), F.col("start") - F.floor((tau - F.col("gap")) / 2).cast("int"))
+    last = F.least(F.col("n") - F.col("length"), F.col("start") + F.floor((tau + F.col("gap")) / 2).cast("int"))
+    rows = rows.withColumns({"first": first, "last": last}).where("first <= last").select("x", "m", "i", "length", F.explode(F.sequence("first", "last")).alias("at"))
+    return rows.select("x", "m", "i", F.substring("x", F.col("at") + 1, F.col("length")).alias("part")).distinct()
+
+
+def candidates(left: DataFrame, known: DataFrame, tau: int, longest: int) -> DataFrame:
+    """``(x, y)``: every pair of ``left(x, n)`` and ``known(y, m)`` at most ``tau`` edits apart, and few others.
+
+    Of ``tau + 1`` parts of y one is untouched by ``tau`` edits, so x has it near its place: a join on
+    parts. Sequences of ``tau`` symbols or fewer have no such parts, and are met by their length.
+    """
+    parts = _probes(left, tau, longest).join(_segments(known, tau), ["m", "i", "part"]).select("x", "y")
+    # the lengths run upwards as n <= 2 * tau and n, tau >= 1
+    short = left.where(F.col("n") <= 2 * tau).select("x", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - tau), F.least(F.lit(tau), F.col("n") + tau))).alias("m"))
+    return parts.union(short.join(known.where(F.col("m") <= tau), "m").select("x", "y")).distinct()
+
+
 def nearest_sequences(members: DataFrame, k: int) -> DataFrame:
     """``(x, y, distance)`` of distinct sequences ``members(sequence, size)``: for each the others, and
     itself, that can be among the k nearest of one of its members.
 
-    Sequences of one length are compared first. The distance of the last of enough of these bounds
-    that of the k nearest, and the difference of two lengths bounds their distance from below; so of
-    the other lengths only those within the bound are compared at all, by equal lengths again.
+    The radius grows, in edits: 1, 2, 4, and then all. What is farther than ``tau`` edits has a distance of
+    ``(tau + 1) / (n + tau + 1)`` at least, n being the own length; so a sequence with more than k
+    members nearer than that is done, and only those that stand alone are held against every other.
     """
-    known = members.where(F.length("sequence") > 0).select(F.col("sequence").alias("y"), "size", F.length("sequence").alias("n"))
-    left = known.select(F.col("y").alias("x"), "n")
-    same = _useful(left.join(known, "n").select("x", "n", "y", _far(F.col("x"), F.col("y")).alias("far"), "size"), k)
-    bounds = same.groupBy("x", "n").agg(F.sum("size").alias("held"), F.max("far").alias("last")).select("x", "n", F.when(F.col("held") > k, F.col("last")).otherwise(1000).alias("bound"))
-    share = (F.col("bound") + 0.5) / 1000
-    least = F.greatest(F.lit(1), F.floor(F.col("n") * (1 - share)))
-    most = F.least(F.col("longest"), F.when(share < 1, F.ceil(F.col("n") / (1 - share))).otherwise(F.col("longest")))
-    longest = known.agg(F.max("n").cast("long").alias("longest"))
-    lengths = bounds.crossJoin(F.broadcast(longest)).select("x", "bound", F.col("n").alias("own"), F.explode(F.sequence(least.cast("int"), most.cast("int"))).alias("n")).where("n <> own")
-    others = lengths.join(known, "n").select("x", "y", _far(F.col("x"), F.col("y")).alias("far"), "size", "bound").where("far <= bound").drop("bound")
-    return _useful(same.drop("n").unionByName(others), k).select("x", "y", (F.col("far") / 1000).alias("distance"))
+    known = _cut(members.where(F.length("sequence") > 0).select(F.col("sequence").alias("y"), "size", F.length("sequence").alias("m")))
+    longest = known.agg(F.max("m")).first()[0] or 0
+    open_, done, tau = known.select(F.col("y").alias("x"), F.col("m").alias("n")), [], 1
+    while True:
+        near = candidates(open_, known.select("y", "m"), tau, longest).where(F.levenshtein("x", "y", tau) >= 0)
+        pairs = _cut(near.join(known.select("y", "size"), "y").select("x", "y", _far(F.col("x"), F.col("y")).alias("far"), "size"))
+        least = F.floor(1000 * (tau + 1) / F.least(F.lit(longest), F.length("x") + tau + 1) + 0.5)
+        enough = pairs.groupBy("x").agg(F.sum(F.when(F.col("far") < least, F.col("size"))).alias("held")).where(F.col("held") > k).select("x") if tau < longest else open_.select("x")
+        enough = _cut(enough)
+        done.append(_useful(pairs.join(enough, "x", "left_semi"), k))
+        open_ = _cut(open_.join(enough, "x", "left_anti"))
+        if open_.isEmpty():
+            break
+        tau = 2 * tau if tau < FAR else max(longest, 1)  # what stands alone is held against all that is left
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    return found.select("x", "y", (F.col("far") / 1000).alias("distance"))
 
 
 def neighbours(sequences: DataFrame, key: str, k: int = 6) -> DataFrame:
