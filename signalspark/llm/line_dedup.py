@@ -1,18 +1,17 @@
 """Removal of line runs that an earlier place in the corpus also has, by prefix doubling.
 
 Every document is a sequence of line ids (128-bit hashes of the stripped lines; blank lines are
-not part of it). Round k of the doubling ranks the suffixes by their first ``2**k`` lines: a
-rank is made from the two ranks of half its length, and named by the first place that has it,
-so equal ranks are one interval of the suffix array, whose longest common prefix is ``2**k`` lines
-at least, and the name is the interval's first position. Only suffixes in an interval of two or
-more go on to the next round; most lines are unique and leave at once.
-
-A repeated run has at least ``min_words`` words. It is the union of its shortest windows of that
-many words, counted on from each line and back from each line. The interval of such a window's
-lines, of a common prefix of just its length, is that of two overlapping ranks of the largest
-power of two, and it is an earlier copy's if the interval begins earlier. Deeper ranks can't
-change which lines go, so the doubling ends at the longest window. Windows whose first copies lie
-at one distance join into maximal runs, and these are what is deleted.
+not part of it). Round k of the doubling ranks the suffixes by their first ``2**k`` lines: a rank is
+made from the two ranks of half its length and named by the first place that has it, so equal ranks are one
+interval of the suffix array. Only suffixes in an interval of two or more go on; most lines are unique
+and leave at once, and the rounds are as many as the longest repeat has binary digits.
+
+Longest common prefixes come from the same ranks, from the longest power down: an interval of common prefix L is
+cut by the rank of ``2**j`` lines behind these L, which gives the intervals of ``L + 2**j``; of each of
+these the first place stays behind for the shorter powers. So each suffix meets the deepest interval
+that begins at an earlier place: its L is the longest run that the suffix begins and an earlier one has.
+Runs that don't go on to the left are the maximal ones, and these, where they have ``min_words`` words,
+are what is deleted.
 """
 
 from __future__ import annotations
@@ -35,9 +34,9 @@ def _signed(x: int) -> int:
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """A row for each line with a word: place, 128-bit id, and the lengths of the shortest
-    windows of ``min_words`` words on from it and back from it (0: none)."""
-    fields = [("doc_id", pa.int64()), ("version", pa.int64()), ("i", pa.int32()), ("h", pa.int64()), ("g", pa.int64()), ("ahead", pa.int32()), ("back", pa.int32())]
+    """A row for each line with a word: place, 128-bit id, and how many lines on from it have
+    ``min_words`` words (0: there are too few)."""
+    fields = [("doc_id", pa.int64()), ("version", pa.int64()), ("i", pa.int32()), ("h", pa.int64()), ("g", pa.int64()), ("ahead", pa.int32())]
     schema = pa.schema(fields)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,10 +48,8 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
                 n = len(lines)
                 ahead = np.searchsorted(words, words[:-1] + min_words) - np.arange(n)
                 ahead[ahead > n - np.arange(n)] = 0
-                back = np.arange(1, n + 1) - (np.searchsorted(words, words[1:] - min_words, side="right") - 1)
-                back[words[1:] < min_words] = 0
                 ids = [xxhash.xxh3_128_intdigest(s) for s in lines]
-                cells = ([doc_id] * n, [version] * n, range(n), [_signed(x >> 64) for x in ids], [_signed(x & (1 << 64) - 1) for x in ids], ahead, back)
+                cells = ([doc_id] * n, [version] * n, range(n), [_signed(x >> 64) for x in ids], [_signed(x & (1 << 64) - 1) for x in ids], ahead)
                 for column, values in zip(out, cells, strict=True):
                     column.extend(values)
                 if len(out[0]) > 100_000:
@@ -60,7 +57,7 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
                     out = [[] for _ in fields]
             yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(out, fields, strict=True)], schema=schema)
 
-    return docs.mapInArrow(rows, "doc_id long, version long, i int, h long, g long, ahead int, back int")
+    return docs.mapInArrow(rows, "doc_id long, version long, i int, h long, g long, ahead int")
 
 
 def _ranked(places: DataFrame, key: list[str], keep: list[str]) -> DataFrame:
@@ -69,45 +66,58 @@ def _ranked(places: DataFrame, key: list[str], keep: list[str]) -> DataFrame:
     return join_counted(places, first, key).select(*keep, "rank")
 
 
-def _repeated_windows(lines: DataFrame) -> DataFrame:
-    """``(doc_id, version, i, length, rank)`` of windows that also begin at an earlier place, the
-    first of which is ``rank``."""
-    ranks = checkpointed(_ranked(lines, ["h", "g"], [*_AT, "ahead", "back"]))
-    ends = F.array(F.struct(F.col("i").alias("i"), F.col("ahead").alias("length")), F.struct((F.col("i") - F.col("back") + 1).alias("i"), F.col("back").alias("length")))
-    windows = ranks.select("doc_id", "version", F.explode(ends).alias("w")).select("doc_id", "version", "w.*").where("length > 0").distinct()
-    longest = ranks.agg(F.max(F.greatest("ahead", "back"))).first()[0] or 0
-    ranks = ranks.select(*_AT, "rank")
-    found, size = None, 1
-    while size <= longest:
-        mine = windows.where((F.col("length") >= size) & (F.col("length") < 2 * size))
-        head = mine.join(ranks.withColumnRenamed("rank", "head"), _AT)
-        tail = ranks.select("doc_id", "version", F.col("i").alias("end"), F.col("rank").alias("tail"))
-        both = checkpointed(head.withColumn("end", F.col("i") + F.col("length") - size).join(tail, ["doc_id", "version", "end"]))
-        repeated = _ranked(both, ["length", "head", "tail"], [*_AT, "length"]).where(F.col("rank") < F.struct(_AT))
-        found = repeated if found is None else found.union(repeated)
-        if 2 * size <= longest:
-            tail = ranks.select("doc_id", "version", (F.col("i") - size).alias("i"), F.col("rank").alias("tail"))
-            pairs = checkpointed(ranks.withColumnRenamed("rank", "head").join(tail, _AT))
-            ranks = checkpointed(_ranked(pairs, ["head", "tail"], _AT))
-        size *= 2
-    return windows.limit(0).withColumn("rank", F.struct(_AT)) if found is None else found
+def _suffix_ranks(lines: DataFrame) -> list[DataFrame]:
+    """``(doc_id, version, i, rank)`` by level: places whose first ``2**level`` lines recur, and the first
+    place of these; the lowest level has ``ahead`` too."""
+    ranks = [checkpointed(_ranked(lines, ["h", "g"], [*_AT, "ahead"]))]
+    while True:
+        size, last = 1 << len(ranks) - 1, ranks[-1].select(*_AT, "rank")
+        tail = last.select("doc_id", "version", (F.col("i") - size).alias("i"), F.col("rank").alias("tail"))
+        pairs = checkpointed(last.withColumnRenamed("rank", "head").join(tail, _AT))
+        longer = checkpointed(_ranked(pairs, ["head", "tail"], _AT))
+        if longer.isEmpty():
+            return ranks
+        ranks.append(longer)
+
+
+def _begun(ranks: list[DataFrame], level: int) -> DataFrame:
+    """``(doc_id, version, i, length, first)``: intervals of ``2**level`` lines, of each longer interval
+    inside one only the first place."""
+    mine = ranks[level].select(*_AT, F.lit(1 << level).alias("length"), F.col("rank").alias("first"))
+    if level + 1 == len(ranks):
+        return mine
+    longer = ranks[level + 1].where(F.col("rank") != F.struct(_AT)).select(*_AT)
+    return mine.join(longer, _AT, "left_anti")
+
+
+def longest_repeats(ranks: list[DataFrame]) -> DataFrame:
+    """``(doc_id, version, i, length, first)``: for each place whose line also stands earlier the longest
+    run from it on that does, and that run's first place."""
+    open_ = None
+    for level in range(len(ranks) - 2, -1, -1):
+        begun = _begun(ranks, level + 1)
+        open_ = checkpointed(begun if open_ is None else open_.unionByName(begun))
+        behind = ranks[level].select("doc_id", "version", F.col("i").alias("at"), F.col("rank").alias("behind"))
+        cut = checkpointed(open_.withColumn("at", F.col("i") + F.col("length")).join(behind, ["doc_id", "version", "at"]).drop("at"))
+        groups = checkpointed(cut.groupBy("length", "first", "behind").agg(F.min(F.struct(_AT)).alias("least"), F.count("*").alias("n")).where("n > 1"))
+        deeper = checkpointed(join_counted(cut, groups, ["length", "first", "behind"]).select(*_AT, F.col("length").alias("was"), (F.col("length") + (1 << level)).alias("length"), F.col("least").alias("first")))
+        left = deeper.where(F.col("first") != F.struct(_AT)).select(*_AT, F.col("was").alias("length"))
+        open_ = checkpointed(open_.join(left, [*_AT, "length"], "left_anti").unionByName(deeper.drop("was")))
+    single = _begun(ranks, 0)
+    every = single if open_ is None else single.unionByName(open_)
+    return every.where(F.col("first") != F.struct(_AT)).groupBy(*_AT).agg(F.max("length").alias("length"), F.max_by("first", "length").alias("first"))
 
 
 def repeated_runs(lines: DataFrame) -> DataFrame:
-    """``(doc_id, version, i, length, first)``: maximal runs of ``length`` lines from line ``i`` on
-    that also stand earlier, ``first`` being the first place that the run's beginning stands at.
-
-    Windows of one document whose first copies are in one document, at one distance, and which
-    overlap or touch are one run.
-    """
-    windows = _repeated_windows(lines).withColumn("shift", F.col("i") - F.col("rank.i"))
-    same = Window.partitionBy("doc_id", "version", "rank.doc_id", "rank.version", "shift").orderBy("i", "length")
-    reach = F.max(F.col("i") + F.col("length")).over(same.rowsBetween(Window.unboundedPreceding, -1))
-    begins = windows.withColumn("new", (reach.isNull() | (reach < F.col("i"))).cast("int"))
-    numbered = begins.withColumn("run", F.sum("new").over(same))
-    runs = numbered.groupBy("doc_id", "version", F.col("rank.doc_id").alias("d"), F.col("rank.version").alias("v"), "shift", "run")
-    whole = runs.agg(F.min("i").alias("i"), F.max(F.col("i") + F.col("length")).alias("end"), F.min("rank").alias("first"))
-    return whole.select("doc_id", "version", "i", (F.col("end") - F.col("i")).alias("length"), "first")
+    """``(doc_id, version, i, length, first)``: maximal runs of ``length`` lines from line ``i`` on that also
+    stand earlier, ``first`` being the first place that the whole run stands at. A run is maximal if
+    neither it with the line before nor it with the line after it stands earlier."""
+    ranks = _suffix_ranks(lines)
+    runs = longest_repeats(ranks).join(ranks[0].select(*_AT, "ahead"), _AT)
+    order = Window.partitionBy("doc_id", "version").orderBy("i")
+    before = F.when(F.lag("i").over(order) == F.col("i") - 1, F.lag("length").over(order))
+    marked = runs.withColumn("maximal", F.coalesce(before <= F.col("length"), F.lit(True)))
+    return marked.where("maximal and ahead > 0 and length >= ahead").drop("maximal", "ahead")
 
 
 def _kept(text: Column, windows: Column) -> Column:
