@@ -178,52 +178,6 @@ def test_runs_are_maximal(spark):
     assert sorted((r["doc_id"], r["i"], r["length"], r["first"]["doc_id"], r["first"]["i"]) for r in runs) == [(2, 0, 40, 1, 1), (3, 1, 30, 1, 11), (4, 0, 1, 1, 1)]
 
 
-def run_rows(spark, rows, min_words=5):
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) as version", "text")
-    return sorted((r["doc_id"], r["i"], r["length"], r["first"]["doc_id"], r["first"]["i"]) for r in line_dedup.repeated_runs(line_dedup._lines(docs, min_words)).collect())
-
-
-def test_a_run_is_whole_where_its_beginning_stands_in_a_third_document(spark):
-    """The first three lines' first copy is in another document than that of all six."""
-    line = lambda letters: "\n".join(f"line {x} has some words in it" for x in letters)
-    assert run_rows(spark, [(1, line("abcx")), (2, line("abcdef")), (3, line("abcdef")), (4, line("zdef")), (5, line("yabcd"))]) == [(2, 0, 3, 1, 0), (3, 0, 6, 2, 0), (4, 1, 3, 2, 3), (5, 1, 4, 2, 0)]
-
-
-def brute_runs(rows, min_words):
-    lines = [(d, [s.strip() for s in t.split("\n") if s.strip()]) for d, t in rows]
-    out = []
-    for d, mine in lines:
-        longest = []
-        for i in range(len(mine)):
-            best = (0, None)
-            for e, theirs in lines:
-                for j in range(len(theirs)):
-                    if (e, j) < (d, i):
-                        n = 0
-                        while i + n < len(mine) and j + n < len(theirs) and mine[i + n] == theirs[j + n]:
-                            n += 1
-                        best = max(best, (n, (-e, -j))) if n else best
-            longest.append(best)
-        for i, (n, at) in enumerate(longest):
-            if n and (i == 0 or longest[i - 1][0] <= n) and sum(len(s.split()) for s in mine[i : i + n]) >= min_words:
-                out.append((d, i, n, -at[0], -at[1]))
-    return sorted(out)
-
-
-@pytest.mark.parametrize("seed, pool", [(1, 2), (2, 4), (3, 30), (4, 1)])
-def test_maximal_runs_are_brute_force(spark, seed, pool):
-    rng = random.Random(seed)
-    long = [f"common {rng.randrange(pool)}" for _ in range(25)]
-    rows = []
-    for d in range(24):
-        mine = [f"word {rng.randrange(pool)}" for _ in range(rng.randrange(12))]
-        if rng.random() < 0.5:
-            a = rng.randrange(20)
-            mine[len(mine) // 2 : len(mine) // 2] = long[a : a + rng.randrange(2, 25)]
-        rows.append((d, "\n".join([*mine, f"own {d}"])))
-    assert run_rows(spark, rows, 3) == brute_runs(rows, 3)
-
-
 def test_hot_keys_are_joined_whole(spark):
     from signalspark.llm.common import join_counted
 
