@@ -266,6 +266,8 @@ def step(page: dict | None, observed: dict) -> tuple[dict, dict[str, str], list[
         state[name], outcomes[name] = carried, "suppressed"
     kept = page if not observed.get("fetch_ok", True) or not observed.get("extractable", True) else observed
     facts = {k: kept.get(k) for k in ("extractor_version", "variant", "lang", "canonical", "origin")}
+    g["evidence"] = recovery(page, observed, read)
+    facts |= {"last_status": g["status"], "last_read": page.get("last_read") if g["status"] in ("error", "blocked") else read}
     return facts | {"state": state}, outcomes, events, g
 
 
@@ -300,11 +302,21 @@ def summary(name: str, event: dict) -> str:
     return text + (", a value that it had before" if event.get("oscillating") else "")
 
 
-def recovery(before: dict | None, outcomes: dict[str, str]) -> str | None:
-    """What a reading after failures shows: signals adopted again after they were suspect or unread."""
-    state = (before or {}).get("state", {})
-    back = sorted(n for n, o in outcomes.items() if o in ("unchanged", "changed", "acquisition-adopted") and (state.get(n) or {}).get("nulls", 0) + (state.get(n) or {}).get("suspect", 0) > 0)
-    return f"{', '.join(back)} read again" if back else None
+def recovery(before: dict, observed: dict, read: int) -> list[str]:
+    """What speaks for it that a value which appears was there all along, and the reading before was broken:
+    the page's structure had changed then, other rules read it, fewer signals could be read by
+    far, or another signal of the page was missing that has a value."""
+    found = []
+    if before.get("last_status") == "changed-structure":
+        found.append("the page's structure had changed at the last read")
+    if before.get("extractor_version") and observed.get("extractor_version") and before["extractor_version"] != observed["extractor_version"]:
+        found.append(f"the page was last read by version {before['extractor_version']}")
+    was = before.get("last_read")
+    if was is not None and read >= 3 and was < read * YIELD_RATIO:
+        found.append(f"the last read found {was} signals, this one {read}")
+    if any(s["nulls"] > 0 and s["value"] is not None for s in before.get("state", {}).values()):
+        found.append("another signal was missing at the last read")
+    return found
 
 
 OUTCOME_SCHEMA = "slug string, kind string, seq long, at string, status string, signal string, outcome string, change_type string, before_value string, after_value string, magnitude double, oscillating int, summary string"
@@ -361,11 +373,12 @@ def outcome_rows(key: tuple, rows: list[dict], page: dict | None) -> tuple[list[
                 page = after
             continue
         page, outcomes, events, g = step(page, observed)
+        evidence = "; ".join(g["evidence"]) or None
         page["pending"] = {n: observed["signals"][n] for n, o in outcomes.items() if o == "acquisition"}
         by_signal = {e["signal"]: e for e in events}
         for name, outcome in outcomes.items():
             e = by_signal.get(name, {})
-            out.append((*key, row["seq"], observed["at"], g["status"], name, outcome, e.get("change_type"), e.get("before_value"), e.get("after_value"), e.get("magnitude"), e.get("oscillating"), summary(name, e) if e else None))
+            out.append((*key, row["seq"], observed["at"], g["status"], name, outcome, e.get("change_type"), e.get("before_value"), e.get("after_value"), e.get("magnitude"), e.get("oscillating"), summary(name, e) if e else evidence if outcome.startswith("acquisition") else None))
     return out, page
 
 

@@ -176,8 +176,7 @@ def test_summaries():
     assert D.summary("headline", gone) == 'headline is gone; it was "a b"'
     state = D.step(None, page(1))[0]
     state = D.step(state, page(2, signals=page(2)["signals"] | {"headline": None}))[0]
-    _, outcomes, _, _ = D.step(state, page(3))
-    assert D.recovery(state, outcomes) == "headline read again"
+    assert D.step(state, page(3))[3]["evidence"] == ["another signal was missing at the last read"]
 
 
 def test_edit_distances():
@@ -227,3 +226,12 @@ def test_signals_that_are_not_known_are_left_out():
     observed = json.dumps(page(1, signals={"headline": read("x"), "shoe_size": read("44")}))
     out, state = D.outcome_rows(("s", "home"), [{"seq": 1, "observation": observed}], None)
     assert {(r[5], r[6]) for r in out} == {("headline", "baseline"), ("shoe_size", "unreadable")} and set(state["state"]) == {"headline"}
+
+
+def test_a_value_that_appears_tells_what_speaks_for_a_broken_read_before():
+    full = {n: read("v " + n) for n in ("headline", "subhead", "meta_title", "customer_logos", "proof_points")}
+    rows = lambda *signals: [{"seq": i, "observation": json.dumps(page(i, signals=full | s))} for i, s in enumerate(signals)]
+    told = lambda *signals: [r[12] for r in D.outcome_rows(("s", "home"), rows(*signals), None)[0] if r[5] == "subhead" and r[6].startswith("acquisition")]
+    assert told({"subhead": None}, {}) == [None]
+    assert told({"subhead": None}, {"subhead": None, "headline": None}, {}) == ["another signal was missing at the last read"]
+    assert told({"subhead": None}, {n: None for n in full}, {})[0].startswith("the page's structure had changed at the last read; the last read found 0 signals, this one 5")
