@@ -33,7 +33,7 @@ PERIOD = 7
 COVER = (1, 2, 4)  # fixed value: every residue modulo 7 is a difference of two of these
 
 #: Bytes of text that a part has, about: a task holds one part's text, whatever the size of the corpus.
-PART_BYTES = 16_000_000
+PART_BYTES = 10_000_000
 #: A bucket takes the hashes of so many parts' worth of text: it holds 6 to 20 bytes a hash and no text.
 PARTS_A_BUCKET = 8
 
