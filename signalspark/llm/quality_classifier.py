@@ -118,7 +118,8 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float =
     """Share of good text in ``unlabelled``, from features of positives and unlabelled text only.
 
     The ratio of the shares above a margin, at the margin where its upper confidence bound is
-    least; both halves take either part in turn, and their mean is taken.
+    least; both halves take either part in turn, and their mean is taken. Under 20 texts on either
+    side tell nothing, and give a half.
     """
     if min(len(positive), len(unlabelled)) < 20:
         return 0.5
