@@ -87,8 +87,8 @@ def released(spark: SparkSession) -> None:
 HOT_SHARE = 1000
 
 
-def join_counted(rows: DataFrame, keyed: DataFrame, key: list[str], n: str = "n") -> DataFrame:
-    """Inner join of ``rows`` with ``keyed``, whose keys are unique and whose column ``n``, which is
+def join_counted(rows: DataFrame, keyed: DataFrame, key: list[str], n: str = "n", how: str = "inner") -> DataFrame:
+    """Inner (or ``how="left"``) join of ``rows`` with ``keyed``, whose keys are unique and whose column ``n``, which is
     dropped, says how many of ``rows`` have each.
 
     A key of over a thousandth of all rows would be one long task; there are under a thousand
@@ -100,11 +100,11 @@ def join_counted(rows: DataFrame, keyed: DataFrame, key: list[str], n: str = "n"
     least = max(1000, total // HOT_SHARE)
     rest = keyed.drop(n)
     if most <= least:
-        return rows.join(rest, key)
+        return rows.join(rest, key, how)
     hot = F.broadcast(keyed.where(F.col(n) > least).drop(n))
     cold = keyed.where(F.col(n) <= least).drop(n)
     common = rows.join(hot, key)
-    return common.unionByName(rows.join(hot.select(*key), key, "left_anti").join(cold, key))
+    return common.unionByName(rows.join(hot.select(*key), key, "left_anti").join(cold, key, how))
 
 
 def words_of(text: Column) -> Column:

@@ -1,22 +1,23 @@
 """Removal of line runs that an earlier place in the corpus also has, by prefix doubling.
 
 Every document is a sequence of line ids (128-bit hashes of the stripped lines; blank lines are
-not part of it). Round k of the doubling ranks the suffixes by their first ``2**k`` lines: a
-rank is made from the two ranks of half its length, and named by the first place that has it,
-so equal ranks are one interval of the suffix array, whose longest common prefix is ``2**k`` lines
-at least, and the name is the interval's first position. Only suffixes in an interval of two or
-more go on to the next round; most lines are unique and leave at once.
-
-A repeated run has at least ``min_words`` words. It is the union of its shortest windows of that
-many words, counted on from each line and back from each line. The interval of such a window's
-lines, of a common prefix of just its length, is that of two overlapping ranks of the largest
-power of two, and it is an earlier copy's if the interval begins earlier. Deeper ranks can't
-change which lines go, so the doubling ends at the longest window. Windows whose first copies lie
-at one distance join into maximal runs, and these are what is deleted.
+not part of it). A sequence that equals an earlier document's is one whole run; the others make the
+suffix array. Round k of the doubling ranks the suffixes by their first ``2**k`` lines: a rank is made
+from the two ranks of half its length, and named by the first place that has it, so equal ranks are one
+interval of the suffix array. Only suffixes in an interval of two or more go on to the next round; most
+lines are unique and leave at once, and rounds are as many as the longest repeat has binary digits.
+
+Longest common prefixes come from the same ranks, from the highest power down: an interval of common
+prefix L is cut by the rank of ``2**j`` lines behind these L into intervals of ``L + 2**j``, and of each
+of these the first place also stays behind, for the shorter powers. So every suffix ends in the deepest
+interval that begins at an earlier place: its L lines are the longest run from there that stands
+earlier. The runs that the line before doesn't belong to as well are maximal; those of ``min_words``
+words are what is deleted.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import TEXTS, checkpointed, join_counted, read_spread
+from .common import TEXTS, checkpoint_folder, checkpointed, join_counted, read_spread
 
 _AT = ["doc_id", "version", "i"]
 
@@ -35,9 +36,10 @@ def _signed(x: int) -> int:
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """A row for each line with a word: place, 128-bit id, and the lengths of the shortest
-    windows of ``min_words`` words on from it and back from it (0: none)."""
-    fields = [("doc_id", pa.int64()), ("version", pa.int64()), ("i", pa.int32()), ("h", pa.int64()), ("g", pa.int64()), ("ahead", pa.int32()), ("back", pa.int32())]
+    """A row for each line with a word: place, 128-bit id, how many lines on from it have ``min_words``
+    words (0: there are too few), and the number of the document's lines; a document's first line has the
+    128-bit id of the whole sequence too."""
+    fields = [("doc_id", pa.int64()), ("version", pa.int64()), ("i", pa.int32()), ("h", pa.int64()), ("g", pa.int64()), ("ahead", pa.int32()), ("lines", pa.int32()), ("all_h", pa.int64()), ("all_g", pa.int64())]
     schema = pa.schema(fields)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,12 +49,14 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
                 lines = [s for s in map(bytes.strip, text.encode().split(b"\n")) if s]
                 words = np.cumsum([0, *(len(s.split()) for s in lines)])
                 n = len(lines)
+                if not n:
+                    continue
                 ahead = np.searchsorted(words, words[:-1] + min_words) - np.arange(n)
                 ahead[ahead > n - np.arange(n)] = 0
-                back = np.arange(1, n + 1) - (np.searchsorted(words, words[1:] - min_words, side="right") - 1)
-                back[words[1:] < min_words] = 0
                 ids = [xxhash.xxh3_128_intdigest(s) for s in lines]
-                cells = ([doc_id] * n, [version] * n, range(n), [_signed(x >> 64) for x in ids], [_signed(x & (1 << 64) - 1) for x in ids], ahead, back)
+                whole, none = xxhash.xxh3_128_intdigest(b"\n".join(lines)), [None] * (n - 1)
+                high, low = ([_signed(x >> 64) for x in ids], [_signed(x & (1 << 64) - 1) for x in ids])
+                cells = ([doc_id] * n, [version] * n, range(n), high, low, ahead, [n] * n, [_signed(whole >> 64), *none], [_signed(whole & (1 << 64) - 1), *none])
                 for column, values in zip(out, cells, strict=True):
                     column.extend(values)
                 if len(out[0]) > 100_000:
@@ -60,54 +64,105 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
                     out = [[] for _ in fields]
             yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(out, fields, strict=True)], schema=schema)
 
-    return docs.mapInArrow(rows, "doc_id long, version long, i int, h long, g long, ahead int, back int")
-
-
-def _ranked(places: DataFrame, key: list[str], keep: list[str]) -> DataFrame:
-    """``keep`` and ``rank``, the first place with the same key, of places whose key recurs."""
-    first = checkpointed(places.groupBy(key).agg(F.min(F.struct(_AT)).alias("rank"), F.count("*").alias("n")).where("n > 1"))
-    return join_counted(places, first, key).select(*keep, "rank")
-
-
-def _repeated_windows(lines: DataFrame) -> DataFrame:
-    """``(doc_id, version, i, length, rank)`` of windows that also begin at an earlier place, the
-    first of which is ``rank``."""
-    ranks = checkpointed(_ranked(lines, ["h", "g"], [*_AT, "ahead", "back"]))
-    ends = F.array(F.struct(F.col("i").alias("i"), F.col("ahead").alias("length")), F.struct((F.col("i") - F.col("back") + 1).alias("i"), F.col("back").alias("length")))
-    windows = ranks.select("doc_id", "version", F.explode(ends).alias("w")).select("doc_id", "version", "w.*").where("length > 0").distinct()
-    longest = ranks.agg(F.max(F.greatest("ahead", "back"))).first()[0] or 0
-    ranks = ranks.select(*_AT, "rank")
-    found, size = None, 1
-    while size <= longest:
-        mine = windows.where((F.col("length") >= size) & (F.col("length") < 2 * size))
-        head = mine.join(ranks.withColumnRenamed("rank", "head"), _AT)
-        tail = ranks.select("doc_id", "version", F.col("i").alias("end"), F.col("rank").alias("tail"))
-        both = checkpointed(head.withColumn("end", F.col("i") + F.col("length") - size).join(tail, ["doc_id", "version", "end"]))
-        repeated = _ranked(both, ["length", "head", "tail"], [*_AT, "length"]).where(F.col("rank") < F.struct(_AT))
-        found = repeated if found is None else found.union(repeated)
-        if 2 * size <= longest:
-            tail = ranks.select("doc_id", "version", (F.col("i") - size).alias("i"), F.col("rank").alias("tail"))
-            pairs = checkpointed(ranks.withColumnRenamed("rank", "head").join(tail, _AT))
-            ranks = checkpointed(_ranked(pairs, ["head", "tail"], _AT))
-        size *= 2
-    return windows.limit(0).withColumn("rank", F.struct(_AT)) if found is None else found
+    return docs.mapInArrow(rows, "doc_id long, version long, i int, h long, g long, ahead int, lines int, all_h long, all_g long")
+
+
+class _Scratch:
+    """Tables in the shared folder that are written once and read again, so that no plan, and nothing
+    that the optimiser knows of it, grows with the rounds. All of them go when the work is done."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.tables = spark, 0
+        self.folder = f"{checkpoint_folder(spark)}/lines-{uuid.uuid4().hex}"
+
+    def write(self, rows: DataFrame) -> DataFrame:
+        self.tables += 1
+        path = f"{self.folder}/{self.tables}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def __enter__(self) -> _Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _copies(lines: DataFrame) -> DataFrame:
+    """``(doc_id, version, lines, ahead, first)``: documents of the same sequence as an earlier one, the
+    first such place, and whether it has words enough (``ahead``)."""
+    whole = lines.where("i = 0").select("doc_id", "version", "all_h", "all_g", "lines", "ahead").distinct()
+    first = whole.groupBy("all_h", "all_g").agg(F.min(F.struct("doc_id", "version")).alias("earliest"), F.count("*").alias("n")).where("n > 1")
+    place = F.struct("earliest.doc_id", "earliest.version", F.lit(0).alias("i")).alias("first")
+    found = join_counted(whole, first, ["all_h", "all_g"])
+    return found.where(F.col("earliest") != F.struct("doc_id", "version")).select("doc_id", "version", "lines", "ahead", place)
+
+
+def _levels(lines: DataFrame, scratch: _Scratch) -> list[DataFrame]:
+    """``(doc_id, version, i, rank, next)`` by level: places whose first ``2**level`` lines recur, the first
+    place of these, and that of twice as many lines, where these recur too."""
+    first = scratch.write(lines.groupBy("h", "g").agg(F.min(F.struct(_AT)).alias("rank"), F.count("*").alias("n")).where("n > 1"))
+    current = scratch.write(join_counted(lines, first, ["h", "g"]).select(*_AT, "rank").distinct())
+    levels: list[DataFrame] = []
+    while True:
+        size = 1 << len(levels)
+        behind = Window.partitionBy("doc_id", "version").orderBy("i").rangeBetween(size, size)
+        pairs = scratch.write(current.select(*_AT, "rank", F.first("rank").over(behind).alias("tail")))
+        ended, paired = pairs.where("tail is null"), pairs.where("tail is not null")
+        groups = scratch.write(paired.groupBy("rank", "tail").agg(F.min(F.struct(_AT)).alias("next"), F.count("*").alias("n")).where("n > 1"))
+        none = F.lit(None).cast(groups.schema["next"].dataType).alias("next")
+        if groups.isEmpty():
+            return [*levels, current.select(*_AT, "rank", none)]
+        longer = join_counted(paired, groups, ["rank", "tail"], how="left").select(*_AT, "rank", "next")
+        levels.append(scratch.write(longer.unionByName(ended.select(*_AT, "rank", none))))
+        current = levels[-1].where("next is not null").select(*_AT, F.col("next").alias("rank"))
+
+
+def _begun(levels: list[DataFrame], level: int) -> DataFrame:
+    """``(doc_id, version, i, length, first)``: the intervals of ``2**level`` lines, of each longer interval
+    inside one only the first place."""
+    stays = F.col("next").isNull() | (F.col("next") == F.struct(_AT))
+    return levels[level].where(stays).select(*_AT, F.lit(1 << level).alias("length"), F.col("rank").alias("first"))
+
+
+def _longest_repeats(levels: list[DataFrame], scratch: _Scratch) -> DataFrame:
+    """``(doc_id, version, i, length, first)``: for each place whose line also stands earlier the longest
+    run from it on that does, and that run's first place."""
+    open_ = _begun(levels, len(levels) - 1)
+    for level in range(len(levels) - 2, -1, -1):
+        behind = levels[level].select("doc_id", "version", F.col("i").alias("at"), F.col("rank").alias("behind"))
+        cut = scratch.write(open_.withColumn("at", F.col("i") + F.col("length")).join(behind, ["doc_id", "version", "at"], "left").drop("at"))
+        ended, going = cut.where("behind is null"), cut.where("behind is not null")
+        key = ["length", "first", "behind"]
+        groups = scratch.write(going.groupBy(key).agg(F.min(F.struct(_AT)).alias("least"), F.count("*").alias("n")).where("n > 1"))
+        # a place that isn't the first of its longer interval goes on in that only, the first in both
+        stays = F.when(F.col("least").isNull() | (F.col("least") == F.struct(_AT)), F.struct("length", "first"))
+        goes = F.when(F.col("least").isNotNull(), F.struct((F.col("length") + (1 << level)).alias("length"), F.col("least").alias("first")))
+        gone_on = join_counted(going, groups, key, how="left").select(*_AT, F.explode(F.array_compact(F.array(stays, goes))).alias("to")).select(*_AT, "to.length", "to.first")
+        open_ = scratch.write(gone_on.unionByName(ended.drop("behind"))).unionByName(_begun(levels, level))
+    return open_.where(F.col("first") != F.struct(_AT)).groupBy(*_AT).agg(F.max("length").alias("length"), F.max_by("first", "length").alias("first"))
 
 
 def repeated_runs(lines: DataFrame) -> DataFrame:
-    """``(doc_id, version, i, length, first)``: maximal runs of ``length`` lines from line ``i`` on
-    that also stand earlier, ``first`` being the first place that the run's beginning stands at.
+    """``(doc_id, version, i, length, first)``: maximal runs of ``length`` lines from line ``i`` on that also
+    stand earlier and have words enough, ``first`` being the first place that the whole run stands at.
 
-    Windows of one document whose first copies are in one document, at one distance, and which
-    overlap or touch are one run.
+    A run is maximal if neither it with the line before nor it with the line after stands earlier as
+    one. No lines give no runs.
     """
-    windows = _repeated_windows(lines).withColumn("shift", F.col("i") - F.col("rank.i"))
-    same = Window.partitionBy("doc_id", "version", "rank.doc_id", "rank.version", "shift").orderBy("i", "length")
-    reach = F.max(F.col("i") + F.col("length")).over(same.rowsBetween(Window.unboundedPreceding, -1))
-    begins = windows.withColumn("new", (reach.isNull() | (reach < F.col("i"))).cast("int"))
-    numbered = begins.withColumn("run", F.sum("new").over(same))
-    runs = numbered.groupBy("doc_id", "version", F.col("rank.doc_id").alias("d"), F.col("rank.version").alias("v"), "shift", "run")
-    whole = runs.agg(F.min("i").alias("i"), F.max(F.col("i") + F.col("length")).alias("end"), F.min("rank").alias("first"))
-    return whole.select("doc_id", "version", "i", (F.col("end") - F.col("i")).alias("length"), "first")
+    with _Scratch(lines.sparkSession) as scratch:
+        lines = scratch.write(lines)
+        copies = scratch.write(_copies(lines))
+        own = scratch.write(lines.join(copies.select("doc_id", "version"), ["doc_id", "version"], "left_anti").select(*_AT, "h", "g", "ahead"))
+        runs = _longest_repeats(_levels(own, scratch), scratch)
+        order = Window.partitionBy("doc_id", "version").orderBy("i")
+        before = F.when(F.lag("i").over(order) == F.col("i") - 1, F.lag("length").over(order))
+        maximal = runs.withColumn("maximal", F.coalesce(before <= F.col("length"), F.lit(True))).where("maximal").drop("maximal")
+        enough = own.where("ahead > 0").select(*_AT, "ahead").distinct()
+        found = maximal.join(enough, _AT).where("length >= ahead").drop("ahead")
+        whole = copies.where("ahead > 0").select("doc_id", "version", F.lit(0).alias("i"), F.col("lines").alias("length"), "first")
+        return checkpointed(found.unionByName(whole))
 
 
 def _kept(text: Column, windows: Column) -> Column:
@@ -149,8 +204,7 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     docs = docs.drop("n_lines", "removed_lines")
     version = F.xxhash64("text")
     named = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), version.alias("version"), "text")
-    lines = checkpointed(_lines(named, min_words).distinct())
-    spans = repeated_runs(lines).groupBy("doc_id", "version").agg(F.collect_set(F.struct("i", "length")).alias("__spans")).withColumnsRenamed({"doc_id": "__id", "version": "__version"})
+    spans = repeated_runs(_lines(named, min_words)).groupBy("doc_id", "version").agg(F.collect_set(F.struct("i", "length")).alias("__spans")).withColumnsRenamed({"doc_id": "__id", "version": "__version"})
     joined = docs.join(spans, (F.col("doc_id").cast("long") == F.col("__id")) & (version == F.col("__version")), "left")
     done = joined.withColumn("__cut", _kept(F.col("text"), F.col("__spans")))
     return done.select(*(F.col("__cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), "__cut.n_lines", "__cut.removed_lines")

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from collections import defaultdict
@@ -178,6 +179,58 @@ def test_runs_are_maximal(spark):
     assert sorted((r["doc_id"], r["i"], r["length"], r["first"]["doc_id"], r["first"]["i"]) for r in runs) == [(2, 0, 40, 1, 1), (3, 1, 30, 1, 11), (4, 0, 1, 1, 1)]
 
 
+def brute_runs(rows, min_words=5):
+    """Maximal runs by comparing every two places: (doc_id, i, length, first place)."""
+    lines = {d: [s.strip() for s in t.split("\n") if s.strip()] for d, t in rows}
+    places = sorted((d, i) for d, mine in lines.items() for i in range(len(mine)))
+
+    def common(a, b):
+        n = 0
+        while a[1] + n < len(lines[a[0]]) and b[1] + n < len(lines[b[0]]) and lines[a[0]][a[1] + n] == lines[b[0]][b[1] + n]:
+            n += 1
+        return n
+
+    longest = {}
+    for k, place in enumerate(places):
+        lengths = [common(place, earlier) for earlier in places[:k]]
+        most = max(lengths, default=0)
+        longest[place] = (most, places[lengths.index(most)] if most else None)
+    found = []
+    for (d, i), (n, first) in longest.items():
+        if n and longest.get((d, i - 1), (0, None))[0] <= n and sum(len(s.split()) for s in lines[d][i : i + n]) >= min_words:
+            found.append((d, i, n, *first))
+    return sorted(found)
+
+
+def found_runs(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) as version", "text")
+    runs = line_dedup.repeated_runs(line_dedup._lines(docs, 5)).collect()
+    return sorted((r["doc_id"], r["i"], r["length"], r["first"]["doc_id"], r["first"]["i"]) for r in runs)
+
+
+def test_runs_of_several_sources_are_whole(spark):
+    rows = [(1, "a a\nb b\nc c\nx"), (2, "a a\nb b\nc c\nd\ne\nf f"), (3, "y\na a\nb b\nc c\nd\ne\nf f")]
+    assert found_runs(spark, rows) == [(2, 0, 3, 1, 0), (3, 1, 6, 2, 0)] == brute_runs(rows)
+
+
+def test_runs_are_brute_force(spark):
+    rng = random.Random(11)
+    pool = ["a", "b", "c d", "e f g", "h i j k l m"]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for i in range(30)]
+    long = [rng.choice(pool) for _ in range(45)]
+    rows += [(30, "\n".join(long)), (31, "\n".join(long)), (32, "\n".join([*long[:20], "z", *long[20:]])), (33, "\n".join(["a"] * 25)), (34, "z\n" + "\n".join(long[7:]))]
+    assert found_runs(spark, rows) == brute_runs(rows)
+    assert found_runs(spark, [*rows, rows[3], rows[31]]) == brute_runs(rows)
+
+
+def test_scratch_tables_go(spark):
+    from signalspark.llm.common import checkpoint_folder
+
+    before = set(os.listdir(checkpoint_folder(spark).removeprefix("file:")))
+    found_runs(spark, [(1, "a b c d e"), (2, "a b c d e\nf")])
+    assert not [f for f in set(os.listdir(checkpoint_folder(spark).removeprefix("file:"))) - before if f.startswith("lines-")]
+
+
 def test_hot_keys_are_joined_whole(spark):
     from signalspark.llm.common import join_counted
 
@@ -186,6 +239,8 @@ def test_hot_keys_are_joined_whole(spark):
     found = join_counted(rows, keyed, ["k", "j"])
     assert keyed.agg(F.max("n")).first()[0] > 1000 and sorted(found.columns) == ["id", "j", "k", "m"]
     assert by_rows(found.select("id", "k", "j", "m")) == by_rows(rows.join(keyed.drop("n"), ["k", "j"]).select("id", "k", "j", "m"))
+    every = join_counted(rows, keyed, ["k", "j"], how="left").select("id", "k", "j", F.coalesce("m", F.lit(-1)))
+    assert by_rows(every) == by_rows(rows.join(keyed.drop("n"), ["k", "j"], "left").select("id", "k", "j", F.coalesce("m", F.lit(-1))))
 
 
 def test_lines_of_odd_rows(odd, none):
