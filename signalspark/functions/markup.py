@@ -7,7 +7,6 @@ not one for each opening.
 
 from __future__ import annotations
 
-import html
 import json
 import re
 from collections.abc import Iterator
@@ -21,6 +20,7 @@ MOST_CHARS = 1_200_000
 #: Content of an element that is never closed, and of any element, at most.
 OPEN_CHARS, INNER_CHARS = 2_000, 24_000
 _TAG = re.compile(r"<[^<>]*>")
+_ENTITY = re.compile(r"&(#x?[0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]{1,10});")
 _ATTR = re.compile(r"([\w:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -42,10 +42,26 @@ def collapsed(text: str) -> str:
     return " ".join(text.split())
 
 
+def _character(m: re.Match[str]) -> str:
+    body = m[1]
+    if body[0] != "#":
+        return V.ENTITIES.get(body.lower(), m[0])
+    digits = body[2:] if body[1] == "x" else re.match("[0-9]*", body[1:])[0]
+    number = int(digits[-40:], 16 if body[1] == "x" else 10) if digits else 0x110000
+    if len(digits.lstrip("0")) > 7 or number > 0x10FFFF:
+        return m[0]
+    return "\ufffd" if 0xD800 <= number <= 0xDFFF else chr(number)
+
+
+def decoded(text: str) -> str:
+    """``text`` with the named entities of ``V.ENTITIES`` and numeric ones as characters; others stay."""
+    return _ENTITY.sub(_character, text) if "&" in text else text
+
+
 def plain(markup: str) -> str:
     """The text of a fragment: tags are spaces, entities are decoded, white space is collapsed."""
     text = _TAG.sub(" ", markup)
-    return collapsed(html.unescape(text) if "&" in text else text)
+    return collapsed(decoded(text))
 
 
 def clipped(text: str | None, most: int) -> str | None:
@@ -165,7 +181,7 @@ class Element:
         if self._attributes is None:
             found: dict[str, str] = {}
             for m in _ATTR.finditer(self.raw):
-                found.setdefault(m[1].lower(), html.unescape(next((v for v in m.groups()[1:] if v is not None), "")))
+                found.setdefault(m[1].lower(), decoded(next((v for v in m.groups()[1:] if v is not None), "")))
             self._attributes = found
         return self._attributes
 

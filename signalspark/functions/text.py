@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vocabulary import ENTITIES
+
 # Words that headline counts leave out.
 STOPWORDS = (
     "about above after again against ain all and any are aren been before being below between both but can couldn did "
@@ -86,18 +88,46 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s\x{a0}\x{2007}\x{202f}\x{2009}\x{200a}\x{200b}\x{200c}\x{200d}\x{feff}]+", " "))
 
 
+def decode_entities(text: Column) -> Column:
+    """``text`` with the named entities of ``ENTITIES`` and numeric ones as characters, each decoded once.
+
+    Case of a name is free; what is no entity, has another name or a number beyond U+10FFFF stays.
+    The number of half a surrogate pair gives U+FFFD. Null stays null.
+    """
+    names = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+
+    def code(body: Column) -> Column:
+        # digits after leading zeros: six hexadecimal or seven decimal ones at most are a code point
+        hexed, decimal = F.regexp_extract(body, "^#x0*([0-9a-fA-F]*)$", 1), F.regexp_extract(body, "^#0*([0-9]*)", 1)
+        number = F.when(body.startswith("#x") & (F.length(hexed) <= 6), F.conv(F.concat(F.lit("0"), hexed), 16, 10).cast("long"))
+        return number.when(body.rlike("^#[0-9]") & (F.length(decimal) <= 7), F.concat(F.lit("0"), decimal).cast("long"))
+
+    def character(number: Column) -> Column:
+        known = F.when(number.between(0xD800, 0xDFFF), F.lit(0xFFFD)).when(number <= 0x10FFFF, number)
+        return F.decode(F.unhex(F.lpad(F.hex(known), 8, "0")), "UTF-32")
+
+    def decoded(part: Column) -> Column:
+        """A part that stood behind an ampersand."""
+
+        def of(body: Column) -> Column:
+            char = F.when(body.startswith("#"), character(code(body))).when(body != "", F.try_element_at(names, F.lower(body)))
+            return _let(char, lambda c: F.when(c.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(c, F.substring(part, F.length(body) + 2, F.length(part)))))
+
+        return _let(F.regexp_extract(part, "^(#x?[0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]{1,10});", 1), of)
+
+    whole = lambda t: F.array_join(F.transform(F.split(t, "&"), lambda p, i: F.when(i == 0, p).otherwise(decoded(p))), "")
+    return _let(text, lambda t: F.when(t.contains("&"), whole(t)).otherwise(t))
+
+
 def plain_text(html: Column) -> Column:
-    """Text of markup: code and tags out, the commonest entities decoded, white space collapsed."""
+    """Text of markup: code and tags out, entities decoded, white space collapsed."""
     return text_of(strip_code(html))
 
 
 def text_of(stripped: Column) -> Column:
     """The same of markup whose code is out already. Where a row's stripped markup is used more than
     once, it should be a column of its own, which is then made once."""
-    out = F.regexp_replace(stripped, r"<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return collapse(out)
+    return collapse(decode_entities(F.regexp_replace(stripped, r"<[^>]*>", " ")))
 
 
 def canonical(text: Column) -> Column:

@@ -197,3 +197,10 @@ def literal_start(phrase: str) -> str:
 
 def any_of(phrases, flags: int = re.I) -> Phrases:
     return Phrases(phrases, flags)
+
+# The named entities that are decoded; others stay as they are.
+ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "hellip": "…", "lsquo": "‘", "rsquo": "’",
+    "ldquo": "“", "rdquo": "”", "trade": "™", "reg": "®", "copy": "©", "middot": "·", "bull": "•", "deg": "°", "euro": "€", "pound": "£", "yen": "¥",
+    "cent": "¢", "times": "×", "divide": "÷", "laquo": "«", "raquo": "»", "shy": "", "zwnj": "", "zwj": "", "thinsp": " ", "ensp": " ", "emsp": " ",
+}

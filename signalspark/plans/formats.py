@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fetching, formats
 from ..operators import series
-from ..registry import query, table
+from ..registry import ORACLES, query, table
 from .insights import _FIELDS_SQL, _HITS_SQL, _PLANS_SQL, _TERMS_SQL, ai_answers, pricing_shape
-from .readmodels import _CUSTOMERS_SQL, _QUEUE_SQL, _health
+from .readmodels import _CUSTOMERS_SQL, _QUEUE_SQL, _health, carriers_and_absent
 from .series import _OBS_SQL, _observations
 
 
@@ -28,10 +28,15 @@ def formatted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("WITH s(share) AS (SELECT i / 100 FROM range(101) t(i)) SELECT share, CASE WHEN share >= 0.9 THEN 'nearly every page' WHEN share >= 0.66 THEN 'most pages' WHEN share >= 0.45 THEN 'about half of pages' WHEN share >= 0.3 THEN 'about a third of pages' ELSE 'a minority of pages' END AS words FROM s")
+@query(
+    f"""WITH counted AS ({ORACLES["carriers_and_absent"]}), s AS (SELECT role, carriers / (carriers + absent) AS share FROM counted WHERE carriers + absent > 0)
+SELECT role, share, CASE WHEN share >= 0.9 THEN 'nearly every page' WHEN share >= 0.66 THEN 'most pages' WHEN share >= 0.45 THEN 'about half of pages' WHEN share >= 0.3 THEN 'about a third of pages' ELSE 'a minority of pages' END AS words FROM s"""
+)
 def prevalence_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shares = spark.range(101).select((F.col("id") / 100).alias("share"))
-    return shares.select("share", formats.prevalence_words(F.col("share")).alias("words"))
+    """What share of conversations has a turn of each role, in words."""
+    counted = carriers_and_absent(spark, sf_dir).where("carriers + absent > 0")
+    shares = counted.select("role", (F.col("carriers") / (F.col("carriers") + F.col("absent"))).alias("share"))
+    return shares.select("role", "share", formats.prevalence_words(F.col("share")).alias("words"))
 
 
 @query(

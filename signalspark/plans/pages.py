@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.vocabulary import ENTITIES
 from ..operators import positioning, series
 from ..registry import query, table
 
@@ -17,11 +18,21 @@ _STRIP_SQL = """stripped AS (
 _SPACE = r"[\s\x{a0}\x{2007}\x{202f}\x{2009}\x{200a}\x{200b}\x{200c}\x{200d}\x{feff}]+"
 
 
+_NAMES_SQL = "MAP {" + ", ".join(f"'{k}': '{v.replace(chr(39), chr(39) * 2)}'" for k, v in ENTITIES.items()) + "}"
+
+
+def _decoded_sql(value: str) -> str:
+    """SQL of ``T.decode_entities`` for numbers of at most six digits."""
+    body = "regexp_extract(p, '^(#x?[0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]{1,10});', 1)"
+    number = f"CASE WHEN {body} LIKE '#x%' THEN TRY_CAST('0' || {body}[2:] AS BIGINT) ELSE TRY_CAST(regexp_extract({body}, '^#([0-9]+)', 1) AS BIGINT) END"
+    char = f"CASE WHEN {body} LIKE '#%' THEN chr(CAST(CASE WHEN {number} BETWEEN 1 AND 1114111 THEN {number} END AS INTEGER)) WHEN {body} <> '' THEN {_NAMES_SQL}[lower({body})] END"
+    part = f"coalesce({char} || p[length({body}) + 2:], '&' || p)"
+    return f"array_to_string(list_transform(string_split({value}, '&'), lambda p, i: CASE WHEN i = 1 THEN p ELSE {part} END), '')"
+
+
 def _plain_sql(value: str) -> str:
     """SQL of ``T.plain_text`` past the code."""
-    out = f"regexp_replace({value}, '<[^>]*>', ' ', 'g')"
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
-        out = f"replace({out}, '{entity}', '{char}')"
+    out = _decoded_sql(f"regexp_replace({value}, '<[^>]*>', ' ', 'g')")
     return f"trim(regexp_replace({out}, '{_SPACE}', ' ', 'g'))"
 
 
@@ -36,6 +47,12 @@ def stripped_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stripped(spark, sf_dir).select("page_id", F.length(h).cast("long").alias("n_chars"), F.length(T.text_of(h)).cast("long").alias("n_text"))
 
 
+@query(f"SELECT page_id, md5({_decoded_sql('html')}) AS decoded_md5 FROM pages")
+def decoded_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.md5(T.decode_entities(F.col("html")).cast("binary")).alias("decoded_md5"))
+
+
 @query(
     f"""WITH {_STRIP_SQL}
 SELECT page_id, nullif({_plain_sql("regexp_extract(h, '(?is)<title[^>]*>(.*?)</title', 1)")}, '') AS title,

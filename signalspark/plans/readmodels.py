@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import insights, readmodels, series
-from ..registry import query, table
+from ..registry import ORACLES, query, table
 from .insights import _FIELDS, _FIELDS_SQL, _HITS_SQL, _PLANS_SQL, _TERMS_SQL, fields_of, plans_of
 from .series import KEYS, _OBS_SQL, _observations, _retractions
 
@@ -93,10 +93,13 @@ def _health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readmodels.company_health(companies, queue, suspects, changes, "slug", F.col("cutoff"))
 
 
-@query("SELECT * FROM (VALUES ('blocked', 1), ('stale', 2), ('structure-changed', 3), ('error', 4), ('origin-shift', 5), ('degraded', 6), ('pending', 7), ('ok', 8)) t(state, place)")
+@query(
+    f"""WITH places(state, place) AS (VALUES ('blocked', 1), ('stale', 2), ('structure-changed', 3), ('error', 4), ('origin-shift', 5), ('degraded', 6), ('pending', 7), ('ok', 8))
+SELECT h.slug, h.state, p.place FROM ({ORACLES["company_health"]}) h LEFT JOIN places p ON h.state = p.state"""
+)
 def health_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = spark.createDataFrame([(s,) for s in sorted(readmodels.HEALTH_ORDER)], "state string")
-    return states.select("state", readmodels.health_order(F.col("state")).cast("int").alias("place"))
+    """Each company's place among the worst first."""
+    return _health(spark, sf_dir).select("slug", "state", readmodels.health_order(F.col("state")).cast("int").alias("place"))
 
 
 @query(
