@@ -38,10 +38,16 @@ def scale(rows: DataFrame, column: str) -> DataFrame:
     return ordering.quantiles(rows.where(F.col(column).isNotNull()), column, {"p25": 0.25, "median": 0.5, "p75": 0.75})
 
 
+def first_places(items: DataFrame, key: str, position: str, symbol: str, size: str) -> DataFrame:
+    """``(key, symbol, position, size)`` of each symbol's first place in a sequence."""
+    first = items.groupBy(key, symbol).agg(F.min_by(F.struct(position, size), F.col(position)).alias("f"))
+    return first.select(key, symbol, F.col(f"f.{position}").alias(position), F.col(f"f.{size}").alias(size))
+
+
 def archetype(items: DataFrame, key: str, position: str, symbol: str, size: str, floor: float = 0.15) -> DataFrame:
     """``(symbol, carriers, share, position, size)`` of symbols that enough sequences carry, by
     each one's first place there; medians are true ones."""
-    first = items.groupBy(key, symbol).agg(F.min_by(F.struct(position, size), F.col(position)).alias("f")).select(key, symbol, F.col(f"f.{position}").alias(position), F.col(f"f.{size}").alias(size))
+    first = first_places(items, key, position, symbol, size)
     total = items.agg(F.countDistinct(key).alias("total"))
     counted = first.groupBy(symbol).agg(F.count("*").alias("carriers"), M.true_median(position).alias("position"), M.true_median(size).alias("size"))
     share = F.floor(F.col("carriers") * 1000 / F.col("total") + 0.5) / 1000

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats, measures as M
 from ..sources.tables import checkpointed
-from . import comparison, ordering
+from . import comparison, ordering, readmodels, sequences
 from .insights import COLLATION
 
 #: Measures of a page as columns of its strip (``sequence, sections, words``): a registry to add to.
@@ -120,6 +120,34 @@ def examples(items: DataFrame, page: str, symbol: str, most: int = 12) -> DataFr
     return first.groupBy(symbol).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", page))), lambda x: x[page].cast("string")), ",").alias("examples"))
 
 
+def archetype_bands(
+    items: DataFrame, page: str, name: str, position: str, symbol: str, size: str, vocabulary: list[str], pinned: str = "hero", unnamed: str = "other", floor: float = 0.15, most: int = 10
+) -> DataFrame:
+    """``(symbol, carriers, absent, share, position, size, place, breakers, omitted)`` of each type that a page has.
+
+    ``place`` is the band's in the composite page: the pinned type is first and always there, the others go by their
+    typical position, then the commoner first; null for those too few pages carry. ``breakers`` are the first names of
+    the pages that differ from most: those without a type that half of the pages carry, else those with it;
+    ``omitted`` is how many more there are. The unnamed type is none. No pages give no rows.
+    """
+    kinds = [v for v in vocabulary if v != unnamed]
+    named = items.where(F.col(symbol).isin(*kinds))
+    order = [F.collate(F.col(name), COLLATION), F.col(page)]
+    counted = readmodels.carriers_and_absent(items, items.select(page, name), page, name, symbol, kinds, most).where("carriers > 0")
+    middle = sequences.first_places(named, page, position, symbol, size).groupBy(symbol).agg(M.true_median(position).alias("position"), M.true_median(size).alias("size"))
+    carriers = ordering.first_of(named.select(page, name, symbol).distinct(), [symbol], name, order, most)
+    exact = F.col("carriers") / (F.col("carriers") + F.col("absent"))
+    rows = counted.join(middle, symbol).join(carriers, symbol).withColumn("share", formats.rounded(exact, 3))
+    rows = rows.withColumn("shown", (exact >= floor) | (F.col(symbol) == pinned))
+    # a row a type: the window holds no more than the vocabulary
+    place = F.row_number().over(Window.partitionBy("shown").orderBy(F.col(symbol) != pinned, "position", F.desc("share"), F.collate(F.col(symbol), COLLATION)))
+    usual = F.col("share") >= 0.5
+    return rows.select(
+        symbol, "carriers", "absent", "share", "position", "size", F.when(F.col("shown"), place).alias("place"), F.when(usual, F.col("missing")).otherwise(F.array_join("first", ", ")).alias("breakers"),
+        F.greatest(F.when(usual, F.col("absent")).otherwise(F.col("carriers")) - most, F.lit(0)).cast("long").alias("omitted"),
+    )
+
+
 def stacked(parts: DataFrame, group: str, order: str, n: str) -> DataFrame:
     """``(..., width, offset)``: widths of a stacked bar's parts in percent of their group, and where each begins."""
     w = Window.partitionBy(group)

@@ -138,6 +138,20 @@ def archetype_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.examples(_turns(spark, sf_dir), "conv_id", "role")
 
 
+@query(
+    f"""WITH {_TYPED_SQL}, pages AS (SELECT DISTINCT conv_id FROM conversations), f AS (SELECT conv_id, type, min(turn) AS turn, arg_min(size, turn) AS size FROM typed WHERE type <> 'other' GROUP BY ALL),
+c AS (SELECT type, count(*) AS carriers, (SELECT count(*) FROM pages) AS total, median(turn)::DOUBLE AS position, median(size)::DOUBLE AS size FROM f GROUP BY type),
+s AS (SELECT *, floor(carriers * 1000 / total + 0.5) / 1000 AS share, carriers / total >= 0.15 OR type = 'system' AS shown FROM c),
+b AS (SELECT s.type, p.conv_id, row_number() OVER (PARTITION BY s.type ORDER BY p.conv_id) AS k FROM s, pages p WHERE (s.share >= 0.5) <> EXISTS (SELECT 1 FROM f WHERE f.type = s.type AND f.conv_id = p.conv_id)),
+l AS (SELECT type, count(*) AS n, string_agg(printf('c%08d', conv_id), ', ' ORDER BY k) FILTER (WHERE k <= 10) AS breakers FROM b GROUP BY type)
+SELECT s.type, carriers, total - carriers AS absent, share, position, size, CASE WHEN shown THEN row_number() OVER (PARTITION BY shown ORDER BY s.type <> 'system', position, share DESC, s.type) END AS place,
+  coalesce(breakers, '') AS breakers, greatest(coalesce(n, 0) - 10, 0)::BIGINT AS omitted FROM s LEFT JOIN l ON s.type = l.type"""
+)
+def archetype_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = _typed(spark, sf_dir).withColumn("name", F.format_string("c%08d", "conv_id"))
+    return structure.archetype_bands(typed, "conv_id", "name", "turn", "type", "size", [*ROLES, "other"], pinned="system")
+
+
 @query(
     """WITH n AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL)
 SELECT lang, source, n, floor(n * 100 / sum(n) OVER (PARTITION BY lang) * 100 + 0.5) / 100 AS width, floor(coalesce(sum(n) OVER (PARTITION BY lang ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 100 / sum(n) OVER (PARTITION BY lang) * 100 + 0.5) / 100 AS "offset" FROM n"""
