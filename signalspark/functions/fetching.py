@@ -51,15 +51,39 @@ def hash_json(value: Column) -> Column:
     return fnv1a(F.to_json(value, {"ignoreNullFields": "false"}))
 
 
+def _followed(path: Column) -> Column:
+    """A path, which begins with a slash, without dot segments."""
+    parts = F.split(F.substring(path, 2, F.length(path)), "/")
+    here, up = (lambda s: F.lower(s).isin(".", "%2e")), (lambda s: F.lower(s).isin("..", ".%2e", "%2e.", "%2e%2e"))
+    step = lambda a, s: F.when(here(s), a).when(up(s), F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(s)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    last = F.element_at(parts, -1)
+    return F.concat(F.lit("/"), F.array_join(F.when(here(last) | up(last), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))
+
+
+def _tidy(url: Column) -> Column:
+    """A full http address in the form that equal addresses share."""
+    place = F.lower(F.regexp_extract(url, r"^(?i)(https?://[^/?#@]*)", 1))
+    place = F.regexp_replace(F.regexp_replace(place, "^(http://[^:]*):80$", "$1"), "^(https://[^:]*):443$", "$1")
+    path = F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*(/[^?#]*)", 1)
+    followed = F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), _followed(path)).when(path == "", F.lit("/")).otherwise(path)
+    tidy = F.concat(place, followed, F.regexp_extract(url, r"(?s)^[^?#]*(.*)$", 1))
+    return F.when(url.rlike(r"^[^:/?#]+://[^/?#]*@"), url).otherwise(tidy)  # with a name or password: as it is
+
+
 def absolute_url(link: Column, base: Column) -> Column:
-    """A link as a full http address, resolved against its page's; null for another scheme or none."""
+    """A link as a full http address, resolved against its page's; null for another scheme or none.
+
+    Scheme and host are in lower case, the scheme's own port is left out, dot segments are followed and
+    an empty path is ``/``.
+    """
     link = F.trim(link)
     scheme = F.lower(F.regexp_extract(base, r"(?i)^(https?):", 1))
     host = F.regexp_extract(base, r"(?i)^https?://([^/?#]+)", 1)
     path = F.regexp_extract(base, r"(?i)^https?://[^/?#]+(/[^?#]*)", 1)
     folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"^(.*/)", 1))
     root = F.concat(scheme, F.lit("://"), host)
-    return (
+    full = (
         F.when(link.isNull() | (link == ""), F.lit(None).cast("string"))
         .when(link.rlike(r"(?i)^https?://[^/?#]+"), link)
         .when(link.rlike(r"(?i)^[a-z][a-z0-9+.-]*:") | (host == ""), F.lit(None).cast("string"))
@@ -68,6 +92,7 @@ def absolute_url(link: Column, base: Column) -> Column:
         .when(link.startswith("?") | link.startswith("#"), F.concat(root, F.when(path == "", F.lit("/")).otherwise(path), link))
         .otherwise(F.concat(root, folder, link))
     )
+    return _tidy(full)
 
 
 def traced_origin(body: Column, environment: Column) -> Column:

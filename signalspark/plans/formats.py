@@ -66,12 +66,14 @@ def normalised_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https://x.org/a' WHEN 1 THEN regexp_extract(url, '^(https?):', 1) || '://cdn.net/b' WHEN 2 THEN regexp_extract(url, '^https?://[^/?#]+') || '/c?d'
-  WHEN 3 THEN regexp_extract(url, '^https?://[^/?#]+') || regexp_extract(url, '^https?://[^/?#]+(/.*/|/)[^?#/]*', 1) || 'e.html' END AS full_url FROM pages"""
+    """WITH b AS (SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '^https?://[^/?#]+') AS root, regexp_extract(url, '^https?://[^/?#]+(/.*/|/)[^?#/]*', 1) AS folder FROM pages),
+dots AS (SELECT page_id, list_reduce(list_transform(string_split(folder[2:] || '../up/./f', '/'), lambda s: [s]), lambda a, s: CASE WHEN s[1] = '.' THEN a WHEN s[1] = '..' THEN a[:len(a) - 1] ELSE list_concat(a, s) END, []::VARCHAR[]) AS parts FROM b)
+SELECT b.page_id, CASE b.page_id % 8 WHEN 0 THEN 'https://x.org/a' WHEN 1 THEN scheme || '://cdn.net/b' WHEN 2 THEN root || '/c?d' WHEN 3 THEN root || folder || 'e.html'
+  WHEN 6 THEN root || '/' || array_to_string(parts, '/') || '?x=../y' WHEN 7 THEN 'https://cdn.net/#A' END AS full_url FROM b JOIN dots ON b.page_id = dots.page_id"""
 )
 def absolute_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.col("page_id") % 6
-    link = F.when(p == 0, "https://x.org/a").when(p == 1, "//cdn.net/b").when(p == 2, " /c?d").when(p == 3, "e.html").when(p == 4, "mailto:a@b.c")
+    p = F.col("page_id") % 8
+    link = F.when(p == 0, "https://x.org/a").when(p == 1, "//cdn.net/b").when(p == 2, " /c?d").when(p == 3, "e.html").when(p == 4, "mailto:a@b.c").when(p == 6, "../up/./f?x=../y").when(p == 7, "HTTPS://Cdn.NET:443#A")
     return table(spark, sf_dir, "pages").select("page_id", fetching.absolute_url(link, F.col("url")).alias("full_url"))
 
 
