@@ -30,6 +30,22 @@ def test_quality_rules_of_odd_rows(odd, none):
     assert quality_rules.clean_and_judge(none).count() == 0
 
 
+def test_repeated_windows_on_both_sides_of_the_bound(spark):
+    def brute(words):
+        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        return len({i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)})
+
+    rng = random.Random(8)
+    texts = {0: ["a"] * 90}
+    for n in (1, 30, 32, 33, 34, 36, 120):  # n words that come twice have n - 2 windows
+        block = [f"w{n}x{i}" for i in range(n)]
+        texts[n] = [*block, "between", *block, *(f"u{i}" for i in range(rng.randint(0, 9)))]
+    texts[999] = [rng.choice("abcdef") for _ in range(400)]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")
+    found = {r["doc_id"]: r["n_repeat_words"] for r in quality_rules.measured(docs).collect()}
+    assert found == {k: brute(w) for k, w in texts.items()}
+
+
 def test_line_rules(spark):
     good = " ".join(f"w{i}" for i in range(60))
     bad = {"symbols": "a### b$$$ c%%% d&&& e***", "menu": "Home | News | About | Contact", "shout": "NOW!! BUY!! GO!! YES!!", "none": "--- ...", "phrase": "Click here to go on"}
