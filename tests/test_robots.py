@@ -109,6 +109,23 @@ def test_decisions_have_no_cross_join_and_one_row_a_prefix(spark):
     assert {r["allowed"]: r["count"] for r in done.groupBy("allowed").count().collect()} == want
 
 
+def test_a_hosts_lines_are_dealt_out_once_without_their_files_text(spark):
+    """Neither rules nor policies join the lines with themselves, and a line's row has no copy of its file."""
+    frame = spark.range(50).selectExpr("concat('h', id) AS host", "concat('User-agent: *\\nDisallow: /', id, '\\nCrawl-delay: 2') AS body")
+    lines = R.lines(frame)
+    for done in (R.rules_for(lines, "x"), R.policies(lines, "x")):
+        plan = done._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+        assert done.count() == 50
+        assert all("body" not in row for row in re.findall(r"Sort \[([^\]]*)\]", plan) if "place" in row)
+
+
+def test_files_of_one_host_follow_each_other_by_their_text(spark):
+    two = [("h", "User-agent: b\nDisallow: /2"), ("h", "User-agent: a\nDisallow: /1"), ("h", None), ("h", "User-agent: a\nDisallow: /1")]
+    got = [tuple(r) for r in R.lines(spark.createDataFrame(two, "host string, body string")).orderBy("line").select("value", "group").collect()]
+    assert got == [("a", 1), ("a", 1), ("/1", 1), ("/1", 1), ("b", 2), ("/2", 2)]
+
+
 @pytest.mark.parametrize("url, path", [("http://h/a%2fb%7E?q#f", "/a%2Fb~?q"), ("http://h", "/"), ("https://h?x", "/?x"), (None, "/"), ("http://h#f", "/")])
 def test_normal_paths(spark, url, path):
     frame = spark.createDataFrame([(url,)], "u string")
