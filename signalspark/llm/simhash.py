@@ -14,6 +14,7 @@ that fails leaves no row.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -58,6 +59,15 @@ def fingerprint(text: str | None, words: int = 4, distinct: bool = False) -> int
     return int(np.packbits(counts * 2 > total).view(">i8")[0])
 
 
+def _majority(hashes: set[int]) -> int:
+    """The fingerprint of distinct shingles, from their hashes as ``_hashed`` has them."""
+    counts = np.zeros(BITS, np.int64)
+    whole = (np.fromiter(hashes, np.int64, len(hashes)).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8")
+    for at in range(0, len(whole), 50_000):
+        counts += np.unpackbits(whole[at : at + 50_000].view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.uint16)
+    return int(np.packbits(counts * 2 > len(whole)).view(">i8")[0])
+
+
 def fingerprint_column(text: Column, words: int = 4, distinct: bool = False) -> Column:
     return text_column(text, "long", lambda texts: pa.array([fingerprint(t, words, distinct) for t in texts], pa.int64()))
 
@@ -154,6 +164,25 @@ def _crowded_links(prints: DataFrame, most: int, chain: int, crowd: int) -> Data
     return placed.join(least, "place").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
 
 
+def _points(prints: DataFrame, most: int, chain: int | None = None, crowd: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """Links within dense groups of ``prints(id, fp)``, ``(id, fp, near)`` by these, and the chain."""
+    total = prints.count()
+    chain = chain or chain_length(total, most)
+    crowd = _crowd(total, most, chain) if crowd is None else crowd
+    close = _crowded_links(prints, most, chain, crowd) if most >= 2 else prints.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    groups = connected_components(close)
+    return close, checkpointed(prints.join(groups, F.col("id") == F.col("node"), "left").select("id", "fp", F.coalesce("component", "id").alias("near"))), chain
+
+
+def fingerprint_links(texts: DataFrame, most: int = 4) -> DataFrame:
+    """``(a, b)`` of ``texts(id, fp)``, a < b: texts of one fingerprint with the smallest of them, and pairs of
+    those that differ in ``most`` bits or fewer. Their components are those of all such pairs."""
+    prints = checkpointed(texts.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    same = join_counted(texts, prints.withColumnRenamed("id", "least"), ["fp"]).where("least < id").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    close, points, chain = _points(prints.select("id", "fp"), most)
+    return same.union(close.select(F.least("a", "b"), F.greatest("a", "b"))).union(candidate_pairs(points, most, chain)).distinct()
+
+
 def fingerprint_components(prints: DataFrame, most: int = 4, chain: int | None = None, crowd: int | None = None) -> DataFrame:
     """``(id, fp, component)`` of distinct fingerprints ``prints(id, fp)``, linked at ``most`` bits or fewer.
 
@@ -163,12 +192,7 @@ def fingerprint_components(prints: DataFrame, most: int = 4, chain: int | None =
     unless they are given; neither changes the answer.
     """
     prints = checkpointed(prints.select("id", "fp"))
-    total = prints.count()
-    chain = chain or chain_length(total, most)
-    crowd = _crowd(total, most, chain) if crowd is None else crowd
-    close = _crowded_links(prints, most, chain, crowd) if most >= 2 else prints.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    groups = connected_components(close)
-    points = checkpointed(prints.join(groups, F.col("id") == F.col("node"), "left").select("id", "fp", F.coalesce("component", "id").alias("near")))
+    _, points, chain = _points(prints, most, chain, crowd)
     links = candidate_pairs(points, most, chain).union(points.where("id <> near").select("near", "id"))
     components = connected_components(links)
     return prints.join(components, F.col("id") == F.col("node"), "left").select("id", "fp", F.coalesce("component", "id").alias("component"))
@@ -193,7 +217,7 @@ def simhash_groups(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
 
 
 #: Documents of one sequence of words have one key; the shingles of a text, hashed and distinct.
-_PROFILE = "key_a:bigint,key_b:bigint,size:int,parity:array<bigint>,prefix:array<bigint>"
+_PROFILE = "key_a:bigint,key_b:bigint,fp:bigint,size:int,parity:array<bigint>,prefix:array<bigint>"
 #: Shingles that ``COMMON`` of some ``SAMPLE`` documents have come last in the order of a prefix.
 SAMPLE, COMMON = 20_000, 3
 #: Bits of a set's parities.
@@ -203,6 +227,10 @@ _WORDS = [f"p{k}" for k in range(PARITIES // 64)]
 SLOTS = 1 << 21
 #: A shingle that more texts than this have in their prefix is first linked through one of them.
 HUB = 8
+#: Rows of prefixes, and pairs of texts, that are on disk at once, and the most parts that either is done in.
+PART_ROWS, PART_PAIRS, PARTS = 3_000_000, 20_000, 24
+#: Most differing bits of two fingerprints that are linked.
+MOST = 4
 
 
 def _prefix(hashes: set[int], common: np.ndarray, similarity: float) -> np.ndarray:
@@ -232,17 +260,17 @@ def _common(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _profile(text: Column, words: int, common: np.ndarray, similarity: float) -> Column:
-    """Struct of a text's sequence of words as a 128-bit key, the number of its distinct shingles,
-    their parities and their prefix."""
+    """Struct of a text's sequence of words as a 128-bit key, and its distinct shingles' fingerprint,
+    number, parities and prefix."""
     longs = pa.list_(pa.int64())
-    kinds = {"key_a": pa.int64(), "key_b": pa.int64(), "size": pa.int32(), "parity": longs, "prefix": longs}
+    kinds = {"key_a": pa.int64(), "key_b": pa.int64(), "fp": pa.int64(), "size": pa.int32(), "parity": longs, "prefix": longs}
 
     def profiles(texts: list[str | None]) -> pa.Array:
         out = []
         for t in texts:
             key = np.frombuffer(xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())), ">i8")
             hashes = _hashed(t, words)
-            out.append((int(key[0]), int(key[1]), len(hashes), _parity(hashes), _prefix(hashes, common, similarity)))
+            out.append((int(key[0]), int(key[1]), _majority(hashes), len(hashes), _parity(hashes), _prefix(hashes, common, similarity)))
         columns = list(zip(*out, strict=True)) or [()] * len(kinds)
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
@@ -281,9 +309,26 @@ def _alike(x: Column, y: Column, similarity: float) -> Column:
     return shared >= similarity * (F.size(x) + F.size(y) - shared)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return both.where(_alike(F.col("x"), F.col("y"), similarity)).select("a", "b")
+def _parts(n: int, size: int) -> int:
+    return max(1, min(PARTS, -(-n // size)))
+
+
+def _part(key: str, k: int, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)) == k
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` that are as similar, some thousand at a time: their sets are larger than
+    the texts, and each part's are gone before the next."""
+    sets = _sets(docs, _ends(pairs), words)
+    parts = _parts(pairs.count(), PART_PAIRS)
+    found = []
+    for k in range(parts):
+        both = pairs.where(_part("a", k, parts)).join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        found.append(checkpointed(both.where(_alike(F.col("x"), F.col("y"), similarity)).select("a", "b")))
+        del both
+        released(docs.sparkSession)
+    return reduce(DataFrame.union, found)
 
 
 def _prefix_test(similarity: float) -> Column:
@@ -323,45 +368,60 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
 
+def _shared(sets: DataFrame, k: int, parts: int, near: DataFrame | None = None) -> DataFrame:
+    """``(id, size, near, at, key)`` and parities: the shingles of one part that several prefixes have;
+    ``near`` is the id itself or its component."""
+    rows = sets.select("id", "size", F.posexplode("prefix").alias("at", "key")).where(_part("key", k, parts))
+    same = Window.partitionBy("key")
+    rows = rows.withColumn("x", F.min("id").over(same)).withColumn("y", F.max("id").over(same)).where("x < y").drop("x", "y")
+    ids = sets.select("id", *(F.get("parity", F.lit(i)).alias(p) for i, p in enumerate(_WORDS)))
+    ids = ids.withColumn("near", F.col("id")) if near is None else ids.join(near, F.col("id") == F.col("node"), "left").withColumn("near", F.coalesce("component", "id")).drop("node", "component")
+    return checkpointed(rows.join(ids, "id"))
+
+
 def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, group_id)`` of ``docs(doc_id, text)``: groups of documents linked by a Jaccard
     similarity of at least ``similarity`` of their distinct shingles of ``words`` words.
 
-    Candidates come from prefix filtering, which is complete: in one order of all shingles, rare
+    Texts whose SimHash fingerprints differ in ``MOST`` bits or fewer, found by pigeonring chains, are
+    candidates first. A pair as similar may differ in more bits, so the exact way for the rest is prefix
+    filtering, which is complete: in one order of all shingles, rare
     ones first, two sets as similar share one of their first ``size - ceil(similarity * size) + 1``.
     Bounds by sizes, by places in the order and by parities, all of them sound, part most of the
     others; then the similarity is computed exactly. A shingle that many prefixes have is first
     linked through one text, so that of a dense group only those pairs are made that its links so
-    far leave apart. Texts of the same words in A-Z lower case are one text and never make pairs;
+    far leave apart. The shingles of prefixes are dealt to parts, one after another, so that the rows of
+    one part only are on disk. Texts of the same words in A-Z lower case are one text and never make pairs;
     texts without a word are one group, as null is. group_id is the group's smallest doc_id. Rows
     with a null doc_id are left out; rows that repeat stay.
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     profile = _profile(F.col("text"), words, _common(docs, words), similarity)
-    marked = checkpointed(docs.select("doc_id", profile.alias("p")).select("doc_id", "p.*"))
+    profiles = checkpointed(docs.select("doc_id", profile.alias("p")).select("doc_id", "p.*"))
+    marked = checkpointed(profiles.select("doc_id", "key_a", "key_b"))
     texts = checkpointed(marked.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("id")))
     named = docs.withColumnRenamed("doc_id", "id")
-    sets = marked.withColumnRenamed("doc_id", "id").join(texts.select("id"), "id", "left_semi")
-    parities = sets.select("id", *(F.get("parity", F.lit(k)).alias(p) for k, p in enumerate(_WORDS)))
+    sets = checkpointed(profiles.withColumnRenamed("doc_id", "id").drop("key_a", "key_b").join(texts.select("id"), "id", "left_semi"))
+    del profiles
+    released(docs.sparkSession)
+    pairs = [checkpointed(fingerprint_links(sets.select("id", "fp"), MOST))]
+    released(docs.sparkSession)
 
-    rows = sets.select("id", "size", F.posexplode("prefix").alias("at", "key"))
-    same = Window.partitionBy("key")
-    rows = rows.withColumn("x", F.min("id").over(same)).withColumn("y", F.max("id").over(same))
-    apart = checkpointed(rows.where("x < y").select("id", "size", F.col("id").alias("near"), "at", "key").join(parities, "id"))
+    parts = _parts(sets.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0], PART_ROWS)
     test = _prefix_test(similarity)
-    pairs = checkpointed(_hub_pairs(apart, test))
-    links = checkpointed(_verified(pairs, _sets(named, _ends(pairs), words), similarity))
-    del rows, pairs
-    released(docs.sparkSession)
+    for k in range(parts):
+        pairs.append(checkpointed(_hub_pairs(_shared(sets, k, parts), test)))
+        released(docs.sparkSession)
+    links = _verified(reduce(DataFrame.union, pairs).distinct(), named, words, similarity)
     near = connected_components(links)
-    apart = checkpointed(apart.join(near, F.col("id") == F.col("node"), "left").withColumn("near", F.coalesce("component", "id")).drop("node", "component"))
-    released(docs.sparkSession)
-    pairs = checkpointed(_rest_pairs(apart, test))
-    del apart, near, parities
-    released(docs.sparkSession)
-    groups = connected_components(links.union(_verified(pairs, _sets(named, _ends(pairs), words), similarity)))
+    pairs = []
+    for k in range(parts):
+        pairs.append(checkpointed(_rest_pairs(_shared(sets, k, parts, near), test)))
+        released(docs.sparkSession)
+    del sets, near
+    groups = connected_components(links.union(_verified(reduce(DataFrame.union, pairs).distinct(), named, words, similarity)))
     answer = texts.join(groups, F.col("id") == F.col("node"), "left").select("key_a", "key_b", F.coalesce("component", "id").alias("group_id"))
-    return marked.select("doc_id", "key_a", "key_b").join(answer, ["key_a", "key_b"]).select("doc_id", "group_id")
+    return marked.join(answer, ["key_a", "key_b"]).select("doc_id", "group_id")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -346,6 +346,34 @@ def test_near_duplicates_of_a_crowded_group_are_the_exact_groups(spark):
     assert found == exact_groups(rows)
 
 
+def test_fingerprint_links_are_those_of_every_pair(spark):
+    rng = random.Random(12)
+    prints = [rng.getrandbits(64) for _ in range(30)]
+    prints += [p ^ sum(1 << b for b in rng.sample(range(64), k)) for p in prints[:20] for k in (0, 1, 3, 4, 5)]
+    rows = list(enumerate(map(simhash._signed, prints)))
+    pairs = [tuple(r) for r in simhash.fingerprint_links(spark.createDataFrame(rows, "id long, fp long")).collect()]
+    assert all(a < b and (prints[a] ^ prints[b]).bit_count() <= 4 for a, b in pairs) and len(set(pairs)) == len(pairs)
+    found = dict(map(tuple, components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()))
+    assert {i: found.get(i, i) for i, _ in rows} == linked(rows)
+
+
+def test_near_duplicates_come_through_fingerprints_and_in_any_number_of_parts(spark, monkeypatch):
+    """Near fingerprints give candidates, shingles the rest; one part's rows are on disk at a time."""
+    links, shared = simhash.fingerprint_links, simhash._shared
+    seen, rows = [], []
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda *a: (seen.append(links(*a)), seen[-1])[1])
+    monkeypatch.setattr(simhash, "_shared", lambda *a: (rows.append(a[2]), shared(*a))[1])
+    monkeypatch.setattr(simhash, "PART_ROWS", 1_200)
+    monkeypatch.setattr(simhash, "PART_PAIRS", 15)
+    texts = edited_rows(4)
+    texts += [(1000 + d, t.rpartition(" ")[0] + " last") for d, t in texts if len(t.split()) > 300]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert dict(map(tuple, simhash.near_duplicate_groups(docs).collect())) == exact_groups(texts)
+    assert len(seen) == 1 and seen[0].count() > 0 and len(rows) == 2 * rows[0] and rows[0] > 1
+    for _, t in [*texts[:5], (0, ""), (1, "one"), (2, "a b c d e f a b c d e f")]:
+        assert simhash._majority(simhash._hashed(t, 5)) == simhash.fingerprint(t, 5, distinct=True)
+
+
 def test_parts_of_any_size_remove_the_same(spark, odd):
     """Parts follow from the bytes of text; few large ones and many small ones give the same rows."""
     rows = lambda size: sorted((r["doc_id"], r["n_words"], str(r["removed_spans"])) for r in substring_dedup.remove_repeated_passages(odd, part_bytes=size).collect())
