@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -76,6 +77,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables in the shared folder that are written once and read again, so that no plan, and nothing
+    that the optimiser knows of it, grows with the rounds. All of them go when the work is done."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.tables = spark, 0
+        self.folder = f"{checkpoint_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def write(self, rows: DataFrame, *by: str) -> DataFrame:
+        """``rows`` as a table; with columns ``by``, rows of a value of these are read without the others."""
+        self.tables += 1
+        path = f"{self.folder}/{self.tables}"
+        rows.write.partitionBy(*by).parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def released(spark: SparkSession) -> None:
     """Let Spark delete the shuffles and checkpoints that nothing refers to any more. It does so when
     the driver's references are collected, which by itself may be long after a step is over."""

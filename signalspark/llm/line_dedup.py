@@ -17,7 +17,6 @@ words are what is deleted.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import TEXTS, checkpoint_folder, checkpointed, join_counted, read_spread
+from .common import TEXTS, Scratch, checkpointed, join_counted, read_spread
 
 _AT = ["doc_id", "version", "i"]
 
@@ -67,28 +66,6 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, version long, i int, h long, g long, ahead int, lines int, all_h long, all_g long")
 
 
-class _Scratch:
-    """Tables in the shared folder that are written once and read again, so that no plan, and nothing
-    that the optimiser knows of it, grows with the rounds. All of them go when the work is done."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.tables = spark, 0
-        self.folder = f"{checkpoint_folder(spark)}/lines-{uuid.uuid4().hex}"
-
-    def write(self, rows: DataFrame) -> DataFrame:
-        self.tables += 1
-        path = f"{self.folder}/{self.tables}"
-        rows.write.parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
-
-    def __enter__(self) -> _Scratch:
-        return self
-
-    def __exit__(self, *_: object) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def _copies(lines: DataFrame) -> DataFrame:
     """``(doc_id, version, lines, ahead, first)``: documents of the same sequence as an earlier one, the
     first such place, and whether it has words enough (``ahead``)."""
@@ -99,7 +76,7 @@ def _copies(lines: DataFrame) -> DataFrame:
     return found.where(F.col("earliest") != F.struct("doc_id", "version")).select("doc_id", "version", "lines", "ahead", place)
 
 
-def _levels(lines: DataFrame, scratch: _Scratch) -> list[DataFrame]:
+def _levels(lines: DataFrame, scratch: Scratch) -> list[DataFrame]:
     """``(doc_id, version, i, rank, next)`` by level: places whose first ``2**level`` lines recur, the first
     place of these, and that of twice as many lines, where these recur too."""
     first = scratch.write(lines.groupBy("h", "g").agg(F.min(F.struct(_AT)).alias("rank"), F.count("*").alias("n")).where("n > 1"))
@@ -126,7 +103,7 @@ def _begun(levels: list[DataFrame], level: int) -> DataFrame:
     return levels[level].where(stays).select(*_AT, F.lit(1 << level).alias("length"), F.col("rank").alias("first"))
 
 
-def _longest_repeats(levels: list[DataFrame], scratch: _Scratch) -> DataFrame:
+def _longest_repeats(levels: list[DataFrame], scratch: Scratch) -> DataFrame:
     """``(doc_id, version, i, length, first)``: for each place whose line also stands earlier the longest
     run from it on that does, and that run's first place."""
     open_ = _begun(levels, len(levels) - 1)
@@ -151,7 +128,7 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
     A run is maximal if neither it with the line before nor it with the line after stands earlier as
     one. No lines give no runs.
     """
-    with _Scratch(lines.sparkSession) as scratch:
+    with Scratch(lines.sparkSession) as scratch:
         lines = scratch.write(lines)
         copies = scratch.write(_copies(lines))
         own = scratch.write(lines.join(copies.select("doc_id", "version"), ["doc_id", "version"], "left_anti").select(*_AT, "h", "g", "ahead"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_counted, read_spread, released, text_column
+from .common import Scratch, checkpointed, join_counted, read_spread, released, text_column
 from .components import connected_components
 
 BITS = 64
@@ -324,7 +324,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float)
     parts = _parts(pairs.count(), PART_PAIRS)
     found = []
     for k in range(parts):
-        both = pairs.where(_part("a", k, parts)).join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        both = pairs.where(_part("a", k, parts)).join(sets.toDF("a", "x").where(_part("a", k, parts)), "a").join(sets.toDF("b", "y"), "b")
         found.append(checkpointed(both.where(_alike(F.col("x"), F.col("y"), similarity)).select("a", "b")))
         del both
         released(docs.sparkSession)
@@ -368,15 +368,25 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
 
-def _shared(sets: DataFrame, k: int, parts: int, near: DataFrame | None = None) -> DataFrame:
-    """``(id, size, near, at, key)`` and parities: the shingles of one part that several prefixes have;
-    ``near`` is the id itself or its component."""
-    rows = sets.select("id", "size", F.posexplode("prefix").alias("at", "key")).where(_part("key", k, parts))
+def _several(sets: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
+    """``(id, size, at, key, part)``: the shingles that several prefixes have. All are dealt to parts in one
+    pass over the sets; each part's are read by themselves."""
+    spark = sets.sparkSession
+    rows = sets.select("id", "size", F.posexplode("prefix").alias("at", "key")).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
     same = Window.partitionBy("key")
-    rows = rows.withColumn("x", F.min("id").over(same)).withColumn("y", F.max("id").over(same)).where("x < y").drop("x", "y")
-    ids = sets.select("id", *(F.get("parity", F.lit(i)).alias(p) for i, p in enumerate(_WORDS)))
-    ids = ids.withColumn("near", F.col("id")) if near is None else ids.join(near, F.col("id") == F.col("node"), "left").withColumn("near", F.coalesce("component", "id")).drop("node", "component")
-    return checkpointed(rows.join(ids, "id"))
+    found = []
+    with Scratch(spark) as own:
+        dealt = own.write(rows, "part")
+        for k in range(parts):
+            part = dealt.where(F.col("part") == k).withColumn("x", F.min("id").over(same)).withColumn("y", F.max("id").over(same))
+            found.append(scratch.write(part.where("x < y").select("id", "size", "at", "key", "part")))
+            released(spark)
+    return reduce(DataFrame.union, found)
+
+
+def _shared(shingles: DataFrame, k: int, parts: int) -> DataFrame:
+    """The rows of one of ``parts`` parts of the table of ``shingles``."""
+    return shingles.where(F.col("part") == k) if parts > 1 else shingles
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -390,8 +400,8 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     Bounds by sizes, by places in the order and by parities, all of them sound, part most of the
     others; then the similarity is computed exactly. A shingle that many prefixes have is first
     linked through one text, so that of a dense group only those pairs are made that its links so
-    far leave apart. The shingles of prefixes are dealt to parts, one after another, so that the rows of
-    one part only are on disk. Texts of the same words in A-Z lower case are one text and never make pairs;
+    far leave apart. The shingles of prefixes are dealt to parts in one pass; a part's are compared, and
+    joined, by themselves, so that the work grows with the shingles and not with the parts' number too. Texts of the same words in A-Z lower case are one text and never make pairs;
     texts without a word are one group, as null is. group_id is the group's smallest doc_id. Rows
     with a null doc_id are left out; rows that repeat stay.
     """
@@ -409,16 +419,23 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
 
     parts = _parts(sets.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0], PART_ROWS)
     test = _prefix_test(similarity)
-    for k in range(parts):
-        pairs.append(checkpointed(_hub_pairs(_shared(sets, k, parts), test)))
-        released(docs.sparkSession)
-    links = _verified(reduce(DataFrame.union, pairs).distinct(), named, words, similarity)
-    near = connected_components(links)
-    pairs = []
-    for k in range(parts):
-        pairs.append(checkpointed(_rest_pairs(_shared(sets, k, parts, near), test)))
-        released(docs.sparkSession)
-    del sets, near
+    with Scratch(docs.sparkSession) as scratch:
+        several = _several(sets, parts, scratch)
+        ids = checkpointed(sets.select("id", *(F.get("parity", F.lit(i)).alias(p) for i, p in enumerate(_WORDS))).distinct())
+        del sets
+        shingles = scratch.write(several.join(ids.withColumn("near", F.col("id")), "id"), "part")
+        for k in range(parts):
+            pairs.append(checkpointed(_hub_pairs(_shared(shingles, k, parts), test)))
+            released(docs.sparkSession)
+        links = _verified(reduce(DataFrame.union, pairs).distinct(), named, words, similarity)
+        near = connected_components(links)
+        ids = ids.join(near, F.col("id") == F.col("node"), "left").select(*ids.columns, F.coalesce("component", "id").alias("near"))
+        shingles = scratch.write(several.join(ids, "id"), "part")
+        pairs = []
+        for k in range(parts):
+            pairs.append(checkpointed(_rest_pairs(_shared(shingles, k, parts), test)))
+            released(docs.sparkSession)
+    del near, ids
     groups = connected_components(links.union(_verified(reduce(DataFrame.union, pairs).distinct(), named, words, similarity)))
     answer = texts.join(groups, F.col("id") == F.col("node"), "left").select("key_a", "key_b", F.coalesce("component", "id").alias("group_id"))
     return marked.join(answer, ["key_a", "key_b"]).select("doc_id", "group_id")

@@ -374,6 +374,34 @@ def test_near_duplicates_come_through_fingerprints_and_in_any_number_of_parts(sp
         assert simhash._majority(simhash._hashed(t, 5)) == simhash.fingerprint(t, 5, distinct=True)
 
 
+def rows_made(spark, pattern):
+    """Rows that Spark's plan nodes of such a description made so far."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for i in range(runs.size()):
+        values = store.executionMetrics(runs.apply(i).executionId())
+        nodes = store.planGraph(runs.apply(i).executionId()).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            metrics = node.metrics()
+            for metric in map(metrics.apply, range(metrics.size()) if re.search(pattern, node.desc()) else []):
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    total += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_near_duplicates_in_more_parts_join_and_deal_out_no_more_rows(spark, monkeypatch):
+    """What is known of each text is joined once, and shingles are dealt out once, however many parts there are."""
+    docs = spark.createDataFrame(edited_rows(4), "doc_id long, text string")
+    found = []
+    for size in (10**9, 1_200):
+        monkeypatch.setattr(simhash, "PART_ROWS", size)
+        patterns = [r"Join \[id#\d+L?\], \[node#", r"Generate posexplode\(prefix"]
+        before = [rows_made(spark, p) for p in patterns]
+        groups = sorted(map(tuple, simhash.near_duplicate_groups(docs).collect()))
+        found.append(([rows_made(spark, p) - n for p, n in zip(patterns, before, strict=True)], groups))
+    assert found[0] == found[1] and all(found[0][0])
+
+
 def test_parts_of_any_size_remove_the_same(spark, odd):
     """Parts follow from the bytes of text; few large ones and many small ones give the same rows."""
     rows = lambda size: sorted((r["doc_id"], r["n_words"], str(r["removed_spans"])) for r in substring_dedup.remove_repeated_passages(odd, part_bytes=size).collect())
