@@ -320,6 +320,7 @@ def _part(key: str, k: int, parts: int) -> Column:
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of ``pairs(a, b)`` that are as similar, some thousand at a time: their sets are larger than
     the texts, and each part's are gone before the next."""
+    pairs = checkpointed(pairs)
     sets = _sets(docs, _ends(pairs), words)
     parts = _parts(pairs.count(), PART_PAIRS)
     found = []
@@ -365,7 +366,7 @@ def _rest_pairs(apart: DataFrame, test: Column) -> DataFrame:
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
 
 def _several(sets: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
@@ -435,8 +436,9 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
         for k in range(parts):
             pairs.append(checkpointed(_rest_pairs(_shared(shingles, k, parts), test)))
             released(docs.sparkSession)
-    del near, ids
-    groups = connected_components(links.union(_verified(reduce(DataFrame.union, pairs).distinct(), named, words, similarity)))
+    del links, ids
+    stars = near.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    groups = connected_components(stars.union(_verified(reduce(DataFrame.union, pairs).distinct(), named, words, similarity)))
     answer = texts.join(groups, F.col("id") == F.col("node"), "left").select("key_a", "key_b", F.coalesce("component", "id").alias("group_id"))
     return marked.join(answer, ["key_a", "key_b"]).select("doc_id", "group_id")
 

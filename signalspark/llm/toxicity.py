@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_spread, read_table, text_column
+from .common import read_spread, read_table, released, text_column
 from .labelled import fold, sample, texts_of
 
 FOLDS, HELD_OUT = 5, 0
@@ -242,6 +242,8 @@ def fitted(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_ordi
     n, n_toxic = known.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
     toxic = texts_of(docs, sample(known.where("toxic = 1"), most_toxic, 1))
     ordinary = texts_of(docs, sample(known.where("toxic <> 1"), most_ordinary, 1))
+    # the JVM's copies of the sample go before the training takes its memory beside them
+    released(docs.sparkSession)
     return train(sorted(toxic), sorted(ordinary), n_toxic / n if n else 0.5)
 
 

@@ -21,6 +21,28 @@ def test_components_of_chains_hubs_and_loops(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_many_partitions_run_few_tasks(spark):
+    """The driver keeps something of every task; stars need no round, and a round has six stages."""
+    chain, stars = [(i, i + 1) for i in range(300)], [(k % 7, k) for k in range(7, 300)]
+    held = {"spark.sql.shuffle.partitions": "9", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in held}
+    tracker, tasks = spark.sparkContext.statusTracker(), []
+    for name, edges in (("chain", chain), ("stars", stars)):
+        frame = spark.createDataFrame(edges, "a long, b long").repartition(9)
+        try:
+            for k, v in held.items():
+                spark.conf.set(k, v)
+            spark.sparkContext.setJobGroup(f"components of {name}", name)
+            assert dict(map(tuple, components.connected_components(frame).collect())) == {b: 0 if edges is chain else b % 7 for e in edges for b in e}
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+            for k, v in kept.items():
+                spark.conf.set(k, v)
+        stages = {s for j in tracker.getJobIdsForGroup(f"components of {name}") for s in tracker.getJobInfo(j).stageIds}
+        tasks.append(sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i))
+    assert tasks[0] < 1_000 and tasks[1] < 100
+
+
 def plain_fingerprint(text):
     """A fingerprint by adding up the bits of whole numbers."""
     words = [w for w in re.split("[ \t\n\x0b\f\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]

@@ -114,3 +114,11 @@ def test_the_class_prior_is_found_from_positives_and_unlabelled():
         n = int(2000 * prior)
         found = quality_classifier.estimated_prior(good[:2000], np.concatenate([good[2000 : 2000 + n], bad[: 2000 - n]])[rng.permutation(2000)])
         assert abs(found - prior) < 0.05
+
+
+def test_toxicity_trains_after_the_drivers_garbage_is_gone(spark, sf, monkeypatch):
+    order, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "released", lambda session: order.append("released"), raising=False)
+    monkeypatch.setattr(toxicity, "train", lambda *a: (order.append("trained"), train([], [], 0.5))[1])
+    toxicity.fitted(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert order == ["released", "trained"]
